@@ -1,8 +1,16 @@
-"""Join helper for small sides."""
+"""Join helpers: broadcasts behind a size check, and left joins that survive crowded keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A key is cut into pieces of this many rows, or of this share of all rows if that is more.
+ROWS_PER_PIECE = 1_000_000
+MAX_PIECES = 100_000
 
 
 def broadcast_if_small(frame: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -12,3 +20,83 @@ def broadcast_if_small(frame: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """
     seen = frame.limit(max_rows + 1).count()
     return frame.hint("broadcast") if seen <= max_rows else frame
+
+
+def key_sizes(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns, _size``: rows per key, counted before the shuffle, so that a crowded key travels as
+    one row per task."""
+    return frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("_size"))
+
+
+def _crowded(
+    sizes: DataFrame, columns: Sequence[str], rows_per_piece: int
+) -> DataFrame:
+    """``_hash, _pieces`` of keys worth cutting.
+
+    A piece holds at least 1/``MAX_PIECES`` of all rows, so there are at most ``MAX_PIECES`` such
+    keys of 16 bytes each, whatever the keys look like: few enough to broadcast.
+    """
+    total = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_total")).scalar()
+    piece = F.greatest(F.lit(rows_per_piece), F.ceil(total / F.lit(MAX_PIECES)))
+    return (
+        sizes.filter(_all_set(columns) & (F.col("_size") > piece))
+        .select(
+            F.xxhash64(*columns).alias("_hash"),
+            F.ceil(F.col("_size") / piece).cast("bigint").alias("_pieces"),
+        )
+        .groupBy("_hash")
+        .agg(F.sum("_pieces").alias("_pieces"))
+        .hint("broadcast")
+    )
+
+
+def _all_set(columns: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+
+
+def mark_by_key(
+    frame: DataFrame,
+    keys: DataFrame,
+    columns: Sequence[str],
+    sizes: DataFrame,
+    mark: str,
+    rows_per_piece: int = ROWS_PER_PIECE,
+) -> DataFrame:
+    """All rows of ``frame`` plus a boolean ``mark``: whether their key is among ``keys``.
+
+    ``keys`` has each key once, under the names in ``columns``; ``sizes`` comes from ``key_sizes`` of
+    the same rows. Rows of a crowded key are dealt out over pieces and its entry in ``keys`` is
+    repeated for each piece, so no task receives a whole crowded key. Rows with a NULL in the key
+    match nothing and are dealt out too. Whether a key counts as crowded is decided by its hash; the
+    match itself compares the keys, so a hash collision costs a little copying and nothing else.
+
+    Adaptive skew handling is no substitute: it does not apply when one side of the join is the
+    direct result of an aggregate, as key lists are.
+    """
+    crowded = _crowded(sizes, columns, rows_per_piece)
+    dealt = F.monotonically_increasing_id() % F.when(
+        _all_set(columns), F.coalesce("_pieces", F.lit(1))
+    ).otherwise(MAX_PIECES)
+    rows = (
+        frame.join(crowded, F.xxhash64(*[F.col(f"`{c}`") for c in columns]) == F.col("_hash"), "left")
+        .withColumn("_piece", dealt)
+        .drop("_hash", "_pieces")
+    )
+    names = [f"_key{i}" for i in range(len(columns))]
+    entries = (
+        keys.select(*columns)
+        .filter(_all_set(columns))
+        .join(crowded, F.xxhash64(*columns) == F.col("_hash"), "left")
+        .select(
+            *[F.col(c).alias(n) for c, n in zip(columns, names)],
+            F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)).alias("_entry"),
+            F.lit(True).alias("_found"),
+        )
+    )
+    same = [F.col(f"`{c}`") == F.col(n) for c, n in zip(columns, names)]
+    matched = reduce(Column.__and__, same, F.col("_piece") == F.col("_entry"))
+    return (
+        rows.join(entries, matched, "left")
+        .withColumn(mark, F.coalesce("_found", F.lit(False)))
+        .drop(*names, "_piece", "_entry", "_found")
+    )

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierflow.operators.joins import ROWS_PER_PIECE, key_sizes, mark_by_key
+
 FAILED_RULES = "_failed_rules"
 
 
@@ -76,11 +78,6 @@ RowRule = NotNull | InRange | InSet | Matches
 Rule = RowRule | Unique | ForeignKey
 
 
-def _key_sizes(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    # Counted before the shuffle, so a crowded key travels as one row per task.
-    return frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("_size"))
-
-
 def _parent_keys(rule: ForeignKey) -> DataFrame:
     return (
         rule.parent.select(F.col(rule.parent_column).alias("_parent"))
@@ -123,9 +120,9 @@ def check_quality(frame: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     for rule in rules:
         if isinstance(rule, Unique):
             broken = (F.col("_size") > 1) & _no_nulls(rule.columns)
-            parts.append(_summary(rule, _key_sizes(frame, rule.columns), broken))
+            parts.append(_summary(rule, key_sizes(frame, rule.columns), broken))
         elif isinstance(rule, ForeignKey):
-            keys = _key_sizes(frame, [rule.column]).join(
+            keys = key_sizes(frame, [rule.column]).join(
                 _parent_keys(rule), F.col(rule.column) == F.col("_parent"), "left"
             )
             broken = F.col(rule.column).isNotNull() & F.col("_parent").isNull()
@@ -135,34 +132,30 @@ def check_quality(frame: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def flag_quality(frame: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def _broken_keys(rule: Unique | ForeignKey, sizes: DataFrame) -> DataFrame:
+    if isinstance(rule, Unique):
+        return sizes.filter(F.col("_size") > 1)
+    return sizes.join(_parent_keys(rule), F.col(rule.column) == F.col("_parent"), "left_anti")
+
+
+def flag_quality(
+    frame: DataFrame, rules: Sequence[Rule], rows_per_piece: int = ROWS_PER_PIECE
+) -> DataFrame:
     """Every row, with the names of the rules it breaks in ``_failed_rules``.
 
-    Key rules join the rows to one row per offending key (``Unique``) or per parent
-    (``ForeignKey``). Each is a left join from the rows, so adaptive execution may broadcast the key
-    side once its size is known, and may cut a crowded row partition into many tasks.
+    For a key rule the offending keys are found on counts per key and then joined to the rows, with
+    crowded keys cut into pieces (see ``mark_by_key``).
     """
     flags = []
     flagged = frame
     for number, rule in enumerate(rules):
-        mark = f"_mark{number}"
-        if isinstance(rule, Unique):
-            names = [f"_key{number}_{i}" for i in range(len(rule.columns))]
-            repeated = (
-                _key_sizes(frame.filter(_no_nulls(rule.columns)), rule.columns)
-                .filter(F.col("_size") > 1)
-                .select(
-                    *[F.col(c).alias(n) for c, n in zip(rule.columns, names)],
-                    F.lit(True).alias(mark),
-                )
-            )
-            matched = [F.col(c) == F.col(n) for c, n in zip(rule.columns, names)]
-            flagged = flagged.join(repeated, reduce(Column.__and__, matched), "left").drop(*names)
-            failed = F.coalesce(F.col(mark), F.lit(False))
-        elif isinstance(rule, ForeignKey):
-            parents = _parent_keys(rule).select(F.col("_parent").alias(mark))
-            flagged = flagged.join(parents, F.col(rule.column) == F.col(mark), "left")
-            failed = F.col(rule.column).isNotNull() & F.col(mark).isNull()
+        if isinstance(rule, (Unique, ForeignKey)):
+            columns = list(rule.columns) if isinstance(rule, Unique) else [rule.column]
+            sizes = key_sizes(frame, columns)
+            broken = _broken_keys(rule, sizes)
+            mark = f"_mark{number}"
+            flagged = mark_by_key(flagged, broken, columns, sizes, mark, rows_per_piece)
+            failed = F.col(mark)
         else:
             failed = rule.failed()
         flags.append(F.when(failed, F.lit(rule.name)))

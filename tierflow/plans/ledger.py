@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DataType,
     IntegerType,
@@ -57,7 +60,8 @@ class RunLedger:
     """Ledger below a folder, laid out as ``runs/day=…/run=…`` and ``events/day=…/run=…``.
 
     Every run writes only into folders of its own, so runs that finish at the same time cannot
-    disturb each other's commit, and readers can prune by day.
+    disturb each other's commit, and readers can prune by day. A state change is an event in itself;
+    the ``events`` folder holds only what is not one.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -65,16 +69,15 @@ class RunLedger:
         self.root = root.rstrip("/")
 
     def record(self, run_id: str, state: str, **fields: object) -> None:
-        row = {
-            "run_id": run_id,
-            "spark_application": application_name(run_id),
-            "state": state,
-            "recorded_at": datetime.now(timezone.utc),
-            **fields,
-        }
-        self._append("runs", RUNS_SCHEMA, run_id, row)
+        self.record_all(run_id, [{"state": state, **fields}])
 
-    def event(self, run_id: str, reason: str, message: str, kind: str = "Normal") -> None:
+    def record_all(self, run_id: str, changes: Sequence[Mapping[str, object]]) -> None:
+        """Append several state changes of a run in one write."""
+        identity = {"run_id": run_id, "spark_application": application_name(run_id)}
+        rows = [{"recorded_at": datetime.now(timezone.utc), **c, **identity} for c in changes]
+        self._append("runs", RUNS_SCHEMA, run_id, rows)
+
+    def event(self, run_id: str, reason: str, message: str, kind: str = "Warning") -> None:
         row = {
             "run_id": run_id,
             "time": datetime.now(timezone.utc),
@@ -83,22 +86,36 @@ class RunLedger:
             "message": message,
             "object": f"SparkApplication/{application_name(run_id)}",
         }
-        self._append("events", EVENTS_SCHEMA, run_id, row)
+        self._append("events", EVENTS_SCHEMA, run_id, [row])
 
     def runs(self, run_id: str | None = None) -> DataFrame:
         return self._read("runs", RUNS_SCHEMA, run_id)
 
     def events(self, run_id: str | None = None) -> DataFrame:
-        return self._read("events", EVENTS_SCHEMA, run_id)
-
-    def _append(self, table: str, schema: StructType, run_id: str, row: dict) -> None:
-        unknown = set(row) - set(schema.fieldNames())
+        changes = self.runs(run_id).select(
+            "run_id",
+            F.col("recorded_at").alias("time"),
+            F.when(F.col("state") == "FAILED", "Warning").otherwise("Normal").alias("type"),
+            F.col("state").alias("reason"),
+            F.coalesce("error_message", F.concat(F.lit("run is "), "state")).alias("message"),
+            F.concat(F.lit("SparkApplication/"), "spark_application").alias("object"),
+        )
+        return changes.unionByName(self._read("events", EVENTS_SCHEMA, run_id))
+
+    def _append(
+        self, table: str, schema: StructType, run_id: str, rows: Sequence[Mapping[str, object]]
+    ) -> None:
+        unknown = {name for row in rows for name in row} - set(schema.fieldNames())
         if unknown:
             raise ValueError(f"not ledger columns: {sorted(unknown)}")
-        values = tuple(row.get(name) for name in schema.fieldNames())
+        one = self.spark.sql("SELECT 1")
+        frames = [
+            one.select(*[F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
+            for row in rows
+        ]
         day = datetime.now(timezone.utc).date().isoformat()
         folder = f"{self.root}/{table}/day={day}/run={run_id}"
-        self.spark.createDataFrame([values], schema).coalesce(1).write.mode("append").parquet(folder)
+        reduce(DataFrame.union, frames).coalesce(1).write.mode("append").parquet(folder)
 
     def _read(self, table: str, schema: StructType, run_id: str | None) -> DataFrame:
         folder = f"{self.root}/{table}"

@@ -192,7 +192,7 @@ def run_transform(
     warnings: list[str] = []
     try:
         if not resumed:
-            run.record("SUBMITTED")
+            run.note("SUBMITTED")
             run.record("RUNNING", started_at=datetime.now(timezone.utc))
             reports = _register_sources(spark, sources)
             result = _run_statements(spark, statements, params)
@@ -201,18 +201,18 @@ def run_transform(
             )
             if staged:
                 write_files(spark.read.parquet(written_to), destination, "append", files=files)
-            run.record("WRITTEN", rows_out=rows)
+            run.note("WRITTEN", rows_out=rows)
         if target:
+            run.save()
             catalog_name, namespace, _ = split_table_name(target)
             warning = ensure_namespace(spark, catalog_name, namespace)
             warnings += [warning] if warning else []
             publish_table(spark.read.parquet(written_to), target, table_mode, path=table_path)
-            run.record("PUBLISHED", rows_out=rows)
+            run.note("PUBLISHED")
     except Exception as error:
-        # Files that are complete stay WRITTEN, so that a second call can resume.
         run.fail(error)
         raise
-    run.record("COMPLETED", rows_out=rows, finished_at=datetime.now(timezone.utc))
+    run.record("COMPLETED", finished_at=datetime.now(timezone.utc))
     return RunResult(run_id, "COMPLETED", rows, destination, target, reports, warnings)
 
 
@@ -252,10 +252,12 @@ def _last_row(ledger: RunLedger, run_id: str) -> dict | None:
 
 
 class _LedgerRow:
-    """What is known about a run so far; each record appends it whole under a new state."""
+    """What is known about a run so far. Each state change is a whole new row of the ledger; changes
+    that follow each other at once are noted first and saved together."""
 
     def __init__(self, ledger, run_id, statements, paths, destination, resources) -> None:
         self.ledger, self.run_id, self.state = ledger, run_id, None
+        self.pending: list[dict] = []
         self.known = {
             "sql": ";\n".join(statements),
             "source": ",".join(paths),
@@ -268,27 +270,31 @@ class _LedgerRow:
 
     def resume(self, last: dict) -> None:
         self.state = last["state"]
-        self.known = {
-            name: value
-            for name, value in last.items()
-            if name not in ("run_id", "spark_application", "state", "recorded_at")
-        }
+        given = ("run_id", "spark_application", "state", "recorded_at")
+        self.known = {name: value for name, value in last.items() if name not in given}
         self.known["execution_attempts"] = (last["execution_attempts"] or 0) + 1
 
-    def record(self, state: str, **fields: object) -> None:
+    def note(self, state: str, **fields: object) -> None:
         self.state = state
-        self.known |= {k: v for k, v in fields.items() if v is not None}
-        if self.ledger is not None:
-            self.ledger.record(self.run_id, state, **self.known)
-            self.ledger.event(self.run_id, state, f"run {self.run_id} is {state}")
+        self.known |= fields
+        now = datetime.now(timezone.utc)
+        self.pending.append({**self.known, "state": state, "recorded_at": now})
+
+    def save(self) -> None:
+        if self.ledger is not None and self.pending:
+            self.ledger.record_all(self.run_id, self.pending)
+        self.pending = []
+
+    def record(self, state: str, **fields: object) -> None:
+        self.note(state, **fields)
+        self.save()
 
     def fail(self, error: Exception) -> None:
-        if self.ledger is None:
-            return
         message = str(error)
         if self.state == "WRITTEN":
-            self.ledger.event(self.run_id, "PublishFailed", message, "Warning")
+            # The files are whole: the run stays at WRITTEN, so that a second call can resume.
+            if self.ledger is not None:
+                self.ledger.event(self.run_id, "PublishFailed", message)
             return
         ended = {"error_message": message, "finished_at": datetime.now(timezone.utc)}
-        self.ledger.record(self.run_id, "FAILED", **{**self.known, **ended})
-        self.ledger.event(self.run_id, "FAILED", message, "Warning")
+        self.record("FAILED", **ended)

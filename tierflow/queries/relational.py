@@ -111,14 +111,15 @@ sql_query(
     "p_join_semi_anti",
     ["customer", "orders", "documents", "labels"],
     """
-    WITH urgent AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
+    WITH urgent AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+    marks AS (SELECT doc_id, MAX(quality) AS quality, MAX(toxic) AS toxic FROM labels GROUP BY doc_id)
     SELECT 'semi' AS kind, c_custkey AS id FROM customer LEFT SEMI JOIN urgent ON c_custkey = o_custkey
     UNION ALL SELECT 'anti', c_custkey FROM customer LEFT ANTI JOIN urgent ON c_custkey = o_custkey
     UNION ALL SELECT 'exists', doc_id FROM documents d
-        WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)
+        WHERE EXISTS (SELECT 1 FROM marks l WHERE l.doc_id = d.doc_id AND l.quality = 1)
     UNION ALL SELECT 'not exists', doc_id FROM documents d
-        WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
-    UNION ALL SELECT 'in', doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+        WHERE NOT EXISTS (SELECT 1 FROM marks l WHERE l.doc_id = d.doc_id)
+    UNION ALL SELECT 'in', doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM marks WHERE toxic = 1)
     """,
     """
     WITH urgent AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
