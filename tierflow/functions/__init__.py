@@ -1,4 +1,4 @@
-from tierflow.functions.exprs import exact_avg, exact_sum
+from tierflow.functions.exprs import exact_avg, exact_sum, exact_sum_sql
 from tierflow.functions.naming import (
     layer_path,
     normalize_path,
@@ -13,6 +13,7 @@ from tierflow.functions.naming import (
 __all__ = [
     "exact_avg",
     "exact_sum",
+    "exact_sum_sql",
     "layer_path",
     "normalize_path",
     "normalize_path_col",

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is cut into pieces of this many rows, or of this share of all rows if that is more.
-ROWS_PER_PIECE = 1_000_000
-MAX_PIECES = 100_000
+# A key with more rows than this is cut into pieces of about this many rows.
+ROWS_PER_PIECE = 5_000_000
+# Rows without a key match nothing; they are dealt out over this many pieces.
+PIECES_WITHOUT_KEY = 100_000
 
 
 def broadcast_if_small(frame: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -28,24 +29,17 @@ def key_sizes(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     return frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("_size"))
 
 
-def _crowded(
-    sizes: DataFrame, columns: Sequence[str], rows_per_piece: int
-) -> DataFrame:
-    """``_hash, _pieces`` of keys worth cutting.
+def _crowded(sizes: DataFrame, columns: Sequence[str], rows_per_piece: int) -> DataFrame:
+    """``_hash, _pieces`` of keys worth cutting, for broadcast.
 
-    A piece holds at least 1/``MAX_PIECES`` of all rows, so there are at most ``MAX_PIECES`` such
-    keys of 16 bytes each, whatever the keys look like: few enough to broadcast.
+    There can be at most one such key, of 16 bytes however long the key itself is, per
+    ``rows_per_piece`` rows of input: 3.2 MB for 10^12 rows.
     """
-    total = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_total")).scalar()
-    piece = F.greatest(F.lit(rows_per_piece), F.ceil(total / F.lit(MAX_PIECES)))
+    pieces = F.ceil(F.col("_size") / F.lit(rows_per_piece)).cast("bigint")
     return (
-        sizes.filter(_all_set(columns) & (F.col("_size") > piece))
-        .select(
-            F.xxhash64(*columns).alias("_hash"),
-            F.ceil(F.col("_size") / piece).cast("bigint").alias("_pieces"),
-        )
-        .groupBy("_hash")
-        .agg(F.sum("_pieces").alias("_pieces"))
+        sizes.filter((F.col("_size") > rows_per_piece) & _all_set(columns))
+        .groupBy(F.xxhash64(*columns).alias("_hash"))
+        .agg(F.sum(pieces).alias("_pieces"))
         .hint("broadcast")
     )
 
@@ -76,7 +70,7 @@ def mark_by_key(
     crowded = _crowded(sizes, columns, rows_per_piece)
     dealt = F.monotonically_increasing_id() % F.when(
         _all_set(columns), F.coalesce("_pieces", F.lit(1))
-    ).otherwise(MAX_PIECES)
+    ).otherwise(PIECES_WITHOUT_KEY)
     rows = (
         frame.join(crowded, F.xxhash64(*[F.col(f"`{c}`") for c in columns]) == F.col("_hash"), "left")
         .withColumn("_piece", dealt)

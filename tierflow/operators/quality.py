@@ -97,8 +97,16 @@ def _summary(rule: Rule, sizes: DataFrame, broken: Column) -> DataFrame:
     ).select(F.lit(rule.name).alias("rule"), "checked", "failed")
 
 
+def _require_names(rules: Sequence[Rule]) -> None:
+    if not rules:
+        raise ValueError("no rules given")
+    if len({rule.name for rule in rules}) < len(rules):
+        raise ValueError("rule names must differ")
+
+
 def check_quality(frame: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``rule, checked, failed``: all row rules in one pass, one shuffle per key rule."""
+    _require_names(rules)
     row_rules = [r for r in rules if not isinstance(r, (Unique, ForeignKey))]
     parts = []
     if row_rules:
@@ -127,8 +135,6 @@ def check_quality(frame: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             )
             broken = F.col(rule.column).isNotNull() & F.col("_parent").isNull()
             parts.append(_summary(rule, keys, broken))
-    if not parts:
-        raise ValueError("no rules given")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -138,6 +144,35 @@ def _broken_keys(rule: Unique | ForeignKey, sizes: DataFrame) -> DataFrame:
     return sizes.join(_parent_keys(rule), F.col(rule.column) == F.col("_parent"), "left_anti")
 
 
+def _checked(
+    frame: DataFrame, rules: Sequence[Rule], rows_per_piece: int
+) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with one helper column per key rule, and for each rule whether a row breaks it."""
+    _require_names(rules)
+    marked, broken = frame, {}
+    for number, rule in enumerate(rules):
+        if isinstance(rule, (Unique, ForeignKey)):
+            columns = list(rule.columns) if isinstance(rule, Unique) else [rule.column]
+            sizes = key_sizes(frame, columns)
+            mark = f"_mark{number}"
+            keys = _broken_keys(rule, sizes)
+            marked = mark_by_key(marked, keys, columns, sizes, mark, rows_per_piece)
+            broken[rule.name] = F.col(mark)
+        else:
+            broken[rule.name] = F.coalesce(rule.failed(), F.lit(False))
+    return marked, broken
+
+
+def _names(broken: dict[str, Column]) -> Column:
+    listed = F.array(*[F.when(failed, F.lit(name)) for name, failed in broken.items()])
+    # Unlike array_compact this stays in generated code.
+    return F.array_except(listed, F.array(F.lit(None).cast("string"))).alias(FAILED_RULES)
+
+
+def _columns(frame: DataFrame) -> list[Column]:
+    return [F.col(f"`{name}`") for name in frame.columns]
+
+
 def flag_quality(
     frame: DataFrame, rules: Sequence[Rule], rows_per_piece: int = ROWS_PER_PIECE
 ) -> DataFrame:
@@ -146,28 +181,18 @@ def flag_quality(
     For a key rule the offending keys are found on counts per key and then joined to the rows, with
     crowded keys cut into pieces (see ``mark_by_key``).
     """
-    flags = []
-    flagged = frame
-    for number, rule in enumerate(rules):
-        if isinstance(rule, (Unique, ForeignKey)):
-            columns = list(rule.columns) if isinstance(rule, Unique) else [rule.column]
-            sizes = key_sizes(frame, columns)
-            broken = _broken_keys(rule, sizes)
-            mark = f"_mark{number}"
-            flagged = mark_by_key(flagged, broken, columns, sizes, mark, rows_per_piece)
-            failed = F.col(mark)
-        else:
-            failed = rule.failed()
-        flags.append(F.when(failed, F.lit(rule.name)))
-    names = F.array_compact(F.array(*flags)).alias(FAILED_RULES)
-    return flagged.select(*[F.col(f"`{c}`") for c in frame.columns], names)
+    marked, broken = _checked(frame, rules, rows_per_piece)
+    return marked.select(*_columns(frame), _names(broken))
 
 
-def split_quality(frame: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+def split_quality(
+    frame: DataFrame, rules: Sequence[Rule], rows_per_piece: int = ROWS_PER_PIECE
+) -> tuple[DataFrame, DataFrame]:
     """Rows that pass, in their own schema, and quarantined rows with ``_failed_rules``.
 
     To write both at once, write ``flag_quality`` partitioned by whether the list is empty.
     """
-    flagged = flag_quality(frame, rules)
-    clean_rows = flagged.filter(F.size(FAILED_RULES) == 0).drop(FAILED_RULES)
-    return clean_rows, flagged.filter(F.size(FAILED_RULES) > 0)
+    marked, broken = _checked(frame, rules, rows_per_piece)
+    bad = reduce(Column.__or__, broken.values())
+    passed = marked.filter(~bad).select(*_columns(frame))
+    return passed, marked.filter(bad).select(*_columns(frame), _names(broken))

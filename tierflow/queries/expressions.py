@@ -90,35 +90,33 @@ sql_query(
     """,
 )
 
+# Per document, and over all words by language; words are counted before the shuffle.
 sql_query(
     "p_fn_array",
     ["documents"],
     """
-    WITH split_words AS (
-        SELECT doc_id, lang, split(text, ' ') AS words FROM documents
-    ), shaped AS (
-        SELECT doc_id, lang, CAST(size(words) AS BIGINT) AS word_count,
-               CAST(size(array_distinct(words)) AS BIGINT) AS distinct_words,
-               CAST(size(filter(words, w -> length(w) > 5)) AS BIGINT) AS long_words,
-               aggregate(words, 0L, (total, w) -> total + length(w)) AS letters,
-               array_join(slice(array_sort(array_distinct(words)), 1, 3), ' ') AS first_sorted,
-               array_contains(words, 'the') AS has_the, words
-        FROM split_words
-    )
-    SELECT doc_id, word_count, distinct_words, long_words, letters, first_sorted, has_the,
-           COUNT(*) AS exploded, SUM(length(word)) AS exploded_letters
-    FROM shaped LATERAL VIEW explode(words) w AS word
-    GROUP BY doc_id, word_count, distinct_words, long_words, letters, first_sorted, has_the
+    WITH split_words AS (SELECT doc_id, lang, split(text, ' ') AS words FROM documents)
+    SELECT CAST(doc_id AS STRING) AS name, CAST(size(words) AS BIGINT) AS word_count,
+           CAST(size(array_distinct(words)) AS BIGINT) AS distinct_words,
+           CAST(size(filter(words, w -> length(w) > 5)) AS BIGINT) AS long_words,
+           array_max(words) AS last_word, array_contains(words, 'the') AS has_the,
+           array_join(slice(words, 1, 3), ' ') AS beginning
+    FROM split_words
+    UNION ALL
+    SELECT concat(lang, length(word)), COUNT(*), COUNT(DISTINCT word), MAX(length(word)), MAX(word), NULL, NULL
+    FROM split_words LATERAL VIEW explode(words) w AS word GROUP BY lang, length(word)
     """,
     """
-    WITH split_words AS (SELECT doc_id, string_split(text, ' ') AS words FROM documents)
-    SELECT doc_id, len(words) AS word_count, len(list_distinct(words)) AS distinct_words,
+    WITH split_words AS (SELECT doc_id, lang, string_split(text, ' ') AS words FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS name, len(words) AS word_count,
+           CAST(len(list_distinct(words)) AS BIGINT) AS distinct_words,
            len(list_filter(words, lambda w: length(w) > 5)) AS long_words,
-           CAST(list_sum(list_transform(words, lambda w: length(w))) AS BIGINT) AS letters,
-           array_to_string(list_sort(list_distinct(words))[1:3], ' ') AS first_sorted,
-           list_contains(words, 'the') AS has_the, len(words) AS exploded,
-           CAST(list_sum(list_transform(words, lambda w: length(w))) AS BIGINT) AS exploded_letters
+           list_max(words) AS last_word, list_contains(words, 'the') AS has_the,
+           array_to_string(words[1:3], ' ') AS beginning
     FROM split_words
+    UNION ALL
+    SELECT lang || length(word), COUNT(*), COUNT(DISTINCT word), MAX(length(word)), MAX(word), NULL, NULL
+    FROM (SELECT lang, unnest(words) AS word FROM split_words) GROUP BY lang, length(word)
     """,
 )
 

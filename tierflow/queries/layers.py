@@ -241,14 +241,13 @@ def gold_customer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def gold_monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    kept = (1 - F.col("l_discount")).cast("decimal(4,2)")
+    revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return gold_aggregate(
         table(spark, sf_dir, "lineitem"),
         ["l_returnflag"],
         {
             "line_count": F.count(F.lit(1)),
-            "revenue": F.sum(price * kept).cast("double"),
+            "revenue": exact_sum(revenue, scale=4),
         },
         grain="month",
         ts="l_shipdate",
@@ -283,17 +282,18 @@ def medallion_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         order = [F.desc("l_shipdate"), "l_partkey", "l_suppkey", "l_extendedprice"]
         return dedup_latest(valid, ["l_orderkey", "l_linenumber"], order)
 
-    # Lines shrink to one row per order, then to one per customer and year, before each join.
+    # Lines shrink to one row per order, then to one per customer and year, before each join. Prices
+    # are added in cents.
     segment_revenue = """
         WITH per_order AS (
-            SELECT l_orderkey, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS price, COUNT(*) AS n
+            SELECT l_orderkey, SUM(CAST(rint(l_extendedprice * 100) AS BIGINT)) AS cents, COUNT(*) AS n
             FROM silver_lines GROUP BY l_orderkey
         ), per_customer AS (
             SELECT o_custkey, CAST(date_trunc('YEAR', o_orderdate) AS TIMESTAMP_NTZ) AS period,
-                   SUM(price) AS price, SUM(n) AS n
+                   SUM(cents) AS cents, SUM(n) AS n
             FROM per_order JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
         )
-        SELECT c_mktsegment AS segment, period, CAST(SUM(price) AS DOUBLE) AS revenue,
+        SELECT c_mktsegment AS segment, period, CAST(SUM(cents) AS DOUBLE) / 100 AS revenue,
                SUM(n) AS line_count
         FROM per_customer JOIN customer ON o_custkey = c_custkey
         GROUP BY c_mktsegment, period

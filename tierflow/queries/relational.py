@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tierflow.functions import exact_sum_sql
 from tierflow.operators import broadcast_if_small
 from tierflow.plans import transform_sql
 from tierflow.queries.registry import query, sql_query, table, table_path
@@ -47,16 +48,25 @@ sql_query(
     """,
 )
 
-_JOIN_INNER = """
-    SELECT o_orderpriority AS priority, COUNT(*) AS order_count,
-           CAST(SUM(n) AS BIGINT) AS line_count, CAST(SUM(price) AS DOUBLE) AS revenue
+sql_query(
+    "p_join_inner",
+    ["lineitem", "orders"],
+    """
+    SELECT o_orderpriority AS priority, COUNT(*) AS order_count, SUM(n) AS line_count,
+           CAST(SUM(cents) AS DOUBLE) / 100 AS revenue
     FROM (
-        SELECT l_orderkey, COUNT(*) AS n, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS price
+        SELECT l_orderkey, COUNT(*) AS n, SUM(CAST(rint(l_extendedprice * 100) AS BIGINT)) AS cents
         FROM lineitem GROUP BY l_orderkey
     ) l JOIN orders ON l_orderkey = o_orderkey
     GROUP BY o_orderpriority
-"""
-sql_query("p_join_inner", ["lineitem", "orders"], _JOIN_INNER, _JOIN_INNER)
+    """,
+    """
+    SELECT o_orderpriority AS priority, COUNT(DISTINCT o_orderkey) AS order_count,
+           COUNT(*) AS line_count,
+           CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority
+    """,
+)
 
 
 @query(
@@ -174,15 +184,20 @@ sql_query(
 )
 
 _AGG_BASIC = """
-    SELECT l_returnflag, l_linestatus, COUNT(*) AS row_count,
-           CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity,
-           CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price,
-           CAST(SUM(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / COUNT(l_discount) AS avg_discount,
-           MIN(l_shipdate) AS first_ship, MAX(l_extendedprice) AS top_price,
-           round(stddev_samp(l_quantity), 6) AS quantity_stddev
+    SELECT l_returnflag, l_linestatus, COUNT(*) AS row_count, {quantity} AS quantity, {price} AS price,
+           ({discount}) / COUNT(l_discount) AS avg_discount, MIN(l_shipdate) AS first_ship,
+           MAX(l_extendedprice) AS top_price, round(stddev_samp(l_quantity), 6) AS quantity_stddev
     FROM lineitem GROUP BY l_returnflag, l_linestatus
 """
-sql_query("p_agg_basic", ["lineitem"], _AGG_BASIC, _AGG_BASIC)
+_SUMMED = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"}
+sql_query(
+    "p_agg_basic",
+    ["lineitem"],
+    _AGG_BASIC.format(**{name: exact_sum_sql(column) for name, column in _SUMMED.items()}),
+    _AGG_BASIC.format(
+        **{n: f"CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE)" for n, c in _SUMMED.items()}
+    ),
+)
 
 _AGG_DISTINCT = """
     SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS suppliers, COUNT(DISTINCT l_partkey) AS parts,

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.functions import exact_sum
+from tierflow.functions import exact_sum, exact_sum_sql
 from tierflow.operators import ensure_namespace, flatten_root, publish_table, write_files
 from tierflow.plans import run_transform
 from tierflow.queries.registry import query, table, table_path
@@ -142,9 +142,9 @@ def transform_and_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, path = _fresh_table(spark, "published")
     run_transform(
         spark,
-        """
+        f"""
         SELECT l_suppkey AS supplier_id, COUNT(*) AS line_count,
-               CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS gross
+               {exact_sum_sql("l_extendedprice")} AS gross
         FROM source_data GROUP BY l_suppkey
         """,
         [table_path(sf_dir, "lineitem")],

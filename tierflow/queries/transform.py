@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.functions import normalize_path_col, sanitize_col, target_table_col
+from tierflow.functions import exact_sum_sql, normalize_path_col, sanitize_col, target_table_col
 from tierflow.operators import combine, preview, row_counts, write_files
 from tierflow.plans import transform_sql
 from tierflow.queries.registry import query, table, table_path
@@ -74,12 +74,12 @@ def sql_named_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform_sql(
         spark,
         {name: table_path(sf_dir, name) for name in ("orders", "customer")},
-        """
+        f"""
         SELECT c_custkey AS customer_id, c_name AS name, COALESCE(order_count, 0) AS order_count,
                COALESCE(total_spent, 0D) AS total_spent
         FROM customer LEFT JOIN (
             SELECT o_custkey, COUNT(*) AS order_count,
-                   CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_spent
+                   {exact_sum_sql("o_totalprice")} AS total_spent
             FROM orders GROUP BY o_custkey
         ) s ON c_custkey = o_custkey
         """,
@@ -102,9 +102,9 @@ def sql_script(spark: SparkSession, sf_dir: str) -> DataFrame:
         -- two statements; this ';' and the one in the text below separate nothing
         CREATE OR REPLACE TEMPORARY VIEW priced_lines AS
         SELECT l_suppkey AS supplier_id, l_returnflag AS flag, 'a;b' AS tag,
-               CAST(l_extendedprice AS DECIMAL(18,2)) AS price
+               CAST(rint(l_extendedprice * 100) AS BIGINT) AS cents
         FROM source_data;
-        SELECT supplier_id, flag, CAST(SUM(price) AS DOUBLE) AS gross, COUNT(*) AS line_count
+        SELECT supplier_id, flag, CAST(SUM(cents) AS DOUBLE) / 100 AS gross, COUNT(*) AS line_count
         FROM priced_lines WHERE tag = 'a;b' GROUP BY supplier_id, flag;
         """,
     )
@@ -121,9 +121,9 @@ def sql_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform_sql(
         spark,
         {"orders": table_path(sf_dir, "orders")},
-        """
+        f"""
         SELECT o_orderpriority AS priority, COUNT(*) AS order_count,
-               CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+               {exact_sum_sql("o_totalprice")} AS total
         FROM orders WHERE o_totalprice >= :low AND o_orderstatus = :status GROUP BY o_orderpriority
         """,
         params={"low": 1000.0, "status": "O"},
