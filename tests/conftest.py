@@ -25,6 +25,7 @@ def spark(tmp_path_factory):
             "spark.checkpoint.dir": str(shared),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark.driver.memory": "4g",
+            "spark.sql.maxMetadataStringLength": "2000",
         },
     )
     session.sparkContext.setLogLevel("OFF")

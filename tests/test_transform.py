@@ -12,6 +12,7 @@ from tierflow.plans import (
     ingest,
     job_status,
     land_bronze,
+    run_layer_transform,
     run_layers,
     run_transform,
     split_script,
@@ -109,6 +110,25 @@ def test_run_writes_and_records(spark, source, tmp_path):
     assert get_job(ledger.runs(result.run_id), result.run_id)["state"] == "COMPLETED"
 
 
+def test_inputs_are_counted_on_request(spark, source, tmp_path):
+    out = str(tmp_path / "out")
+    assert run_transform(spark, SPEND, [source], out).rows_in == {}
+    twice = run_transform(spark, SPEND, [source, source + "/"], out, count_inputs=True)
+    assert twice.rows_in == {source: 12, source + "/": 12}
+    named = run_transform(spark, "SELECT * FROM a", {"a": source}, out, count_inputs=True)
+    assert (named.rows_in, named.rows_out) == ({"a": 12}, 12)
+
+
+def test_bronze_jsonl_feeds_silver(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.range(6).selectExpr("id % 2 AS customer_id", "id AS amount")
+    ingest(rows, f"{root}/bronze", "r1", metadata=False)
+    result = run_layer_transform(spark, SPEND, root, scan_options={"format": "json"})
+    assert result.destination == f"{root}/silver/{result.run_id}/" and result.rows_out == 2
+    again = run_layer_transform(spark, SPEND, root, source_path=f"{root}/bronze", scan_options={"format": "json"})
+    assert again.run_id != result.run_id
+
+
 def test_failure_is_recorded_and_raised(spark, source, tmp_path):
     ledger = RunLedger(spark, str(tmp_path / "ledger"))
     with pytest.raises(Exception, match="nope"):

@@ -3,7 +3,7 @@
 Arguments come from the session settings ``spark.sql.transform.{query,sources,destination,
 writeMode}`` or, where those are unset, from the environment variables ``SQL_QUERY``,
 ``SOURCE_PATHS``, ``DESTINATION_PATH`` and ``WRITE_MODE``. Sources are a JSON list of paths.
-Optional settings: ``spark.sql.transform.{catalog,table,tableMode,ledger,runId}``.
+Optional settings: ``spark.sql.transform.{format,catalog,table,tableMode,ledger,runId}``.
 """
 
 from __future__ import annotations
@@ -48,6 +48,7 @@ def job_arguments(spark: SparkSession, env: Mapping[str, str]) -> dict:
         "sources": sources,
         "destination": required["destination"],
         "mode": setting("writeMode") or "overwrite",
+        "scan_options": {"format": setting("format") or "parquet"},
         "catalog": setting("catalog"),
         "table": setting("table"),
         "table_mode": setting("tableMode") or "append",

@@ -15,6 +15,7 @@ from tierflow.plans.ledger import RunLedger
 from tierflow.plans.transform import (
     Resources,
     RunResult,
+    run_layer_transform,
     run_transform,
     split_script,
     transform_sql,
@@ -36,6 +37,7 @@ __all__ = [
     "job_success_rate",
     "land_bronze",
     "list_jobs",
+    "run_layer_transform",
     "run_layers",
     "run_transform",
     "split_script",

@@ -10,8 +10,9 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierflow.functions.naming import normalize_path, split_table_name, target_table
+from tierflow.functions.naming import layer_path, normalize_path, split_table_name, target_table
 from tierflow.operators.combine import SOURCE_VIEW, register
+from tierflow.operators.profile import row_counts
 from tierflow.operators.sinks import overlaps, write_files
 from tierflow.operators.tables import ensure_namespace, publish_table
 from tierflow.plans.history import latest_runs
@@ -97,18 +98,28 @@ def _run_statements(
     return spark.sql(last, args=args)
 
 
-def _register_sources(spark: SparkSession, sources: Sources) -> list[SourceReport]:
+def _register_sources(
+    spark: SparkSession, sources: Sources, options: Mapping[str, object] | None = None
+) -> tuple[dict[str, DataFrame], list[SourceReport]]:
+    """Register the views; returns the single relations behind them, and a report per path."""
+    options = dict(options or {})
     if isinstance(sources, Mapping):
-        for name, source in sources.items():
-            register(source if isinstance(source, DataFrame) else scan(spark, source), name)
-        return []
+        opened = {
+            name: source if isinstance(source, DataFrame) else scan(spark, source, **options)
+            for name, source in sources.items()
+        }
+        for name, frame in opened.items():
+            register(frame, name)
+        return opened, []
     if isinstance(sources, DataFrame):
         register(sources, SOURCE_VIEW)
-        return []
+        return {SOURCE_VIEW: sources}, []
     paths = [sources] if isinstance(sources, str) else list(sources)
-    combined, reports = scan_all(spark, paths)
+    combined, reports = scan_all(spark, paths, **options)
     register(combined, SOURCE_VIEW)
-    return reports
+    shape = {key: options[key] for key in ("format", "schema") if key in options}
+    read = {r.path: scan(spark, r.path, **shape) for r in reports if r.status == "read"}
+    return read, reports
 
 
 @dataclass(frozen=True)
@@ -129,6 +140,7 @@ class RunResult:
     rows_out: int | None
     destination: str
     table: str | None
+    rows_in: dict[str, int] = field(default_factory=dict)
     sources: list[SourceReport] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
 
@@ -145,6 +157,8 @@ def run_transform(
     *,
     mode: str = "overwrite",
     params: Mapping[str, object] | None = None,
+    scan_options: Mapping[str, object] | None = None,
+    count_inputs: bool = False,
     files: int | None = None,
     catalog: str | None = None,
     table: str | None = None,
@@ -164,6 +178,10 @@ def run_transform(
     The table gets the name ``table``, or one derived from ``destination`` when only ``catalog`` is
     given. With ``mode="append"`` it receives the rows of this run alone, not what the destination
     held before.
+
+    ``scan_options`` go to ``scan_all`` (``format``, ``skip_empty``, ``by``, …), or to ``scan`` for
+    named sources. ``count_inputs`` adds the row count of each source, from a pass that reads no
+    column data.
     """
     statements = _statements(sql)
     if not isinstance(sources, DataFrame) and not sources:
@@ -189,12 +207,15 @@ def run_transform(
 
     rows: int | None = last["rows_out"] if resumed else None
     reports: list[SourceReport] = []
+    rows_in: dict[str, int] = {}
     warnings: list[str] = []
     try:
         if not resumed:
             run.note("SUBMITTED")
             run.record("RUNNING", started_at=datetime.now(timezone.utc))
-            reports = _register_sources(spark, sources)
+            opened, reports = _register_sources(spark, sources, scan_options)
+            if count_inputs:
+                rows_in = {r["source"]: r["row_count"] for r in row_counts(opened).collect()}
             result = _run_statements(spark, statements, params)
             rows = write_files(
                 result, written_to, "overwrite" if staged else mode, files=files, reads=paths
@@ -213,7 +234,22 @@ def run_transform(
         run.fail(error)
         raise
     run.record("COMPLETED", finished_at=datetime.now(timezone.utc))
-    return RunResult(run_id, "COMPLETED", rows, destination, target, reports, warnings)
+    return RunResult(run_id, "COMPLETED", rows, destination, target, rows_in, reports, warnings)
+
+
+def run_layer_transform(
+    spark: SparkSession,
+    sql: str | Sequence[str],
+    root: str,
+    source_path: str | None = None,
+    **options: object,
+) -> RunResult:
+    """Transform from the bronze layer of a bucket or folder, or from ``source_path``, into a folder
+    of the run's own in the silver layer."""
+    run_id = options.pop("run_id", None) or new_run_id()
+    source = source_path or layer_path(root, "bronze")
+    destination = layer_path(root, "silver", run_id)
+    return run_transform(spark, sql, [source], destination, run_id=run_id, **options)
 
 
 def _normalized(sources: Sources) -> Sources:

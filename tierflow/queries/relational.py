@@ -200,10 +200,13 @@ sql_query(
 )
 
 _AGG_DISTINCT = """
-    SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS suppliers, COUNT(DISTINCT l_partkey) AS parts,
-           COUNT(l_orderkey) AS line_count
-    FROM (SELECT DISTINCT l_returnflag, l_suppkey, l_partkey, l_orderkey FROM lineitem) d
-    GROUP BY l_returnflag
+    SELECT l_returnflag AS flag, CAST(NULL AS VARCHAR(1)) AS status, COUNT(DISTINCT l_suppkey) AS suppliers,
+           COUNT(DISTINCT l_partkey) AS parts, COUNT(l_orderkey) AS line_count
+    FROM lineitem GROUP BY l_returnflag
+    UNION ALL
+    SELECT DISTINCT l_returnflag, l_linestatus, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT),
+           CAST(NULL AS BIGINT)
+    FROM lineitem
 """
 sql_query("p_agg_distinct", ["lineitem"], _AGG_DISTINCT, _AGG_DISTINCT)
 
