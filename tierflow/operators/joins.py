@@ -26,7 +26,7 @@ def broadcast_if_small(frame: DataFrame, max_rows: int = 100_000) -> DataFrame:
 def key_sizes(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``columns, _size``: rows per key, counted before the shuffle, so that a crowded key travels as
     one row per task."""
-    return frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("_size"))
+    return frame.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_size"))
 
 
 def _crowded(sizes: DataFrame, columns: Sequence[str], rows_per_piece: int) -> DataFrame:
@@ -38,14 +38,14 @@ def _crowded(sizes: DataFrame, columns: Sequence[str], rows_per_piece: int) -> D
     pieces = F.ceil(F.col("_size") / F.lit(rows_per_piece)).cast("bigint")
     return (
         sizes.filter((F.col("_size") > rows_per_piece) & _all_set(columns))
-        .groupBy(F.xxhash64(*columns).alias("_hash"))
+        .groupBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("_hash"))
         .agg(F.sum(pieces).alias("_pieces"))
         .hint("broadcast")
     )
 
 
 def _all_set(columns: Sequence[str]) -> Column:
-    return reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+    return reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in columns])
 
 
 def mark_by_key(
@@ -68,29 +68,20 @@ def mark_by_key(
     direct result of an aggregate, as key lists are.
     """
     crowded = _crowded(sizes, columns, rows_per_piece)
-    dealt = F.monotonically_increasing_id() % F.when(
-        _all_set(columns), F.coalesce("_pieces", F.lit(1))
-    ).otherwise(PIECES_WITHOUT_KEY)
-    rows = (
-        frame.join(crowded, F.xxhash64(*[F.col(f"`{c}`") for c in columns]) == F.col("_hash"), "left")
-        .withColumn("_piece", dealt)
-        .drop("_hash", "_pieces")
+    own = [F.col(f"`{name}`") for name in frame.columns]
+    key = [F.col(f"`{name}`") for name in columns]
+    pieces = F.when(_all_set(columns), F.coalesce("_pieces", F.lit(1))).otherwise(PIECES_WITHOUT_KEY)
+    rows = frame.join(crowded, F.xxhash64(*key) == F.col("_hash"), "left").select(
+        *own, (F.monotonically_increasing_id() % pieces).alias("_piece")
     )
     names = [f"_key{i}" for i in range(len(columns))]
-    entries = (
-        keys.select(*columns)
-        .filter(_all_set(columns))
-        .join(crowded, F.xxhash64(*columns) == F.col("_hash"), "left")
-        .select(
-            *[F.col(c).alias(n) for c, n in zip(columns, names)],
-            F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)).alias("_entry"),
-            F.lit(True).alias("_found"),
-        )
+    every_piece = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
+    entries = keys.join(crowded, F.xxhash64(*key) == F.col("_hash"), "left").select(
+        *[value.alias(name) for value, name in zip(key, names)],
+        F.explode(every_piece).alias("_entry"),
+        F.lit(True).alias("_found"),
     )
-    same = [F.col(f"`{c}`") == F.col(n) for c, n in zip(columns, names)]
+    same = [value == F.col(name) for value, name in zip(key, names)]
     matched = reduce(Column.__and__, same, F.col("_piece") == F.col("_entry"))
-    return (
-        rows.join(entries, matched, "left")
-        .withColumn(mark, F.coalesce("_found", F.lit(False)))
-        .drop(*names, "_piece", "_entry", "_found")
-    )
+    found = F.coalesce("_found", F.lit(False)).alias(mark)
+    return rows.join(entries, matched, "left").select(*own, found)

@@ -87,7 +87,7 @@ def _parent_keys(rule: ForeignKey) -> DataFrame:
 
 
 def _no_nulls(columns: Sequence[str]) -> Column:
-    return reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+    return reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in columns])
 
 
 def _summary(rule: Rule, sizes: DataFrame, broken: Column) -> DataFrame:

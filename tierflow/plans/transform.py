@@ -277,7 +277,8 @@ def _refuse_overwrite(
 ) -> None:
     if mode != "overwrite":
         return
-    named = any(destination.rstrip("/") in statement for statement in statements)
+    path = re.compile(re.escape(destination.rstrip("/")) + r"(?![\w.-])")
+    named = any(path.search(statement) for statement in statements)
     if named or overlaps(destination, paths):
         raise ValueError(f"refusing to overwrite {destination}: the query reads it")
 

@@ -210,19 +210,20 @@ _AGG_DISTINCT = """
 """
 sql_query("p_agg_distinct", ["lineitem"], _AGG_DISTINCT, _AGG_DISTINCT)
 
+# The sets are formed over counts per finest group, so rows are not multiplied by the sets.
 sql_query(
     "p_agg_grouping_sets",
     ["lineitem"],
     """
-    SELECT 'sets' AS kind, l_returnflag AS a, l_linestatus AS b, CAST(grouping(l_returnflag) AS BIGINT) AS ga,
-           COUNT(*) AS n
-    FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())
+    WITH finest AS (
+        SELECT l_returnflag AS a, l_linestatus AS b, COUNT(*) AS n FROM lineitem GROUP BY 1, 2
+    )
+    SELECT 'sets' AS kind, a, b, CAST(grouping(a) AS BIGINT) AS ga, SUM(n) AS n
+    FROM finest GROUP BY GROUPING SETS ((a, b), (b), ())
     UNION ALL
-    SELECT 'rollup', l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS BIGINT), COUNT(*)
-    FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)
+    SELECT 'rollup', a, b, CAST(grouping(a) AS BIGINT), SUM(n) FROM finest GROUP BY ROLLUP (a, b)
     UNION ALL
-    SELECT 'cube', l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS BIGINT), COUNT(*)
-    FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)
+    SELECT 'cube', a, b, CAST(grouping(a) AS BIGINT), SUM(n) FROM finest GROUP BY CUBE (a, b)
     """,
     """
     SELECT 'sets' AS kind, l_returnflag AS a, l_linestatus AS b, grouping(l_returnflag) AS ga, COUNT(*) AS n
