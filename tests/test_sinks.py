@@ -76,6 +76,13 @@ def test_crowded_partition_is_cut_and_others_stay_whole(spark, tmp_path, small_a
     assert {p.name for p in Path(path).glob("k=*")} == {"k=hot", *(f"k=k{i}" for i in range(5))}
 
 
+def test_partitions_with_a_number_of_tasks(spark, tmp_path):
+    path = str(tmp_path / "two")
+    write_files(_wide(spark), path, files=2, partition_by=["k"])
+    assert spark.read.parquet(path).count() == 200_000
+    assert len(_files(path)) == 6
+
+
 def test_layout_is_sorted_inside_files(spark, tmp_path):
     path = str(tmp_path / "sorted")
     write_files(_wide(spark).repartition(4), path, partition_by=["k"], sort_by=["id"])

@@ -10,6 +10,7 @@ from tierflow.sources import (
     jdbc_options,
     kafka_options,
     list_registry,
+    parse_messages,
     resolve_source,
     scan,
     scan_all,
@@ -146,6 +147,19 @@ def test_kafka_and_document_store_options():
     }
 
 
+def test_messages_become_columns(spark):
+    messages = spark.sql(
+        """
+        SELECT CAST('k' AS BINARY) AS key, CAST(v AS BINARY) AS value, 't' AS topic, 0 AS partition,
+               o AS offset, TIMESTAMP '2024-01-01' AS timestamp
+        FROM VALUES (1L, '{"id": 5, "name": "a"}'), (2L, 'no json') AS m(o, v)
+        """
+    )
+    rows = {r["_offset"]: r for r in parse_messages(messages, "id bigint, name string").collect()}
+    assert (rows[1]["id"], rows[1]["name"], rows[1]["_key"]) == (5, "a", "k")
+    assert (rows[2]["id"], rows[2]["_message"]) == (None, "no json")
+
+
 REGISTRY = "id string, name string, type_name string, workspace_id string, kind string, position int, bucket string"
 
 

@@ -1,11 +1,12 @@
 from tierflow.sources.connectors import (
-    KafkaConfig,
     DocumentStoreConfig,
+    KafkaConfig,
     MySQLConfig,
     PostgresConfig,
     document_store_options,
     jdbc_options,
     kafka_options,
+    parse_messages,
     scan_document_store,
     scan_jdbc,
     scan_kafka,
@@ -24,6 +25,7 @@ __all__ = [
     "kafka_options",
     "list_registry",
     "load_sources",
+    "parse_messages",
     "resolve_source",
     "scan",
     "scan_all",

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def _check_port(port: int) -> None:
@@ -149,6 +151,24 @@ def scan_kafka(
     return reader.format("kafka").options(**kafka_options(config, **tuning)).load()
 
 
+def parse_messages(messages: DataFrame, schema: StructType | str) -> DataFrame:
+    """Kafka rows (batch or stream) with their JSON value as columns, next to where they came from.
+
+    A value that does not parse gives NULL columns and stays readable in ``_message``.
+    """
+    text = F.col("value").cast("string")
+    parsed = messages.select(
+        F.from_json(text, schema).alias("_parsed"),
+        F.col("key").cast("string").alias("_key"),
+        F.col("topic").alias("_topic"),
+        F.col("partition").alias("_partition"),
+        F.col("offset").alias("_offset"),
+        F.col("timestamp").alias("_timestamp"),
+        text.alias("_message"),
+    )
+    return parsed.select("_parsed.*", *[c for c in parsed.columns if c != "_parsed"])
+
+
 def document_store_options(
     config: DocumentStoreConfig, collection: str, extra: Mapping[str, str] | None = None
 ) -> dict[str, str]:
