@@ -8,6 +8,7 @@ from tierflow.operators import (
     ForeignKey,
     InRange,
     InSet,
+    KeyLimits,
     Matches,
     NotNull,
     Unique,
@@ -81,15 +82,22 @@ def test_quarantine_names_the_broken_rules(rows, rules):
     }
 
 
-@pytest.mark.parametrize("rows_per_piece", [1_000_000, 500])
-def test_flagging_keeps_every_row_under_skew(spark, rows_per_piece):
+LIMITS = {
+    "broadcast": KeyLimits(),
+    "shuffled": KeyLimits(broadcast_bytes=0),
+    "in pieces": KeyLimits(broadcast_bytes=0, rows_per_piece=500),
+}
+
+
+@pytest.mark.parametrize("limits", LIMITS.values(), ids=LIMITS.keys())
+def test_flagging_keeps_every_row_under_skew(spark, limits):
     # One key holds a third of the rows, another third has no key at all.
     rows = spark.range(30_000).selectExpr(
-        "id", "CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN NULL ELSE id END AS k"
+        "id", "CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN NULL ELSE id END AS `a key`"
     )
     parents = spark.range(20_000).withColumnRenamed("id", "pid")
-    rules = [Unique("k_unique", ("k",)), ForeignKey("k_known", "k", parents, "pid")]
-    flagged = flag_quality(rows, rules, rows_per_piece)
+    rules = [Unique("k_unique", ("a key",)), ForeignKey("k_known", "a key", parents, "pid")]
+    flagged = flag_quality(rows, rules, limits)
     counts = {
         tuple(r["_failed_rules"]): r["count"]
         for r in flagged.groupBy("_failed_rules").count().collect()
@@ -105,8 +113,27 @@ def test_flagging_keeps_every_row_under_skew(spark, rows_per_piece):
     assert flagged.select("id").distinct().count() == 30_000
 
 
+def test_marking_picks_the_cheapest_join(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 10 AS k")
+
+    def joins(rule, limits):
+        plan = flag_quality(rows, [rule], limits)._jdf.queryExecution().executedPlan().toString()
+        return [word for word in ("BroadcastHashJoin", "SortMergeJoin", "Exchange hash") if word in plan]
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        assert joins(Unique("u", ("id",)), KeyLimits()) == []
+        assert joins(Unique("u", ("k",)), KeyLimits()) == ["BroadcastHashJoin"]
+        shuffled = joins(Unique("u", ("k",)), KeyLimits(broadcast_bytes=500))
+        assert {"SortMergeJoin", "Exchange hash"} <= set(shuffled)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_crowded_key_is_spread_over_tasks(spark):
-    # With adaptive joins off, rows stay where the shuffle of the last join has put them.
+    # With adaptive execution off, rows stay where the shuffle of the join has put them.
     settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     for key, value in settings.items():
         spark.conf.set(key, value)
@@ -114,12 +141,13 @@ def test_crowded_key_is_spread_over_tasks(spark):
         rows = spark.range(0, 60_000, 1, 4).selectExpr("id", "if(id % 3 = 0, 7, id) AS k")
         rule = [Unique("k_unique", ("k",))]
 
-        def largest_share(frame):
-            placed = frame.filter("k = 7").groupBy(F.spark_partition_id().alias("p")).count()
+        def largest_share(limits):
+            flagged = flag_quality(rows, rule, limits).filter("k = 7")
+            placed = flagged.groupBy(F.spark_partition_id().alias("p")).count()
             return placed.agg(F.max("count") / F.sum("count")).head()[0]
 
-        assert largest_share(flag_quality(rows, rule)) == 1.0
-        assert largest_share(flag_quality(rows, rule, rows_per_piece=100)) < 0.5
+        assert largest_share(LIMITS["shuffled"]) == 1.0
+        assert largest_share(KeyLimits(broadcast_bytes=0, rows_per_piece=100)) < 0.5
     finally:
         for key in settings:
             spark.conf.unset(key)

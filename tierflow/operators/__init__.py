@@ -2,7 +2,7 @@ from tierflow.operators.combine import combine, mismatch, register
 from tierflow.operators.dedup import dedup_exact, dedup_latest
 from tierflow.operators.flatten import flatten_root
 from tierflow.operators.gold import gold_aggregate
-from tierflow.operators.joins import broadcast_if_small
+from tierflow.operators.joins import KeyLimits, broadcast_if_small, mark_by_key
 from tierflow.operators.profile import preview, row_counts, schema_report
 from tierflow.operators.quality import (
     ForeignKey,
@@ -23,6 +23,7 @@ __all__ = [
     "ForeignKey",
     "InRange",
     "InSet",
+    "KeyLimits",
     "Matches",
     "NotNull",
     "Unique",
@@ -36,6 +37,7 @@ __all__ = [
     "flag_quality",
     "flatten_root",
     "gold_aggregate",
+    "mark_by_key",
     "mismatch",
     "preview",
     "publish_table",

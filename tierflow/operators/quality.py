@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.operators.joins import ROWS_PER_PIECE, key_sizes, mark_by_key
+from tierflow.operators.joins import KeyLimits, all_set, key_sizes, mark_by_key
 
 FAILED_RULES = "_failed_rules"
 
@@ -86,14 +86,25 @@ def _parent_keys(rule: ForeignKey) -> DataFrame:
     )
 
 
-def _no_nulls(columns: Sequence[str]) -> Column:
-    return reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in columns])
-
-
-def _summary(rule: Rule, sizes: DataFrame, broken: Column) -> DataFrame:
-    return sizes.agg(
+def _judged(frame: DataFrame, rule: Unique | ForeignKey) -> tuple[DataFrame, list[str]]:
+    """Every key of the rows once, as ``columns, _size, _bad``. A key with a NULL is never bad."""
+    if isinstance(rule, Unique):
+        columns = list(rule.columns)
+        return key_sizes(frame, columns).withColumn(
+            "_bad", (F.col("_size") > 1) & all_set(columns)
+        ), columns
+    column = F.col(f"`{rule.column}`")
+    sizes = key_sizes(frame, [rule.column])
+    joined = sizes.join(_parent_keys(rule), column == F.col("_parent"), "left")
+    orphaned = column.isNotNull() & F.col("_parent").isNull()
+    return joined.select(column, "_size", orphaned.alias("_bad")), [rule.column]
+
+
+def _summary(rule: Unique | ForeignKey, judged: DataFrame) -> DataFrame:
+    bad = F.sum(F.when(F.col("_bad"), F.col("_size")))
+    return judged.agg(
         F.coalesce(F.sum("_size"), F.lit(0)).cast("bigint").alias("checked"),
-        F.coalesce(F.sum(F.when(broken, F.col("_size"))), F.lit(0)).cast("bigint").alias("failed"),
+        F.coalesce(bad, F.lit(0)).cast("bigint").alias("failed"),
     ).select(F.lit(rule.name).alias("rule"), "checked", "failed")
 
 
@@ -126,37 +137,23 @@ def check_quality(frame: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         )
         parts.append(totals.select(F.inline(entries)))
     for rule in rules:
-        if isinstance(rule, Unique):
-            broken = (F.col("_size") > 1) & _no_nulls(rule.columns)
-            parts.append(_summary(rule, key_sizes(frame, rule.columns), broken))
-        elif isinstance(rule, ForeignKey):
-            keys = key_sizes(frame, [rule.column]).join(
-                _parent_keys(rule), F.col(rule.column) == F.col("_parent"), "left"
-            )
-            broken = F.col(rule.column).isNotNull() & F.col("_parent").isNull()
-            parts.append(_summary(rule, keys, broken))
+        if isinstance(rule, (Unique, ForeignKey)):
+            judged, _ = _judged(frame, rule)
+            parts.append(_summary(rule, judged))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _broken_keys(rule: Unique | ForeignKey, sizes: DataFrame) -> DataFrame:
-    if isinstance(rule, Unique):
-        return sizes.filter(F.col("_size") > 1)
-    return sizes.join(_parent_keys(rule), F.col(rule.column) == F.col("_parent"), "left_anti")
-
-
 def _checked(
-    frame: DataFrame, rules: Sequence[Rule], rows_per_piece: int
+    frame: DataFrame, rules: Sequence[Rule], limits: KeyLimits
 ) -> tuple[DataFrame, dict[str, Column]]:
     """The rows with one helper column per key rule, and for each rule whether a row breaks it."""
     _require_names(rules)
     marked, broken = frame, {}
     for number, rule in enumerate(rules):
         if isinstance(rule, (Unique, ForeignKey)):
-            columns = list(rule.columns) if isinstance(rule, Unique) else [rule.column]
-            sizes = key_sizes(frame, columns)
+            judged, columns = _judged(frame, rule)
             mark = f"_mark{number}"
-            keys = _broken_keys(rule, sizes)
-            marked = mark_by_key(marked, keys, columns, sizes, mark, rows_per_piece)
+            marked = mark_by_key(marked, judged, columns, mark, limits)
             broken[rule.name] = F.col(mark)
         else:
             broken[rule.name] = F.coalesce(rule.failed(), F.lit(False))
@@ -174,25 +171,25 @@ def _columns(frame: DataFrame) -> list[Column]:
 
 
 def flag_quality(
-    frame: DataFrame, rules: Sequence[Rule], rows_per_piece: int = ROWS_PER_PIECE
+    frame: DataFrame, rules: Sequence[Rule], limits: KeyLimits = KeyLimits()
 ) -> DataFrame:
     """Every row, with the names of the rules it breaks in ``_failed_rules``.
 
-    For a key rule the offending keys are found on counts per key and then joined to the rows, with
-    crowded keys cut into pieces (see ``mark_by_key``).
+    For a key rule the offending keys are found at once, on counts per key, and written to the shared
+    folder; the rows, still lazy, are then marked against them (see ``mark_by_key``).
     """
-    marked, broken = _checked(frame, rules, rows_per_piece)
+    marked, broken = _checked(frame, rules, limits)
     return marked.select(*_columns(frame), _names(broken))
 
 
 def split_quality(
-    frame: DataFrame, rules: Sequence[Rule], rows_per_piece: int = ROWS_PER_PIECE
+    frame: DataFrame, rules: Sequence[Rule], limits: KeyLimits = KeyLimits()
 ) -> tuple[DataFrame, DataFrame]:
     """Rows that pass, in their own schema, and quarantined rows with ``_failed_rules``.
 
     To write both at once, write ``flag_quality`` partitioned by whether the list is empty.
     """
-    marked, broken = _checked(frame, rules, rows_per_piece)
+    marked, broken = _checked(frame, rules, limits)
     bad = reduce(Column.__or__, broken.values())
     passed = marked.filter(~bad).select(*_columns(frame))
     return passed, marked.filter(bad).select(*_columns(frame), _names(broken))
