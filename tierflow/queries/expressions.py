@@ -103,10 +103,8 @@ sql_query(
            array_join(slice(words, 1, 3), ' ') AS beginning
     FROM split_words
     UNION ALL
-    SELECT concat(lang, length(word)), SUM(n), COUNT(*), SUM(IF(length(word) > 5, n, 0)), NULL, NULL, NULL
-    FROM (SELECT lang, word, COUNT(*) AS n FROM split_words LATERAL VIEW explode(words) w AS word
-          GROUP BY lang, word) c
-    GROUP BY lang, length(word)
+    SELECT concat(lang, length(word)), COUNT(*), NULL, COUNT_IF(length(word) > 5), NULL, NULL, NULL
+    FROM split_words LATERAL VIEW explode(words) w AS word GROUP BY lang, length(word)
     """,
     """
     WITH split_words AS (SELECT doc_id, lang, string_split(text, ' ') AS words FROM documents)
@@ -117,8 +115,7 @@ sql_query(
            array_to_string(words[1:3], ' ') AS beginning
     FROM split_words
     UNION ALL
-    SELECT lang || length(word), COUNT(*), COUNT(DISTINCT word), COUNT(*) FILTER (WHERE length(word) > 5),
-           NULL, NULL, NULL
+    SELECT lang || length(word), COUNT(*), NULL, COUNT(*) FILTER (WHERE length(word) > 5), NULL, NULL, NULL
     FROM (SELECT lang, unnest(words) AS word FROM split_words) GROUP BY lang, length(word)
     """,
 )
