@@ -4,9 +4,7 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry_module
-
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+from tierflow.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
