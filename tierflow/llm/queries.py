@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tierflow.llm.common import read_table
 from tierflow.llm.decontaminate import contamination
+from tierflow.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, license_report
 from tierflow.llm.token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,45 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+
+@query
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(read_table(spark, sf_dir, "documents"))
+
+
+_WORDS = (
+    "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+# Plain containment of every template in every line, without an index.
+ORACLES["op5_license_scans"] = f"""
+WITH phrases AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{v}')" for p, v in PHRASES.items())}) AS t(phrase, label)),
+templates AS (
+  SELECT label, list_distinct({_WORDS.format("body")}) AS t
+  FROM (VALUES {", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())}) AS t(label, body)),
+d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, coalesce(text, '') AS text FROM documents),
+places AS (
+  SELECT doc_id, i, p.label
+  FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d) s, phrases p
+  WHERE w[i + 1] = split_part(phrase, ' ', 1)
+    AND array_to_string(list_slice(w, i + 1, i + len(string_split(phrase, ' '))), ' ') = phrase),
+base AS (
+  SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word,
+    list_sort(list_distinct(list(label))) AS labels
+  FROM places GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, list_distinct({_WORDS.format("line")}) AS s
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+matches AS (
+  SELECT doc_id, label, len(list_intersect(t, s)) / len(t) AS containment
+  FROM lines, templates WHERE len(list_intersect(t, s)) >= {THRESHOLD} * len(t) - 1e-9 AND len(s) > 0),
+method AS (SELECT doc_id, max(containment) AS best, list_distinct(list(label)) AS labels FROM matches GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base,
+  CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(method.labels, [])))), ',')
+    AS labels,
+  CASE WHEN coalesce(n, 0) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN method USING (doc_id)
+"""
