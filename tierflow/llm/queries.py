@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tierflow.llm.common import read_table
 from tierflow.llm.decontaminate import contamination
+from tierflow.llm.language import predict_languages
 from tierflow.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, license_report
 from tierflow.llm.token_files import token_files
 
@@ -108,3 +109,8 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGIN
   CASE WHEN coalesce(n, 0) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN method USING (doc_id)
 """
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read_table(spark, sf_dir, "documents"))
