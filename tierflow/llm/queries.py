@@ -10,6 +10,7 @@ from tierflow.llm.common import read_table
 from tierflow.llm.decontaminate import contamination
 from tierflow.llm.language import predict_languages
 from tierflow.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, license_report
+from tierflow.llm.quality_model import predict_quality
 from tierflow.llm.token_files import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +115,8 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN method USING (doc_id)
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
