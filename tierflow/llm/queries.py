@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tierflow.llm.common import read_table
 from tierflow.llm.decontaminate import contamination
@@ -12,6 +13,7 @@ from tierflow.llm.language import predict_languages
 from tierflow.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, license_report
 from tierflow.llm.quality_model import predict_quality
 from tierflow.llm.token_files import token_files
+from tierflow.llm.url_filter import LISTED_HOSTS, RULES, TRACKING, host_of, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +122,39 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is made of the pages' own URLs on hosts with a listed word."""
+    pages = read_table(spark, sf_dir, "pages")
+    return judge_urls(pages, pages.filter(host_of(F.col("url")).rlike(LISTED_HOSTS)))
+
+
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+ORACLES["op6_url_filters"] = rf"""
+WITH p AS (
+  SELECT page_id, url, row_number() OVER () AS n,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)\??([^#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)\??([^#]*)', 2) AS path,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)\??([^#]*)', 3) AS query
+  FROM pages),
+c AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN concat(host, regexp_replace(path, '/+$', ''), '?',
+    array_to_string(list_sort(list_filter(string_split(query, '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}'))), '&')) END AS canonical
+  FROM p),
+listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{LISTED_HOSTS}')),
+fits AS (
+  SELECT n, rule, verdict
+  FROM (SELECT n, r.host || r.path AS rule, verdict,
+          row_number() OVER (PARTITION BY n ORDER BY length(r.host || r.path) DESC) AS place
+        FROM c JOIN (SELECT * FROM (VALUES {_RULE_ROWS}) AS t(verdict, host, path)) r
+          ON (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path))
+  WHERE place = 1)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  listed.canonical IS NOT NULL AS listed
+FROM c LEFT JOIN fits USING (n) LEFT JOIN listed ON c.canonical = listed.canonical
+"""
