@@ -11,10 +11,12 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+import numpy as np
+
 # Rayon threads of a forked worker can hang; Spark already runs one task per core.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 _encoders: dict[tuple, object] = {}
 
 
@@ -32,8 +34,9 @@ class WordEndEncoder:
     A text is cut at ASCII white space, where the normaliser and the splitter cut too. ASCII letters
     are lowered before the cache is asked, as the normaliser lowers them later. A chunk that ends in
     ASCII punctuation after a letter is stored as the letters and the punctuation, which the splitter
-    parts as well. Texts with ``<|`` may hold special tokens, which are matched before lowering; they
-    go to the library whole.
+    parts as well. New words of letters are encoded together in one call, one after the other, and
+    told apart by the word-end mark that the last id of each carries. Texts with ``<|`` may hold
+    special tokens, which are matched before lowering; they go to the library whole.
     """
 
     TAIL = b".,!?;:#*$%&|-_()/\"+="
@@ -43,42 +46,64 @@ class WordEndEncoder:
 
         self.library = Tokenizer.from_file(path)
         kinds = str(self.library.normalizer), str(self.library.pre_tokenizer)
-        if "Lowercase" not in kinds[0] or "\\s" not in kinds[1]:
-            raise ValueError("this tokenizer does not lower case and split at white space")
-        self.cache: dict[bytes, list[int]] = {}
-
-    def _whole(self, texts: Sequence[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
+        mark = self.library.model.end_of_word_suffix
+        if "Lowercase" not in kinds[0] or "\\s" not in kinds[1] or not mark:
+            raise ValueError("this tokenizer does not lower case, split at white space and mark word ends")
+        self.ends_word = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        for token, number in self.library.get_vocab().items():
+            self.ends_word[number] = token.endswith(mark)
+        self.cache: dict[bytes, bytes] = {}
+
+    def _whole(self, texts: Sequence[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(list(texts), add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        for low in range(0, len(words), 1000):
+            some = words[low : low + 1000]
+            ids = np.array(
+                self.library.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4"
+            )
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
+                raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.cache.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+            else:
+                self.cache.update(zip(some, self._whole([w.decode() for w in some])))
 
     def _learn(self, missing: set[bytes]) -> None:
-        cache, split, direct = self.cache, {}, set()
+        cache, split, words, others = self.cache, {}, set(), set()
         for chunk in missing:
             body = chunk.rstrip(self.TAIL)
-            if body and len(body) < len(chunk) and body.decode()[-1].isalpha():
+            text = body.decode()
+            # Lowering may turn a letter into a letter and a mark, which the splitter parts.
+            plain = text.isalpha() and (text.isascii() or text.lower().isalpha())
+            if plain and len(body) == len(chunk):
+                words.add(chunk)
+            elif body and len(body) < len(chunk) and text[-1].isalpha():
                 tail = chunk[len(body) :]
                 split[chunk] = body, tail
-                direct.update(x for x in (body, tail) if x not in cache)
+                if body not in cache:
+                    (words if plain else others).add(body)
+                if tail not in cache:
+                    others.add(tail)
             else:
-                direct.add(chunk)
-        order = list(direct)
-        cache.update(zip(order, self._whole([x.decode() for x in order])))
+                others.add(chunk)
+        self._learn_words(list(words))
+        rest = list(others)
+        cache.update(zip(rest, self._whole([x.decode() for x in rest])))
         for chunk, (body, tail) in split.items():
             cache[chunk] = cache[body] + cache[tail]
 
-    def encode(self, texts: Sequence[bytes]) -> list[list[int]]:
+    def encode(self, texts: Sequence[bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8), as the library's ``encode(text, add_special_tokens=False)``."""
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         chunks = [None if b"<|" in t else t.lower().split() for t in texts]
         cache = self.cache
         self._learn(set().union(*(c for c in chunks if c)).difference(cache))
-        found = []
-        for text, parts in zip(texts, chunks):
-            if parts is None:
-                found.append(self._whole([text.decode()])[0])
-                continue
-            ids: list[int] = []
-            for part in parts:
-                ids += cache[part]
-            found.append(ids)
-        return found
+        get = cache.__getitem__
+        return [
+            np.frombuffer(self._whole([t.decode()])[0] if c is None else b"".join(map(get, c)), dtype="<u4")
+            for t, c in zip(texts, chunks)
+        ]

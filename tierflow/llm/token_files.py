@@ -29,17 +29,19 @@ def _shards(tokenizer_path: str, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(WordEndEncoder, tokenizer_path)
         part, first = TaskContext.get().partitionId(), 0
-        ids: list[int] = []
+        end = np.array([end_id], dtype="<u4")
+        ids: list[np.ndarray] = []
+        size = 0
         doc_ids: list[int | None] = []
         lengths: list[int] = []
 
         def shard() -> pa.RecordBatch:
-            data = simple8b.encode(np.array(ids, dtype=np.uint64))
+            data = simple8b.encode(np.concatenate(ids))
             return batch(
                 {
                     "part": ([part], pa.int32()),
                     "first": ([first], pa.int64()),
-                    "n_ids": ([len(ids)], pa.int64()),
+                    "n_ids": ([size], pa.int64()),
                     "doc_ids": ([doc_ids], pa.list_(pa.int64())),
                     "lengths": ([lengths], pa.list_(pa.int32())),
                     "payload": ([data], pa.binary()),
@@ -51,14 +53,14 @@ def _shards(tokenizer_path: str, end_id: int, shard_ids: int):
             for low in range(0, len(names), STEP_DOCS):
                 part_names = names[low : low + STEP_DOCS]
                 for name, found in zip(part_names, tokens.encode(texts[low : low + STEP_DOCS])):
-                    ids += found
-                    ids.append(end_id)
+                    ids += found, end
                     doc_ids.append(name)
                     lengths.append(len(found) + 1)
-                    if len(ids) >= shard_ids:
+                    size += len(found) + 1
+                    if size >= shard_ids:
                         yield shard()
-                        first += len(ids)
-                        ids, doc_ids, lengths = [], [], []
+                        first += size
+                        ids, doc_ids, lengths, size = [], [], [], 0
         if doc_ids:
             yield shard()
 
