@@ -12,6 +12,7 @@ from tierflow.llm.decontaminate import contamination
 from tierflow.llm.language import predict_languages
 from tierflow.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, license_report
 from tierflow.llm.quality_model import predict_quality
+from tierflow.llm.quality_rules import LEFT_SHARE, LINE_DOCS, LINE_SHARE, apply_quality_rules
 from tierflow.llm.token_files import token_files
 from tierflow.llm.url_filter import LISTED_HOSTS, RULES, TRACKING, host_of, judge_urls
 
@@ -158,3 +159,47 @@ SELECT page_id, host, path, rule,
   listed.canonical IS NOT NULL AS listed
 FROM c LEFT JOIN fits USING (n) LEFT JOIN listed ON c.canonical = listed.canonical
 """
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+_BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op1_quality_rules"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host,
+    regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w
+  FROM documents),
+lines AS (
+  SELECT r, host, text, raw,
+    trim(regexp_replace({_LOWER.format("raw")}, '[ 	-]+', ' ', 'g')) AS line
+  FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS raw FROM d)
+  WHERE translate(raw, {_BLANKS}, '') <> ''),
+dup AS (SELECT r, count(*) - count(DISTINCT raw) AS n FROM lines GROUP BY r),
+windows AS (
+  SELECT r, i, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT r, i FROM windows JOIN (SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1) USING (r, g)),
+repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+sizes AS (SELECT host, count(DISTINCT text) AS size FROM d GROUP BY host),
+boilerplate AS (
+  SELECT host, line
+  FROM (SELECT host, line, count(DISTINCT text) AS docs FROM lines GROUP BY host, line) JOIN sizes USING (host)
+  WHERE docs > {LINE_DOCS} AND docs > {LINE_SHARE}::DOUBLE * size),
+removed AS (
+  SELECT r, sum(len(string_split(line, ' '))) AS n FROM lines JOIN boilerplate USING (host, line) GROUP BY r),
+counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(translate(text, {_BLANKS}, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed_words
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r) LEFT JOIN removed USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+    AND n_words - n_removed_words >= {LEFT_SHARE}::DOUBLE * n_words AS kept
+FROM counts
+"""
