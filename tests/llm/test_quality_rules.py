@@ -45,7 +45,7 @@ def make():
         lines += [rng.choice(["Share this  page", "share THIS\tpage ", "x" * 40])] * rng.randint(0, 2)
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines), rng.choice(["h1", "h1", "h2", None])))
-    rows += [(200 + i, "Cookie notice " * 40 + "\nown " + str(i), "h3") for i in range(12)]
+    rows += [(200 + i, " ".join(f"w{j}" for j in range(60)) + "\nown " + str(i), "h3") for i in range(12)]
     rows += [(300, "copy of one text\nsecond line", "h4")] * 9
     return rows + [(None, None, None), (1, "", "h1"), (1, "", "h1"), (400, "a b c " * 5000, "h5"), (401, "a b\x0b\x1fc", "h5")]
 
