@@ -11,6 +11,7 @@ from tierflow.llm.common import read_table
 from tierflow.llm.decontaminate import contamination
 from tierflow.llm.language import predict_languages
 from tierflow.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, license_report
+from tierflow.llm.pieces import encode_pieces
 from tierflow.llm.quality_model import predict_quality
 from tierflow.llm.quality_rules import LEFT_SHARE, LINE_DOCS, LINE_SHARE, apply_quality_rules
 from tierflow.llm.token_files import token_files
@@ -171,11 +172,13 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 ORACLES["op1_quality_rules"] = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host,
-    regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w
+    regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w
   FROM documents),
 lines AS (
   SELECT r, host, text, raw,
-    trim(regexp_replace({_LOWER.format("raw")}, '[ 	-]+', ' ', 'g')) AS line
+    trim(regexp_replace({_LOWER.format("raw")}, '[ 	-
+]+', ' ', 'g')) AS line
   FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS raw FROM d)
   WHERE translate(raw, {_BLANKS}, '') <> ''),
 dup AS (SELECT r, count(*) - count(DISTINCT raw) AS n FROM lines GROUP BY r),
@@ -203,3 +206,8 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     AND n_words - n_removed_words >= {LEFT_SHARE}::DOUBLE * n_words AS kept
 FROM counts
 """
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
