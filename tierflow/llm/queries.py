@@ -14,6 +14,7 @@ from tierflow.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, license_report
 from tierflow.llm.pieces import encode_pieces
 from tierflow.llm.quality_model import predict_quality
 from tierflow.llm.quality_rules import LEFT_SHARE, LINE_DOCS, LINE_SHARE, apply_quality_rules
+from tierflow.llm.token_counts import count_tokens
 from tierflow.llm.token_files import token_files
 from tierflow.llm.url_filter import LISTED_HOSTS, RULES, TRACKING, host_of, judge_urls
 
@@ -211,3 +212,8 @@ FROM counts
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
