@@ -11,6 +11,7 @@ from tierflow.llm.common import read_table
 from tierflow.llm.decontaminate import contamination
 from tierflow.llm.language import predict_languages
 from tierflow.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, license_report
+from tierflow.llm.ngram_join import near_duplicates
 from tierflow.llm.pieces import encode_pieces
 from tierflow.llm.quality_model import predict_quality
 from tierflow.llm.quality_rules import LEFT_SHARE, LINE_DOCS, LINE_SHARE, apply_quality_rules
@@ -217,3 +218,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
