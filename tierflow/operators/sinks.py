@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tierflow.functions.naming import normalize_path
@@ -26,6 +26,37 @@ def overlaps(path: str, others: Iterable[str]) -> str | None:
     return None
 
 
+# Spark's JSON writer prints milliseconds and leaves NULL fields out unless told otherwise.
+LOSSLESS_JSON = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "ignoreNullFields": "false",
+}
+
+
+def source_folders(frame: DataFrame) -> list[str]:
+    """Root paths of the file relations that a frame reads, subqueries and views included."""
+    plan = frame._jdf.queryExecution().analyzed()
+    subqueries = plan.subqueriesAll()
+    plans = [plan, *(subqueries.apply(i) for i in range(subqueries.size()))]
+    found: list[str] = []
+    for one in plans:
+        leaves = one.collectLeaves()
+        for leaf in (leaves.apply(i) for i in range(leaves.size())):
+            if leaf.getClass().getSimpleName() != "LogicalRelation":
+                continue
+            relation = leaf.relation()
+            if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                roots = relation.location().rootPaths()
+                found += [roots.apply(i).toString() for i in range(roots.size())]
+    return list(dict.fromkeys(found))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(normalize_path(path))
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_files(
     frame: DataFrame,
     path: str,
@@ -45,17 +76,20 @@ def write_files(
     partition size, is still cut into several tasks and files. ``files=1`` therefore gives one file
     for a small result and never pulls a large one into one task.
 
-    ``reads`` names the inputs of ``frame``: overwriting one of them is refused, since Spark deletes
-    the target before it reads.
+    Overwriting an input is refused, since Spark deletes the target before it reads: inputs are the
+    folders that the frame's plan reads, and ``reads``. So is writing into the folder of a stream,
+    whose own list of files would hide the rows. JSON keeps microseconds and NULL fields.
     """
     if mode not in ("append", "overwrite", "error"):
         raise ValueError(f"unknown write mode {mode!r}")
     if mode == "overwrite":
-        clash = overlaps(path, reads)
+        clash = overlaps(path, [*reads, *source_folders(frame)])
         if clash:
             raise ValueError(f"refusing to overwrite {path}: it overlaps the source {clash}")
     if files is not None and files < 1:
         raise ValueError("files must be at least 1")
+    if path_exists(frame.sparkSession, f"{path.rstrip('/')}/_spark_metadata"):
+        raise ValueError(f"refusing to write into {path}: a stream writes there, and readers see only its files")
 
     shaped = frame
     if partition_by:
@@ -67,6 +101,8 @@ def write_files(
     # Observed last: a result task is counted once, however often its inputs are recomputed.
     written = Observation()
     writer = shaped.observe(written, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+    if format == "json":
+        writer = writer.options(**LOSSLESS_JSON)
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     if partition_by:

@@ -6,7 +6,8 @@ which refuse those calls, so it is served by ``saveAsTable`` and ``insertInto``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierflow.functions.naming import split_table_name
+from tierflow.session import scratch_path
 
 SESSION_CATALOG = "spark_catalog"
 MODES = ("append", "overwrite", "replace")
@@ -49,8 +51,14 @@ def publish_table(
 
     ``append`` creates a missing table; ``overwrite`` replaces only the partitions that occur in
     ``frame``, creating a missing table; ``replace`` replaces the whole table. Only a missing table
-    leads to creation: any other error is raised, so it can never cost existing data. ``path`` puts
-    a session-catalog table at a location of its own.
+    leads to creation: any other error is raised.
+
+    ``replace`` in the session catalog keeps the old table until the new rows are all written: they
+    go to a table of another name, which then takes the old one's place. ``path`` puts a
+    session-catalog table at a location of its own; there the rows are written to the shared folder
+    first and copied from it, since two tables cannot take turns at one location. A failure of that
+    last copy, or of the rename, is the only point where the old table is gone; the new rows are then
+    whole in the named place.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
@@ -86,16 +94,16 @@ def _publish_session(
 ) -> None:
     spark = frame.sparkSession
 
-    def save(save_mode: str) -> None:
-        writer = frame.write.format("parquet").mode(save_mode)
+    def save(save_mode: str, rows: DataFrame = frame, to: str = name) -> None:
+        writer = rows.write.format("parquet").mode(save_mode)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         if path:
             writer = writer.option("path", path)
-        writer.saveAsTable(name)
+        writer.saveAsTable(to)
 
     if mode == "replace":
-        save("overwrite")
+        _replace_session(frame, name, path, save)
     elif mode == "append":
         save("append")
     elif not spark.catalog.tableExists(name):
@@ -107,6 +115,29 @@ def _publish_session(
             ordered.write.insertInto(name, overwrite=True)
 
 
+def _replace_session(frame: DataFrame, name: str, path: str | None, save: Callable) -> None:
+    spark = frame.sparkSession
+    if not spark.catalog.tableExists(name):
+        save("error")
+    elif path:
+        staged = scratch_path(spark, "replace")
+        frame.write.parquet(staged)
+        try:
+            save("overwrite", spark.read.schema(frame.schema).parquet(staged))
+        except Exception as error:
+            error.add_note(f"the new rows of {name} are in {staged}")
+            raise
+    else:
+        other = f"{name[:-1]}_{uuid.uuid4().hex[:12]}`"
+        try:
+            save("error", frame, other)
+        except Exception:
+            spark.sql(f"DROP TABLE IF EXISTS {other}")
+            raise
+        spark.sql(f"DROP TABLE {name}")
+        spark.sql(f"ALTER TABLE {other} RENAME TO {name}")
+
+
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str):
     # insertInto takes this choice from the session only; as a writer option it is ignored and every

@@ -249,14 +249,20 @@ sql_query(
     """,
 )
 
-# Sessions are built from one row per user and minute, so a busy user costs minutes, not events.
+# Sessions are built from one row per user and minute, so a busy user costs minutes, not events. A row
+# stands for its events from the first to the last: the gap begins at the last.
 sql_query(
     "p_time_window",
     ["events"],
     """
     WITH per_minute AS (
-        SELECT user_id, CAST(date_trunc('MINUTE', ts) AS TIMESTAMP_NTZ) AS minute, COUNT(*) AS n
-        FROM events GROUP BY 1, 2
+        SELECT user_id, MIN(ts) AS first, MAX(ts) AS last, COUNT(*) AS n
+        FROM events GROUP BY user_id, date_trunc('MINUTE', ts)
+    ), spans AS (
+        SELECT user_id, first, n, make_interval(0, 0, 0, 0, 6, 0,
+            CAST(unix_micros(CAST(last AS TIMESTAMP)) - unix_micros(CAST(first AS TIMESTAMP)) AS DECIMAL(18,0)) / 1000000
+        ) AS gap
+        FROM per_minute
     )
     SELECT 'tumbling' AS kind, window(ts, '15 minutes').start AS opened, COUNT(*) AS n, CAST(NULL AS BIGINT) AS user_id
     FROM events GROUP BY window(ts, '15 minutes')
@@ -264,18 +270,15 @@ sql_query(
     SELECT 'sliding', window(ts, '1 hour', '30 minutes').start, COUNT(*), NULL
     FROM events GROUP BY window(ts, '1 hour', '30 minutes')
     UNION ALL
-    SELECT 'session', session_window(minute, '6 hours').start, SUM(n), user_id
-    FROM per_minute GROUP BY user_id, session_window(minute, '6 hours')
+    SELECT 'session', session_window(first, gap).start, SUM(n), user_id
+    FROM spans GROUP BY user_id, session_window(first, gap)
     """,
     """
-    WITH per_minute AS (
-        SELECT user_id, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, COUNT(*) AS n
-        FROM events GROUP BY 1, 2
-    ), gaps AS (
-        SELECT *, CASE WHEN minute <= lag(minute) OVER (PARTITION BY user_id ORDER BY minute) + INTERVAL 6 HOUR
-                       THEN 0 ELSE 1 END AS is_new FROM per_minute
+    WITH gaps AS (
+        SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR
+                       THEN 0 ELSE 1 END AS is_new FROM events
     ), numbered AS (
-        SELECT *, SUM(is_new) OVER (PARTITION BY user_id ORDER BY minute) AS session_no FROM gaps
+        SELECT *, SUM(is_new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session_no FROM gaps
     ), slides AS (
         SELECT time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * unnest([0, 1])) AS opened FROM events
     )
@@ -283,7 +286,7 @@ sql_query(
            CAST(NULL AS BIGINT) AS user_id
     FROM events GROUP BY 2
     UNION ALL SELECT 'sliding', CAST(opened AS TIMESTAMP), COUNT(*), NULL FROM slides GROUP BY opened
-    UNION ALL SELECT 'session', MIN(minute), CAST(SUM(n) AS BIGINT), user_id
+    UNION ALL SELECT 'session', MIN(ts), COUNT(*), user_id
     FROM numbered GROUP BY user_id, session_no
     """,
 )

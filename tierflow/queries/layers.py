@@ -199,13 +199,12 @@ def bronze_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events")
+@query("SELECT * FROM events")
 def ingest_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "landing")
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    events = table(spark, sf_dir, "events")
     ingest(events, path, "run-1", metadata=False)
-    schema = "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE"
-    return scan(spark, path, "json", schema, mode="FAILFAST")
+    return scan(spark, path, "json", events.schema, mode="FAILFAST")
 
 
 @query(

@@ -15,10 +15,10 @@ from tierflow.session import scratch_path
 from tierflow.sources import scan
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+@query("SELECT * FROM orders")
 def write_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "overwrite")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    orders = table(spark, sf_dir, "orders")
     write_files(orders.withColumn("o_totalprice", F.lit(0.0)), path)
     write_files(orders, path)
     return scan(spark, path)
@@ -26,14 +26,16 @@ def write_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT c_custkey AS id, c_name AS name FROM customer
-    UNION ALL SELECT s_suppkey, s_name FROM supplier
+    SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment
+    FROM customer
+    UNION ALL SELECT s_suppkey, s_name, s_nationkey, s_acctbal, NULL FROM supplier
     """
 )
 def write_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "append")
-    write_files(table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name"), path)
-    suppliers = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_name AS name")
+    names = ("id", "name", "nation", "balance", "segment")
+    write_files(table(spark, sf_dir, "customer").toDF(*names), path)
+    suppliers = table(spark, sf_dir, "supplier").withColumn("segment", F.lit(None).cast("string")).toDF(*names)
     write_files(suppliers, path, "append")
     return scan(spark, path)
 
@@ -64,21 +66,12 @@ def write_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate,
-           CAST(year(l_shipdate) AS INTEGER) AS ship_year
-    FROM lineitem
+    SELECT *, CAST(year(l_shipdate) AS INTEGER) AS ship_year FROM lineitem
     """
 )
 def write_gold_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "gold-layout")
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_partkey",
-        "l_suppkey",
-        "l_linenumber",
-        "l_shipdate",
-        F.year("l_shipdate").alias("ship_year"),
-    )
+    lines = table(spark, sf_dir, "lineitem").withColumn("ship_year", F.year("l_shipdate"))
     write_files(lines, path, partition_by=["ship_year"], sort_by=["l_suppkey", "l_shipdate"])
     return scan(spark, path)
 
@@ -90,10 +83,11 @@ def _fresh_table(spark: SparkSession, stem: str) -> tuple[str, str]:
 
 
 def _orders_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(*[c for c in orders.columns if c != "o_orderstatus"], "o_orderstatus")
 
 
-@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+@query("SELECT * FROM orders")
 def table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, path = _fresh_table(spark, "appended")
     orders = _orders_by_status(spark, sf_dir)
@@ -105,9 +99,7 @@ def table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS o_totalprice,
-           o_orderstatus
-    FROM orders
+    SELECT * REPLACE (CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS o_totalprice) FROM orders
     """
 )
 def table_overwrite_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,17 +108,16 @@ def table_overwrite_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ["o_orderstatus"]
     publish_table(orders, name, "overwrite", partition_by=parts, path=path)
     closed = orders.filter("o_orderstatus = 'F'").withColumn("o_totalprice", F.lit(0.0))
-    publish_table(closed.select("o_orderstatus", "o_totalprice", "o_orderkey"), name, "overwrite")
-    return spark.table(name).select("o_orderkey", "o_totalprice", "o_orderstatus")
+    publish_table(closed.select(*reversed(closed.columns)), name, "overwrite")
+    return spark.table(name)
 
 
-@query("SELECT o_orderkey, o_orderstatus, year(o_orderdate) AS order_year FROM orders")
+@query("SELECT *, year(o_orderdate) AS order_year FROM orders")
 def table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, path = _fresh_table(spark, "replaced")
     publish_table(_orders_by_status(spark, sf_dir), name, "replace", path=path)
-    other_shape = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", F.year("o_orderdate").cast("bigint").alias("order_year")
-    )
+    orders = table(spark, sf_dir, "orders")
+    other_shape = orders.withColumn("order_year", F.year("o_orderdate").cast("bigint"))
     publish_table(other_shape, name, "replace", path=path)
     return spark.table(name)
 
@@ -157,8 +148,8 @@ def transform_and_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT event_id AS id, user_id AS actor_user, event_type AS actor_action,
-           CAST(json_extract_string(props, '$.k') AS BIGINT) AS props_k, value
+    SELECT event_id AS id, ts, user_id AS actor_user, event_type AS actor_action, props AS raw,
+           CAST(json_extract_string(props, '$.k') AS BIGINT) AS props_k, value, CAST(NULL AS VARCHAR) AS note
     FROM events
     """
 )
@@ -166,13 +157,17 @@ def jsonl_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "jsonl")
     nested = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
+        "ts",
         F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("action")).alias("actor"),
+        F.col("props").alias("raw"),
         F.from_json("props", "k BIGINT").alias("props"),
         "value",
+        F.lit(None).cast("string").alias("note"),
     )
     write_files(nested, path, format="json")
     schema = (
-        "id BIGINT, actor STRUCT<user: BIGINT, action: STRING>, props STRUCT<k: BIGINT>, value DOUBLE"
+        "id BIGINT, ts TIMESTAMP_NTZ, actor STRUCT<user: BIGINT, action: STRING>, raw STRING, "
+        "props STRUCT<k: BIGINT>, value DOUBLE, note STRING"
     )
     landed = scan(spark, path, "json", schema)
     return flatten_root(landed).drop("_corrupt_record")
