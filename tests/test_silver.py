@@ -214,5 +214,12 @@ def test_profile(spark):
 def test_broadcast_only_below_the_bound(spark):
     big = spark.range(1000).withColumnRenamed("id", "k")
     assert "hint" in big.hint("broadcast")._jdf.queryExecution().logical().toString().lower()
-    assert "hint" in broadcast_if_small(big, 1000)._jdf.queryExecution().logical().toString().lower()
+    assert "hint" in broadcast_if_small(big)._jdf.queryExecution().logical().toString().lower()
     assert "hint" not in broadcast_if_small(big, 999)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_few_wide_rows_are_not_broadcast(spark, tmp_path):
+    wide = spark.range(300).selectExpr("id", "array_join(transform(sequence(1, 2000), x -> uuid()), '') AS t")
+    wide.write.parquet(str(tmp_path / "wide"))
+    back = spark.read.parquet(str(tmp_path / "wide"))
+    assert "hint" not in broadcast_if_small(back, 1 << 20)._jdf.queryExecution().logical().toString().lower()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _S3_SCHEME = re.compile(r"^s3a?://", re.IGNORECASE)
@@ -99,3 +99,16 @@ def layer_path(root: str, layer: str, run_id: str | None = None) -> str:
         raise ValueError(f"unknown layer {layer!r}")
     base = f"{normalize_path(root).rstrip('/')}/{layer}/"
     return f"{base}{run_id}/" if run_id else base
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(frame: DataFrame, wanted: str) -> str:
+    """``wanted``, lengthened until the frame has no such column."""
+    taken = {name.lower() for name in frame.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

@@ -9,14 +9,23 @@ from pyspark.sql import DataFrame
 SOURCE_VIEW = "source_data"
 
 
-def mismatch(first: DataFrame, other: DataFrame, strict: bool = True) -> str:
-    """Why ``other`` cannot be united with ``first`` by position; empty when it can.
+def mismatch(first: DataFrame, other: DataFrame, strict: bool = True, by: str = "position") -> str:
+    """Why ``other`` cannot be united with ``first``; empty when it can.
+
+    By name, columns may be missing on either side; strict wants equal types for those in both.
 
     Only the column count matters with ``strict=False``. Strict also wants the same names and types
     in the same order: Spark would accept swapped columns of one type, and would widen a text column
     against a number to a number that then fails at run time.
     """
     left, right = first.schema.fields, other.schema.fields
+    if by == "name":
+        kinds = {field.name.lower(): field.dataType for field in left}
+        for field in right if strict else []:
+            expected = kinds.get(field.name.lower(), field.dataType)
+            if field.dataType != expected:
+                return f"column {field.name} is {field.dataType.simpleString()}, expected {expected.simpleString()}"
+        return ""
     if len(left) != len(right):
         return f"{len(right)} columns instead of {len(left)}"
     if strict:
@@ -33,17 +42,17 @@ def combine(frames: Sequence[DataFrame], by: str = "position", strict: bool = Tr
     """Union that keeps duplicates.
 
     ``by="position"`` takes names from the first relation; ``by="name"`` aligns columns and fills
-    missing ones with NULL. Pairs are united level by level, so many sources make a shallow plan.
+    missing ones with NULL. Either way ``strict`` refuses differing types. Pairs are united level by level, so many sources make a shallow plan.
     """
     if not frames:
         raise ValueError("nothing to combine")
     if by not in ("position", "name"):
         raise ValueError(f"by must be position or name, got {by!r}")
-    if by == "position":
-        for number, frame in enumerate(frames[1:], start=2):
-            problem = mismatch(frames[0], frame, strict)
+    for number, frame in enumerate(frames[1:], start=2):
+        for earlier, other in enumerate(frames[: number - 1] if by == "name" else frames[:1], start=1):
+            problem = mismatch(other, frame, strict, by)
             if problem:
-                raise ValueError(f"source {number} does not fit the first one: {problem}")
+                raise ValueError(f"source {number} does not fit source {earlier}: {problem}")
     level = list(frames)
     while len(level) > 1:
         pairs = [level[i : i + 2] for i in range(0, len(level), 2)]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tierflow.functions.naming import free_name, quoted
+
 
 def dedup_exact(frame: DataFrame) -> DataFrame:
     """One of each distinct row; copies already collapse before the shuffle."""
@@ -22,6 +24,7 @@ def dedup_latest(
     Spark turns the rank-one filter into a group limit on both sides of the shuffle: every task
     sends at most one row per key, so a key with a third of all rows costs no more than others.
     """
-    rank = "_dedup_rank"
-    window = Window.partitionBy(*keys).orderBy(*order_by)
+    rank = free_name(frame, "_dedup_rank")
+    order = [quoted(o) if isinstance(o, str) else o for o in order_by]
+    window = Window.partitionBy(*map(quoted, keys)).orderBy(*order)
     return frame.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) == 1).drop(rank)

@@ -24,13 +24,14 @@ class KeyLimits:
     rows_per_piece: int = 5_000_000
 
 
-def broadcast_if_small(frame: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after checking the size: at most ``max_rows + 1`` rows are looked at.
+def broadcast_if_small(frame: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast when the optimiser's size estimate is within ``max_bytes``.
 
-    A larger relation comes back without a hint, so Spark joins it by shuffle.
+    The estimate comes from the plan (file sizes, or statistics of a table), so no job is started. A
+    relation of larger or unknown size comes back without a hint, and Spark chooses the join.
     """
-    seen = frame.limit(max_rows + 1).count()
-    return frame.hint("broadcast") if seen <= max_rows else frame
+    estimate = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return frame.hint("broadcast") if int(str(estimate)) <= max_bytes else frame
 
 
 def _fields(columns: Sequence[str]) -> list[Column]:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierflow.functions.naming import free_name, quoted
 from tierflow.operators.joins import KeyLimits, all_set, key_sizes, mark_by_key
 
 FAILED_RULES = "_failed_rules"
@@ -23,7 +24,7 @@ class NotNull:
     column: str
 
     def failed(self) -> Column:
-        return F.col(self.column).isNull()
+        return quoted(self.column).isNull()
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ class InRange:
     high: object = None
 
     def failed(self) -> Column:
-        value = F.col(self.column)
+        value = quoted(self.column)
         below = F.lit(False) if self.low is None else value < F.lit(self.low)
         above = F.lit(False) if self.high is None else value > F.lit(self.high)
         return below | above
@@ -47,7 +48,7 @@ class InSet:
     allowed: tuple
 
     def failed(self) -> Column:
-        return ~F.col(self.column).isin(*self.allowed)
+        return ~quoted(self.column).isin(*self.allowed)
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ class Matches:
     pattern: str
 
     def failed(self) -> Column:
-        return ~F.col(self.column).rlike(self.pattern)
+        return ~quoted(self.column).rlike(self.pattern)
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,7 @@ Rule = RowRule | Unique | ForeignKey
 
 def _parent_keys(rule: ForeignKey) -> DataFrame:
     return (
-        rule.parent.select(F.col(rule.parent_column).alias("_parent"))
+        rule.parent.select(quoted(rule.parent_column).alias("_parent"))
         .filter(F.col("_parent").isNotNull())
         .distinct()
     )
@@ -93,7 +94,7 @@ def _judged(frame: DataFrame, rule: Unique | ForeignKey) -> tuple[DataFrame, lis
         return key_sizes(frame, columns).withColumn(
             "_bad", (F.col("_size") > 1) & all_set(columns)
         ), columns
-    column = F.col(f"`{rule.column}`")
+    column = quoted(rule.column)
     sizes = key_sizes(frame, [rule.column])
     joined = sizes.join(_parent_keys(rule), column == F.col("_parent"), "left")
     orphaned = column.isNotNull() & F.col("_parent").isNull()
@@ -152,7 +153,7 @@ def _checked(
     for number, rule in enumerate(rules):
         if isinstance(rule, (Unique, ForeignKey)):
             judged, columns = _judged(frame, rule)
-            mark = f"_mark{number}"
+            mark = free_name(marked, f"_mark{number}")
             marked = mark_by_key(marked, judged, columns, mark, limits)
             broken[rule.name] = F.col(mark)
         else:
@@ -167,7 +168,7 @@ def _names(broken: dict[str, Column]) -> Column:
 
 
 def _columns(frame: DataFrame) -> list[Column]:
-    return [F.col(f"`{name}`") for name in frame.columns]
+    return [quoted(name) for name in frame.columns]
 
 
 def flag_quality(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import FractionalType, IntegralType, StringType, StructType
 
 from tierflow.functions.naming import sanitize
 
@@ -13,7 +13,7 @@ def standardize(frame: DataFrame, schema: StructType | str) -> DataFrame:
     """Declared columns in declared order and type.
 
     Incoming names are sanitised before they are matched, a value that does not convert becomes
-    NULL, and so does a missing column.
+    NULL, and so does a missing column. A number with a fraction does not convert to a whole type.
     """
     target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     found: dict[str, str] = {}
@@ -22,13 +22,21 @@ def standardize(frame: DataFrame, schema: StructType | str) -> DataFrame:
         if clean_name in found:
             raise ValueError(f"columns {found[clean_name]!r} and {name!r} are both {clean_name!r}")
         found[clean_name] = name
-    return frame.select(*[_declared(field.name, field.dataType, found) for field in target.fields])
+    kinds = {field.name: field.dataType for field in frame.schema.fields}
+    return frame.select(*[_declared(field.name, field.dataType, found, kinds) for field in target.fields])
 
 
-def _declared(name: str, data_type, found: dict[str, str]) -> Column:
+def _declared(name: str, data_type, found: dict[str, str], kinds: dict) -> Column:
     source = found.get(sanitize(name))
     value = F.lit(None).cast(data_type) if source is None else F.col(f"`{source}`")
-    return value.try_cast(data_type).alias(name)
+    converted = value.try_cast(data_type)
+    if source is not None and isinstance(data_type, IntegralType):
+        kind = kinds[source]
+        if isinstance(kind, (FractionalType, StringType)):
+            # Spark itself would cut 3.7 to 3.
+            number = value.try_cast("decimal(38,18)")
+            converted = F.when(number.isNull() | (number == F.floor(number)), converted)
+    return converted.alias(name)
 
 
 def clean(frame: DataFrame) -> DataFrame:

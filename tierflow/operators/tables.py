@@ -135,7 +135,8 @@ def _replace_session(frame: DataFrame, name: str, path: str | None, save: Callab
             spark.sql(f"DROP TABLE IF EXISTS {other}")
             raise
         spark.sql(f"DROP TABLE {name}")
-        spark.sql(f"ALTER TABLE {other} RENAME TO {name}")
+        # The new name is given without its catalog, as the session catalog wants it.
+        spark.sql(f"ALTER TABLE {other} RENAME TO {name.split('.', 1)[1]}")
 
 
 @contextmanager

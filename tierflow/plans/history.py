@@ -176,8 +176,8 @@ def job_queue_depth(runs: DataFrame, grain: str = "hour") -> DataFrame:
     Resolution is a whole second, and within a second submissions count before starts. A running
     sum over all rows would be one task, so it is cut in two: changes are added up per second, the
     running sum stays inside a period (3,600 rows for an hour, however many runs fall into it), and
-    each period adds the depth carried in. That carry is a running sum over one row per period of
-    the whole history.
+    each period adds the depth carried in. The carry is cut in two again: inside a day, over its
+    periods, and over one row per day of the whole history, the only window without partitions.
     """
     changes = latest_runs(runs).select(
         F.inline(
@@ -208,8 +208,17 @@ def job_queue_depth(runs: DataFrame, grain: str = "hour") -> DataFrame:
         F.sum("started").alias("started"),
         F.max(F.col("net") + F.col("started")).alias("rise"),
     )
-    history = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-    carried = within.withColumn("carry", F.coalesce(F.sum(net).over(history), F.lit(0)))
+    day = F.date_trunc("day", "period")
+    daily = within.groupBy(day.alias("day")).agg(F.sum(net).alias("net"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    opening = daily.select(F.col("day"), F.coalesce(F.sum("net").over(before), F.lit(0)).alias("opening"))
+    earlier = Window.partitionBy("day").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        within.withColumn("day", day)
+        .withColumn("inside", F.coalesce(F.sum(net).over(earlier), F.lit(0)))
+        .join(opening, "day")
+        .withColumn("carry", F.col("opening") + F.col("inside"))
+    )
     return carried.select(
         "period",
         "submitted",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tierflow.operators.sinks import write_files
 from tierflow.plans.ledger import RunLedger
+from tierflow.plans.transform import Resources
 
 LOAD_COLUMNS = ("_source_file", "_run_id", "_ingested_at")
 
@@ -37,13 +39,27 @@ def ingest(
     mode: str = "append",
     metadata: bool = True,
     ledger: RunLedger | None = None,
+    name: str | None = None,
+    schedule_type: str = "manual",
+    interval_seconds: int | None = None,
 ) -> int:
     """Move a source relation (file, JDBC, Kafka, document store) to a bronze sink.
 
-    The sink format is JSONL unless Parquet is asked for.
+    The sink format is JSONL unless Parquet is asked for. The run is recorded under ``name``, by
+    default the sink's path, with its schedule, for ``ingest_status``.
     """
     started = datetime.now(timezone.utc)
-    known = {"destination": path, "submitted_at": started, "started_at": started}
+    known = {
+        "destination": path,
+        "submitted_at": started,
+        "started_at": started,
+        "name": name or path,
+        "schedule_type": schedule_type,
+        "interval_seconds": interval_seconds,
+        "spark_version": frame.sparkSession.version,
+        "application_id": frame.sparkSession.sparkContext.applicationId,
+        **asdict(Resources.of(frame.sparkSession)),
+    }
     if ledger:
         ledger.record(run_id, "RUNNING", **known)
     try:

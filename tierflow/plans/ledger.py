@@ -46,6 +46,11 @@ RUNS_SCHEMA = _schema(
     submission_attempts=_INT,
     execution_attempts=_INT,
     recorded_at=_TIME,
+    name=_TEXT,
+    schedule_type=_TEXT,
+    interval_seconds=LongType(),
+    spark_version=_TEXT,
+    application_id=_TEXT,
 )
 EVENTS_SCHEMA = _schema(
     run_id=_TEXT, time=_TIME, type=_TEXT, reason=_TEXT, message=_TEXT, object=_TEXT

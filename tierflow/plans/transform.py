@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tierflow.functions.naming import layer_path, normalize_path, split_table_name, target_table
 from tierflow.operators.combine import SOURCE_VIEW, register
 from tierflow.operators.profile import row_counts
-from tierflow.operators.sinks import overlaps, write_files
+from tierflow.operators.sinks import overlaps, path_exists, write_files
 from tierflow.operators.tables import ensure_namespace, publish_table
 from tierflow.plans.history import latest_runs
 from tierflow.plans.ledger import RunLedger
 from tierflow.session import check_catalog, workspace
-from tierflow.sources.files import SourceReport, scan, scan_all
+from tierflow.sources.files import SourceReport, combine_sources, load_sources, scan
+
+# Hidden from readers of the destination by its underscore.
+APPENDED = "_appended"
 
 Sources = DataFrame | str | Sequence[str] | Mapping[str, DataFrame | str]
 
@@ -115,11 +118,10 @@ def _register_sources(
         register(sources, SOURCE_VIEW)
         return {SOURCE_VIEW: sources}, []
     paths = [sources] if isinstance(sources, str) else list(sources)
-    combined, reports = scan_all(spark, paths, **options)
+    union = {key: options.pop(key) for key in ("by", "on_mismatch", "strict") if key in options}
+    combined, opened, reports = combine_sources(*load_sources(spark, paths, **options), **union)
     register(combined, SOURCE_VIEW)
-    shape = {key: options[key] for key in ("format", "schema") if key in options}
-    read = {r.path: scan(spark, r.path, **shape) for r in reports if r.status == "read"}
-    return read, reports
+    return dict(opened), reports
 
 
 @dataclass(frozen=True)
@@ -132,6 +134,21 @@ class Resources:
     driver_cores: int = 1
     driver_memory: str = "512m"
 
+    @classmethod
+    def of(cls, spark: SparkSession) -> Resources:
+        """What the session runs with. In local mode the driver's cores do all the work."""
+        context = spark.sparkContext
+        get = context.getConf().get
+        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        memory = get("spark.driver.memory", "1g")
+        if local:
+            return cls(0, 0, "0", context.defaultParallelism, memory)
+        cores = int(get("spark.executor.cores", "1"))
+        given = get("spark.executor.instances", None) or get("spark.dynamicAllocation.maxExecutors", None)
+        # Without a number in the settings, as many as offer the session's parallelism.
+        count = int(given) if given else max(1, context.defaultParallelism // cores)
+        return cls(count, cores, get("spark.executor.memory", "1g"), int(get("spark.driver.cores", "1")), memory)
+
 
 @dataclass(frozen=True)
 class RunResult:
@@ -146,7 +163,7 @@ class RunResult:
 
 
 def new_run_id() -> str:
-    return uuid.uuid4().hex[:8]
+    return uuid.uuid4().hex
 
 
 def run_transform(
@@ -166,7 +183,10 @@ def run_transform(
     table_path: str | None = None,
     ledger: RunLedger | None = None,
     run_id: str | None = None,
-    resources: Resources = Resources(),
+    resources: Resources | None = None,
+    name: str | None = None,
+    schedule_type: str = "manual",
+    interval_seconds: int | None = None,
 ) -> RunResult:
     """Transform, write files, then publish a table from the written files.
 
@@ -175,6 +195,14 @@ def run_transform(
     again with the same ``run_id`` and ledger goes straight to the publish. A crash between the
     publish and the ledger entry can make that second publish append twice.
 
+    An append to files leaves a hidden mark of its run in the destination as soon as it is done, so
+    calling again with the same ``run_id`` does not append again, whatever became of the ledger. Only
+    a crash between the append and its mark, two steps without work between them, can double it.
+
+    Sources that were left out are recorded as events of the run. ``resources`` are those of the
+    session unless given; ``name``, ``schedule_type`` and ``interval_seconds`` describe the job that
+    the run belongs to (see ``ingest_status``).
+
     The table gets the name ``table``, or one derived from ``destination`` when only ``catalog`` is
     given. With ``mode="append"`` it receives the rows of this run alone, not what the destination
     held before.
@@ -201,7 +229,9 @@ def run_transform(
     staged = target is not None and mode == "append"
     # Known from the run id alone, so that a resumed run finds it again.
     written_to = f"{workspace(spark)}/tierflow/runs/{run_id}" if staged else destination
-    run = _LedgerRow(ledger, run_id, statements, paths, destination, resources)
+    job = {"name": name or destination, "schedule_type": schedule_type, "interval_seconds": interval_seconds}
+    run = _LedgerRow(ledger, run_id, statements, paths, destination, resources or Resources.of(spark), job)
+    mark = f"{destination}/{APPENDED}/{run_id}"
     if resumed:
         run.resume(last)
 
@@ -214,14 +244,21 @@ def run_transform(
             run.note("SUBMITTED")
             run.record("RUNNING", started_at=datetime.now(timezone.utc))
             opened, reports = _register_sources(spark, sources, scan_options)
+            run.left_out(reports)
             if count_inputs:
                 rows_in = {r["source"]: r["row_count"] for r in row_counts(opened).collect()}
-            result = _run_statements(spark, statements, params)
-            rows = write_files(
-                result, written_to, "overwrite" if staged else mode, files=files, reads=paths
-            )
-            if staged:
-                write_files(spark.read.parquet(written_to), destination, "append", files=files)
+            done = _appended_rows(spark, mark) if mode == "append" else None
+            if done is None:
+                result = _run_statements(spark, statements, params)
+                rows = write_files(
+                    result, written_to, "overwrite" if staged else mode, files=files, reads=paths
+                )
+                if staged:
+                    write_files(spark.read.parquet(written_to), destination, "append", files=files)
+                if mode == "append":
+                    _mark_appended(spark, mark, rows)
+            else:
+                rows = done
             run.note("WRITTEN", rows_out=rows)
         if target:
             run.save()
@@ -237,6 +274,22 @@ def run_transform(
     return RunResult(run_id, "COMPLETED", rows, destination, target, rows_in, reports, warnings)
 
 
+def _appended_rows(spark: SparkSession, mark: str) -> int | None:
+    """Rows that this run has already appended, or None."""
+    if not path_exists(spark, mark):
+        return None
+    return int(spark.read.text(f"{mark}/rows").head()[0])
+
+
+def _mark_appended(spark: SparkSession, mark: str, rows: int) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{mark}/rows")
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        stream.write(bytearray(str(rows).encode()))
+    finally:
+        stream.close()
+
+
 def run_layer_transform(
     spark: SparkSession,
     sql: str | Sequence[str],
@@ -292,7 +345,7 @@ class _LedgerRow:
     """What is known about a run so far. Each state change is a whole new row of the ledger; changes
     that follow each other at once are noted first and saved together."""
 
-    def __init__(self, ledger, run_id, statements, paths, destination, resources) -> None:
+    def __init__(self, ledger, run_id, statements, paths, destination, resources, job) -> None:
         self.ledger, self.run_id, self.state = ledger, run_id, None
         self.pending: list[dict] = []
         self.known = {
@@ -303,7 +356,17 @@ class _LedgerRow:
             "submission_attempts": 1,
             "execution_attempts": 1,
             **asdict(resources),
+            **job,
         }
+        if ledger is not None:
+            self.known["spark_version"] = ledger.spark.version
+            self.known["application_id"] = ledger.spark.sparkContext.applicationId
+
+    def left_out(self, reports: Sequence[SourceReport]) -> None:
+        for report in reports if self.ledger is not None else []:
+            if report.status != "read":
+                message = f"{report.path}: {report.status} {report.detail}".strip()
+                self.ledger.event(self.run_id, "SourceLeftOut", message)
 
     def resume(self, last: dict) -> None:
         self.state = last["state"]

@@ -24,8 +24,8 @@ from tierflow.operators import (
 from tierflow.plans import Step, ingest, land_bronze, run_layers
 from tierflow.queries.registry import query, table, table_path
 from tierflow.session import scratch_path
-from tierflow.sources import scan
-from tierflow.streaming import dedup_stream, ingest_stream, stream_files
+from tierflow.sources import scan, scan_all
+from tierflow.streaming import dedup_stream, ingest_stream, merge_stream, merged_rows, stream_files
 
 
 def _late_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,6 +317,30 @@ def ingest_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, f"{root}/out")
 
 
+@query("SELECT DISTINCT * FROM events")
+def ingest_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later events come first, and again in the second batch together with all earlier ones."""
+    root = scratch_path(spark, "stream-late")
+    events = table(spark, sf_dir, "events")
+    middle = events.agg(F.timestamp_micros(F.avg(F.unix_micros(F.col("ts").cast("timestamp"))).cast("bigint"))).scalar()
+    for batch in (events.filter(F.col("ts") > middle), events):
+        batch.write.mode("append").parquet(f"{root}/in")
+        stream = stream_files(spark, f"{root}/in", events.schema)
+        merge_stream(stream, f"{root}/out", f"{root}/progress", ["event_id"], "ts").awaitTermination()
+    return merged_rows(spark, f"{root}/out", events.schema)
+
+
+@query("SELECT *, CASE WHEN event_type = 'click' THEN NULL ELSE value END AS score FROM events")
+def bronze_merged_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads of an archive, the second with a column more."""
+    path = scratch_path(spark, "bronze-merged")
+    events = table(spark, sf_dir, "events")
+    land_bronze(events.filter("event_type = 'click'"), path, "run-1")
+    land_bronze(events.filter("event_type <> 'click'").withColumn("score", F.col("value")), path, "run-2")
+    frame, _ = scan_all(spark, [path], mergeSchema="true")
+    return frame.select(*events.columns, "score")
+
+
 @query("SELECT event_id, ts, user_id, event_type, value FROM events")
 def ingest_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every event arrives twice.

@@ -76,7 +76,7 @@ sql_query(
     """
 )
 def p_join_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The hint is set on a view only after its rows have been counted up to a bound.
+    # The hint is set on a view only if its estimated size is within a bound.
     small = {name: broadcast_if_small(table(spark, sf_dir, name)) for name in ("nation", "region")}
     return transform_sql(
         spark,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 from collections.abc import Mapping
@@ -22,6 +23,8 @@ DEFAULT_CONF = {
     ),
 }
 
+log = logging.getLogger(__name__)
+
 _local_roots: dict[str, str] = {}
 
 
@@ -58,7 +61,7 @@ def object_store_conf(env: Mapping[str, str]) -> dict[str, str]:
     They must reach the builder: set on a running session the ``spark.hadoop.`` prefix is not
     stripped, so the file system never sees them. Nothing here is ever logged.
     """
-    # Hadoop S3A class names and setting keys.
+    # Hadoop S3A class names and setting keys, and the names of environment variables.
     conf = {
         "spark.hadoop.fs.s3a.impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
         "spark.hadoop.fs.s3.impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
@@ -69,7 +72,8 @@ def object_store_conf(env: Mapping[str, str]) -> dict[str, str]:
     key = env.get("AWS_ACCESS_KEY_ID")
     secret = env.get("AWS_SECRET_ACCESS_KEY") or env.get("AWS_SECRET_KEY")
     token = env.get("AWS_SESSION_TOKEN")
-    provider = "com.amazonaws.auth.DefaultAWSCredentialsProviderChain"
+    # Without keys the provider is left to Hadoop's own default, which knows role-based access.
+    provider = None
     if key and secret:
         conf["spark.hadoop.fs.s3a.access.key"] = key
         conf["spark.hadoop.fs.s3a.secret.key"] = secret
@@ -78,7 +82,8 @@ def object_store_conf(env: Mapping[str, str]) -> dict[str, str]:
             # The simple provider ignores session tokens, the temporary one reads them.
             conf["spark.hadoop.fs.s3a.session.token"] = token
             provider = "org.apache.hadoop.fs.s3a.TemporaryAWSCredentialsProvider"
-    conf["spark.hadoop.fs.s3a.aws.credentials.provider"] = provider
+    if provider:
+        conf["spark.hadoop.fs.s3a.aws.credentials.provider"] = provider
     if env.get("AWS_REGION"):
         conf["spark.hadoop.fs.s3a.endpoint.region"] = env["AWS_REGION"]
     endpoint = env.get("S3_ENDPOINT")
@@ -122,9 +127,13 @@ def workspace(spark: SparkSession) -> str:
     a missing setting is an error, because executors could not see a driver-local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if root:
+        scheme = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getScheme()
+        # It may be a network mount, which cannot be told from here.
+        if scheme == "file" and not context.master.startswith("local"):
+            log.warning("spark.checkpoint.dir is %s: every executor must have it mounted at that place", root)
         return root.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = context.applicationId

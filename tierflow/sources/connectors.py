@@ -104,14 +104,20 @@ def scan_jdbc(
     table: str,
     *,
     predicates: Sequence[str] | None = None,
+    single_task: bool = False,
     **partitioning: object,
 ) -> DataFrame:
     """Table scan with Spark's own filter, column, limit and aggregate pushdown.
 
+    Without a partition column or predicates the whole table would come through one task and one
+    connection; that must be asked for with ``single_task``.
+
     Equal strides leave a crowded key range in one task; ``predicates`` (one per task, disjoint and
     complete) cuts such a range as finely as needed.
     """
     options = jdbc_options(config, table, **partitioning)
+    if not predicates and "numPartitions" not in options and not single_task:
+        raise ValueError("give predicates or a partition column, or allow a scan in a single task")
     if predicates:
         if partitioning:
             raise ValueError("give predicates or a partition column, not both")

@@ -57,10 +57,12 @@ def load_sources(
     skip_empty: bool = False,
     format: str = "parquet",
     schema: StructType | str | None = None,
+    **options: str,
 ) -> tuple[list[tuple[str, DataFrame]], list[SourceReport]]:
-    """Open every path; with ``on_error="skip"`` an unreadable one is reported and left out.
+    """Open every path once; with ``on_error="skip"`` an unreadable one is reported and left out.
 
-    ``skip_empty`` asks for one row only, so it never counts a source.
+    ``skip_empty`` asks for one row only, so it never counts a source. ``options`` go to the reader,
+    such as ``mergeSchema="true"`` for Parquet files that differ in columns.
     """
     if on_error not in ("skip", "fail"):
         raise ValueError(f"on_error must be skip or fail, got {on_error!r}")
@@ -68,7 +70,7 @@ def load_sources(
     reports: list[SourceReport] = []
     for path in paths:
         try:
-            frame = scan(spark, path, format, schema)
+            frame = scan(spark, path, format, schema, **options)
             empty = skip_empty and frame.isEmpty()
         except (PySparkException, Py4JJavaError) as error:
             if on_error == "fail":
@@ -94,6 +96,7 @@ def scan_all(
     strict: bool = True,
     format: str = "parquet",
     schema: StructType | str | None = None,
+    **options: str,
 ) -> tuple[DataFrame, list[SourceReport]]:
     """All readable sources as one relation, with a report per source.
 
@@ -101,14 +104,26 @@ def scan_all(
     or is reported as ``mismatched`` and left out with ``on_mismatch="skip"``.
     """
     opened, reports = load_sources(
-        spark, paths, on_error=on_error, skip_empty=skip_empty, format=format, schema=schema
+        spark, paths, on_error=on_error, skip_empty=skip_empty, format=format, schema=schema, **options
     )
+    return combine_sources(opened, reports, by=by, on_mismatch=on_mismatch, strict=strict)[::2]
+
+
+def combine_sources(
+    opened: list[tuple[str, DataFrame]],
+    reports: list[SourceReport],
+    *,
+    by: str = "position",
+    on_mismatch: str = "fail",
+    strict: bool = True,
+) -> tuple[DataFrame, list[tuple[str, DataFrame]], list[SourceReport]]:
+    """Opened sources as one relation, the sources it is made of, and the reports."""
     if not opened:
         found = "; ".join(f"{r.path}: {r.status}" for r in reports)
         raise ValueError(f"no data could be read from any source ({found})")
-    if by == "position" and on_mismatch == "skip":
+    if on_mismatch == "skip":
         first = opened[0][1]
-        problems = {path: mismatch(first, frame, strict) for path, frame in opened}
+        problems = {path: mismatch(first, frame, strict, by) for path, frame in opened}
         reports = [
             SourceReport(r.path, "mismatched", problems[r.path])
             if r.status == "read" and problems[r.path]
@@ -116,7 +131,7 @@ def scan_all(
             for r in reports
         ]
         opened = [(path, frame) for path, frame in opened if not problems[path]]
-    return combine([frame for _, frame in opened], by=by, strict=strict), reports
+    return combine([frame for _, frame in opened], by=by, strict=strict), opened, reports
 
 
 def _first_line(error: Exception) -> str:
