@@ -84,7 +84,7 @@ def test_links_carry_pairs(spark):
 
 def test_one_stays(spark):
     rows = make(4)
-    frame = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, source string")
+    frame = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id bigint, text string, its_doc string, its_key int")
     kept = keep_one_of_each(frame)
     expected, _ = brute(rows)
     wanted = sorted({c for (i, t), (_, c, _) in zip(rows, expected) if grams(t)}) + [1000, 1001, 1002]

@@ -14,6 +14,7 @@ from tierflow.llm.common import FOLD, batch, col, map_arrow, texts_of
 
 WINDOW = 10
 AUTOMATON_WORDS = 200_000
+ITEM_BYTES = 256 << 20
 
 
 class WordAutomaton:
@@ -155,12 +156,16 @@ def build_automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "
     """The items in groups of about ``max_words`` words, one automaton each.
 
     Test items are the small side by nature: they are gathered to the driver and sent to every task,
-    a few hundred bytes each. However many there are, a task holds one automaton at a time.
+    up to ``ITEM_BYTES`` in all; more is an error, to be met by several runs over parts of the items.
+    However many there are, a task holds one automaton at a time.
     """
     rows = benchmark.select(col(item_id).cast("string"), col(text)).toLocalIterator()
     groups: list[list[tuple[str | None, bytes]]] = [[]]
-    size = 0
+    size = total = 0
     for name, body in rows:
+        total += len(body or "")
+        if total > ITEM_BYTES:
+            raise ValueError(f"the benchmark has more than {ITEM_BYTES} characters; search it in parts")
         words = (body or "").encode().translate(FOLD).split()
         if not words:
             continue

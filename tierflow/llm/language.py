@@ -261,18 +261,21 @@ def identify_languages(
     return map_arrow(docs.select(col(id_column).cast("bigint"), col(text_column)), run, SPANS)
 
 
-def predict_languages(docs: DataFrame, **options) -> DataFrame:
+def predict_languages(
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options
+) -> DataFrame:
     """Fit on the documents that may be learned and label all: ``doc_id, held_out, lang_pred, score``."""
-    model = fit_languages(docs, **options)
-    return identify_languages(docs, model).select(
+    names = {"id_column": id_column, "text_column": text_column}
+    model = fit_languages(docs, **names, **options)
+    return identify_languages(docs, model, **names).select(
         "doc_id", (~learnable(F.col("doc_id")) & F.col("doc_id").isNotNull()).alias("held_out"), "lang_pred", "score"
     )
 
 
-def keep_languages(docs: DataFrame, *, min_share: float = 0.5, text_column: str = "text") -> DataFrame:
+def keep_languages(docs: DataFrame, *, min_share: float = 0.5, text_column: str = "text", **options) -> DataFrame:
     """``docs`` whose text has a language, with ``min_share`` of its letters in the predicted one.
     Columns and rows are otherwise as they were."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_languages(docs, text_column=text_column))
+    model = docs.sparkSession.sparkContext.broadcast(fit_languages(docs, text_column=text_column, **options))
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierflow.functions.naming import free_name
 from tierflow.llm.common import FOLD, batch, col, map_arrow, saved, texts_of
 from tierflow.llm.components import connected_components
 
@@ -400,15 +401,16 @@ def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     texts = rows.groupBy("mark").agg(first.alias("first"))
     grouped = texts.join(joined.groups, F.col("mark") == F.col("node"), "left")
     kept = grouped.groupBy(F.coalesce("component", "mark").alias("g")).agg(F.min("first").alias("first"))
-    kept = saved(kept.select(F.col("first.doc_id").alias("its_doc"), F.col("first.text_key").alias("its_key")), "kept")
-    without = joined.rows.filter("mark IS NULL").select(F.col("doc_id").alias("its_doc"), F.col("text_key").alias("its_key"))
+    its_doc, its_key = free_name(docs, "its_doc"), free_name(docs, "its_key")
+    kept = saved(kept.select(F.col("first.doc_id").alias(its_doc), F.col("first.text_key").alias(its_key)), "kept")
+    without = joined.rows.filter("mark IS NULL").select(F.col("doc_id").alias(its_doc), F.col("text_key").alias(its_key))
     stays = kept.unionAll(without.distinct())
     key = F.xxhash64(F.coalesce(col(text_column), F.lit("")))
-    same = (key == F.col("its_key")) & col(id_column).cast("bigint").eqNullSafe(F.col("its_doc"))
+    same = (key == F.col(its_key)) & col(id_column).cast("bigint").eqNullSafe(F.col(its_doc))
     left = docs.join(stays, same, "left_semi")
     if not _has_repeats(rows):
         return left
     repeated = rows.groupBy("doc_id", "text_key").count().filter("count > 1")
-    repeated = saved(repeated.select(F.col("doc_id").alias("its_doc"), F.col("text_key").alias("its_key")), "repeated")
+    repeated = saved(repeated.select(F.col("doc_id").alias(its_doc), F.col("text_key").alias(its_key)), "repeated")
     once = left.join(repeated, same, "left_semi").dropDuplicates([id_column, text_column])
     return left.join(repeated, same, "left_anti").unionByName(once)

@@ -223,3 +223,32 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+# All pairs with an n-gram in common, and their closure.
+ORACLES["op2_ngram_join"] = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+grams AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS gram
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM d)),
+sets AS (SELECT r, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS k FROM grams GROUP BY r),
+texts AS (SELECT k, min(r) AS r, min(n) AS n FROM sets GROUP BY k),
+held AS (SELECT k, gram FROM texts JOIN grams USING (r)),
+pairs AS (
+  SELECT a.k AS ka, b.k AS kb, count(*) AS c FROM held a JOIN held b ON a.gram = b.gram AND a.k < b.k GROUP BY a.k, b.k),
+links AS (
+  SELECT ka, kb FROM pairs JOIN texts ta ON ta.k = ka JOIN texts tb ON tb.k = kb
+  WHERE c::DOUBLE / (ta.n + tb.n - c) >= 0.8::DOUBLE),
+edges AS (SELECT ka, kb FROM links UNION ALL SELECT kb, ka FROM links),
+reach AS (
+  SELECT DISTINCT ka AS k, ka AS root FROM edges
+  UNION SELECT kb, root FROM reach JOIN edges ON ka = k),
+groups AS (SELECT k, min(root) AS root FROM reach GROUP BY k),
+degree AS (SELECT ka AS k, count(*) AS n_links FROM edges GROUP BY ka),
+labelled AS (
+  SELECT doc_id, coalesce(root, sets.k) AS g, coalesce(n_links, 0) AS n_links
+  FROM d JOIN sets USING (r) LEFT JOIN groups ON groups.k = sets.k LEFT JOIN degree ON degree.k = sets.k)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS class_id, CAST(n_links AS BIGINT) AS n_links FROM labelled
+UNION ALL SELECT doc_id, doc_id, 0 FROM d WHERE len(w) = 0
+"""
