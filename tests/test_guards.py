@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tierflow.__main__ import job_arguments, report, run_job
 from tierflow.functions import exact_sum
-from tierflow.operators import InRange, NotNull, Unique, dedup_latest, flag_quality, publish_table, standardize, write_files
+from tierflow.operators import InRange, NotNull, Unique, dedup_latest, flag_quality, publish_table, standardize, write_files, write_quality
 from tierflow.operators.combine import combine
 from tierflow.plans import RunLedger, Step, ingest, run_layers, run_transform
 from tierflow.plans.history import ingest_status, job_queue_depth, job_resource_usage
@@ -210,3 +210,10 @@ def test_sums_and_whole_numbers_do_not_lose_fractions(spark):
         spark.sql("SELECT 0.004D AS v").agg(exact_sum("v")).collect()
     mixed = spark.sql("SELECT 3.7D AS a, 3.0D AS b, '4.5' AS c, '4' AS d, 2.5 AS e")
     assert tuple(standardize(mixed, "a INT, b INT, c BIGINT, d BIGINT, e INT").head()) == (None, 3, None, 4, None)
+
+
+def test_one_write_for_both_outcomes(spark, tmp_path):
+    frame = spark.range(10).selectExpr("id", "id % 3 AS _passed")
+    good, bad = write_quality(frame, [InRange("low", "id", 0, 6)], str(tmp_path / "split"))
+    assert good.columns == frame.columns and good.count() == 7
+    assert bad.columns == [*frame.columns, "_failed_rules"] and {tuple(r["_failed_rules"]) for r in bad.collect()} == {("low",)}

@@ -14,6 +14,7 @@ from tierflow.operators.quality import (
     check_quality,
     flag_quality,
     split_quality,
+    write_quality,
 )
 from tierflow.operators.silver import clean, standardize
 from tierflow.operators.sinks import write_files
@@ -45,6 +46,7 @@ __all__ = [
     "row_counts",
     "schema_report",
     "split_quality",
+    "write_quality",
     "standardize",
     "write_files",
 ]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tierflow.functions.naming import free_name, quoted
 from tierflow.operators.joins import KeyLimits, all_set, key_sizes, mark_by_key
+from tierflow.operators.sinks import write_files
 
 FAILED_RULES = "_failed_rules"
 
@@ -188,9 +189,22 @@ def split_quality(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows that pass, in their own schema, and quarantined rows with ``_failed_rules``.
 
-    To write both at once, write ``flag_quality`` partitioned by whether the list is empty.
+    Each of the two is a run of its own over the rows; ``write_quality`` writes both in one.
     """
     marked, broken = _checked(frame, rules, limits)
     bad = reduce(Column.__or__, broken.values())
     passed = marked.filter(~bad).select(*_columns(frame))
     return passed, marked.filter(bad).select(*_columns(frame), _names(broken))
+
+
+def write_quality(
+    frame: DataFrame, rules: Sequence[Rule], path: str, limits: KeyLimits = KeyLimits()
+) -> tuple[DataFrame, DataFrame]:
+    """Write passed and quarantined rows in one pass, as two partitions below ``path``, and read each
+    back as ``split_quality`` gives it."""
+    passed = free_name(frame, "_passed")
+    flagged = flag_quality(frame, rules, limits)
+    write_files(flagged.withColumn(passed, F.size(FAILED_RULES) == 0), path, partition_by=[passed])
+    back = frame.sparkSession.read.schema(flagged.schema.add(passed, "boolean")).parquet(path)
+    good, bad = back.filter(quoted(passed)), back.filter(~quoted(passed))
+    return good.select(*_columns(frame)), bad.select(*_columns(frame), quoted(FAILED_RULES))

@@ -20,6 +20,7 @@ from tierflow.operators import (
     gold_aggregate,
     split_quality,
     standardize,
+    write_quality,
 )
 from tierflow.plans import Step, ingest, land_bronze, run_layers
 from tierflow.queries.registry import query, table, table_path
@@ -112,7 +113,8 @@ def quality_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def quality_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    passed, _ = split_quality(table(spark, sf_dir, "lineitem"), _line_rules(spark, sf_dir))
+    lines, path = table(spark, sf_dir, "lineitem"), scratch_path(spark, "quality")
+    passed, _ = write_quality(lines, _line_rules(spark, sf_dir), path)
     return passed.groupBy(F.col("l_returnflag").alias("flag")).agg(
         F.count(F.lit(1)).alias("passed"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity")
     )
