@@ -153,6 +153,7 @@ class PieceEncoder:
         self.raw = Tokenizer.from_str(self.library.to_str())
         self.raw.normalizer = normalizers.Sequence([])
         self.pairs = {p[i : i + 2] for p, _, _ in self.model.pieces for i in range(len(p) - 1)}
+        self.begins = np.array([p[0] == MARK for p, _, _ in self.model.pieces])
         apart = not any(p[1] == MARK and p[0] != MARK for p in self.pairs)
         plain = self.model.kind == BPE and not self.model.character_map and not self.model.trim_blanks
         lines = not any("\n" in p for p in self.pairs)
@@ -162,6 +163,19 @@ class PieceEncoder:
     def _batch(self, tokenizer, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def _learn_marked(self, words: list[str]) -> None:
+        """Words that begin with the mark, many in one call: as a cut before a mark changes nothing,
+        each word's ids begin with the next piece that has one."""
+        for low in range(0, len(words), 500):
+            some = words[low : low + 500]
+            ids = np.array(self.raw.encode("".join(some), add_special_tokens=False).ids, "<u4")
+            firsts = np.flatnonzero(self.begins[ids])
+            if len(firsts) == len(some):
+                data, cuts = ids.tobytes(), [*(4 * firsts).tolist(), 4 * len(ids)]
+                self.cache.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+            else:
+                self.cache.update(zip(some, self._batch(self.raw, some)))
+
     def _learn(self, missing: set[str]) -> None:
         cache, split, whole = self.cache, {}, set()
         for word in missing:
@@ -171,7 +185,8 @@ class PieceEncoder:
                 whole.update(x for x in split[word] if x not in cache)
             else:
                 whole.add(word)
-        order = list(whole)
+        self._learn_marked([w for w in whole if w[:1] == MARK])
+        order = [w for w in whole if w[:1] != MARK]
         cache.update(zip(order, self._batch(self.raw, order)))
         for word, (body, tail) in split.items():
             cache[word] = cache[body] + cache[tail]
