@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from tierflow.llm.token_files import token_files
 PATH = tokenizer_file("word_bpe_49k.json")
 ODD = [
     "", "  ", "Hi<|endoftext|> You", "<|EndOfText|>", "it's don't. 'S x's, — a—, b c d", "Σας ΣΑΣ. İstanbul",
-    "a" * 5000 + "!!?", "x.,y.", "'s 's.", "é. É, 漢字. 漢字", "\x1c a\x1fb", "1234. 5.,", "word " * 3000,
+    "a" * 5000 + "!!?", "x.,y.", "'s 's.", "é. É, 漢字. 漢字", "\x1c a\x1fb", "1234. 5.,", "İ- İ.() aİ, b", "word " * 3000,
 ]
 
 
@@ -34,6 +35,16 @@ def test_cached_pieces_equal_whole_texts():
     assert [x.tolist() for x in WordEndEncoder(PATH).encode([t.encode() for t in ODD])] == expected
 
 
+def test_random_texts_equal_the_library():
+    rng = random.Random(4)
+    parts = ["a", "B", "The", "é", "ß", "İ", "Σ", " ", " ", "\n", "\xa0", "́", "‍", "'s", "'LL", ".", ",", "!!", "—", "_", "1",
+             "²", "漢", "한", "ا", "😀", "<|", "<|endoftext|>", "\x00", "\x1c", "\x85", "ǅ", "ﬁ", "K", "()"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    library = Tokenizer.from_file(PATH)
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in WordEndEncoder(PATH).encode([t.encode() for t in texts])] == expected
+
+
 def test_files_against_plain_loop(spark):
     rows = [(i * 7 % 13, t, "x") for i, t in enumerate(ODD)] + [(20, None, "x"), (3, "again", "y"), (3, "again", "y")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, start string")

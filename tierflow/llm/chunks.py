@@ -76,11 +76,12 @@ class WordEndEncoder:
         for chunk in missing:
             body = chunk.rstrip(self.TAIL)
             text = body.decode()
-            # Lowering may turn a letter into a letter and a mark, which the splitter parts.
+            # Lowering may turn a letter into a letter and a mark, which the splitter parts from the
+            # letter and joins to punctuation that follows.
             plain = text.isalpha() and (text.isascii() or text.lower().isalpha())
             if plain and len(body) == len(chunk):
                 words.add(chunk)
-            elif body and len(body) < len(chunk) and text[-1].isalpha():
+            elif body and len(body) < len(chunk) and text[-1].isalpha() and text[-1].lower().isalpha():
                 tail = chunk[len(body) :]
                 split[chunk] = body, tail
                 if body not in cache:
