@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tierflow.session import scratch_path
 
@@ -18,6 +19,9 @@ FOLD = bytes(
 )
 
 
+SLICE_ROWS = 512
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -48,9 +52,19 @@ def fold_words(text: bytes) -> list[bytes]:
 
 
 def map_arrow(
-    frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
+    frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
-    return frame.mapInArrow(function, schema)
+    """``mapInArrow`` in slices of ``SLICE_ROWS`` rows: an Arrow batch may hold 10,000 texts, and what
+    a task makes of them in Python should not all exist at once. Memory that Arrow keeps for later is
+    given back when the task ends, for the worker lives on through the stages of a job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(b.slice(low, SLICE_ROWS) for b in batches for low in range(0, b.num_rows, SLICE_ROWS))
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return frame.mapInArrow(run, schema)
 
 
 def batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:

@@ -324,4 +324,4 @@ def remove_matches(
                     columns[size_at] = pa.array(new, columns[size_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -24,7 +24,7 @@ SCRIPTS = 15
 BUCKETS = 1 << 16
 FIT_DOCS = 20_000
 SWITCH_PENALTY = 8.0
-STEP_CHARS = 1_000_000
+STEP_CHARS = 500_000
 
 _TABLE = 0x20000
 _starts, _scripts = (np.array(x) for x in zip(*SCRIPT_RANGES))
@@ -287,4 +287,4 @@ def keep_languages(docs: DataFrame, *, min_share: float = 0.5, text_column: str
                 keep += [lang != "und" and share >= min_share for _, lang, share in found]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -20,7 +20,7 @@ NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
-STEP_BYTES = 1_000_000
+STEP_BYTES = 500_000
 # A bucket is cut into blocks of about this many texts or n-grams; pairs of blocks are dealt out.
 BLOCK_TEXTS = 256
 BLOCK_NGRAMS = 4_000_000

@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tierflow.llm.chunks import CACHE_ENTRIES, encoder
+from tierflow.llm.chunks import encoder
 from tierflow.llm.common import batch, col, map_arrow
 
 MARK = "▁"
 STEP_DOCS = 128
+CACHE_ENTRIES = 300_000
 
 # Field numbers, kinds and defaults of the public model format.
 UNIGRAM, BPE = 1, 2
@@ -105,6 +106,12 @@ def _bpe(model: PieceModel):
     return models.BPE(ids, merges, unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback)
 
 
+def _back() -> list:
+    from tokenizers import decoders
+
+    return [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+
+
 def build_tokenizer(model: PieceModel):
     """The model as a tokenizers pipeline: character map, white space, pieces, and the way back."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
@@ -123,10 +130,8 @@ def build_tokenizer(model: PieceModel):
         steps.append(normalizers.Prepend(MARK))
     steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    if model.dummy_prefix:
-        back.append(decoders.Strip(" ", 1, 0))
-    tokenizer.decoder = decoders.Sequence(back)
+    strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
+    tokenizer.decoder = decoders.Sequence([*_back(), *strip])
     return tokenizer
 
 
@@ -147,7 +152,7 @@ class PieceEncoder:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         with open(path, "rb") as file:
             self.model = PieceModel.parse(file.read())
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, decoders, normalizers
 
         self.library = build_tokenizer(self.model)
         self.raw = Tokenizer.from_str(self.library.to_str())
@@ -159,6 +164,11 @@ class PieceEncoder:
         lines = not any("\n" in p for p in self.pairs)
         self.cuts = plain and apart and lines and self.model.dummy_prefix
         self.cache: dict[str, bytes] = {}
+        single = Tokenizer.from_str(self.library.to_str())
+        single.decoder = decoders.Sequence(_back())
+        known = len(self.model.pieces)
+        self.texts = single.decode_batch([[i] for i in range(known)], skip_special_tokens=False)
+        self.high = np.array([kind == BYTE and int(piece[3:5], 16) > 127 for piece, _, kind in self.model.pieces])
 
     def _batch(self, tokenizer, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
@@ -211,7 +221,16 @@ class PieceEncoder:
         return [np.frombuffer(x, "<u4") for x in raw]
 
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
-        return self.library.decode_batch([list(x) for x in ids], skip_special_tokens=False)
+        """Text of each list of ids. The decoder treats pieces one by one, except that it puts bytes
+        beyond ASCII together; lists with such bytes go to it whole, the others are put together from
+        what it has given for each piece."""
+        rows = [np.asarray(row, dtype="<u4") for row in ids]
+        whole = [bool(self.high[row].any()) for row in rows]
+        rest = iter(self.library.decode_batch([r.tolist() for r, w in zip(rows, whole) if w], skip_special_tokens=False))
+        get = self.texts.__getitem__
+        texts = [next(rest) if w else "".join(map(get, r.tolist())) for r, w in zip(rows, whole)]
+        blank = self.model.dummy_prefix
+        return [t[1:] if blank and not w and t[:1] == " " else t for t, w in zip(texts, whole)]
 
 
 def _reference(path: str):
