@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+import corpus_pipeline
 from tierflow.llm.language import (
     _viterbi,
     fit_languages,
@@ -78,3 +79,28 @@ def test_held_out_accuracy(spark, medium_dir):
     assert len(held) > 150 and (held.lang == held.lang_pred).mean() > 0.97
     kept = keep_languages(docs)
     assert kept.schema == docs.schema and kept.count() == docs.count()
+
+
+def test_mixed_and_unlearned_texts_go(spark, medium_dir):
+    """The pipeline's stage, and without its limits the unlearned script alone."""
+    docs = spark.read.parquet(f"{medium_dir}/documents.parquet")
+    pure = [r for r in docs.filter("length(text) between 900 and 4000").orderBy("doc_id").collect()]
+    by = {lang: [r.text for r in pure if r.lang == lang] for lang in ("de", "en", "es", "fr")}
+    planted = []
+    for (a, b), part in itertools.product(itertools.combinations(by, 2), (0.5, 0.6, 0.7)):
+        for one, other in zip(by[a][:5], by[b][:5]):
+            planted.append(("mixed", one[: int(800 * part)] + "\n" + other[: int(800 * (1 - part))]))
+    planted += [("script", "漢字仮名 交じり文の例 " * n) for n in (1, 30)]
+    planted += [("script", by["en"][0][:200] + "漢字仮名 交じり文の例 " * 30)]
+    planted += [("unlearned", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * n) for n in (1, 9)]
+    # No language given: nothing is learned from them.
+    rows = [(-1 - i, text, None, kind, len(text)) for i, (kind, text) in enumerate(planted)]
+    table = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    both = table.union(spark.createDataFrame(rows, table.schema)).cache()
+    kept = corpus_pipeline.language(spark, both, medium_dir).select("doc_id", "source").collect()
+    gone = {r.doc_id for r in docs.select("doc_id").collect()} - {r.doc_id for r in kept}
+    assert [r.source for r in kept if r.doc_id < 0] == []
+    # The table has a few texts in two languages of its own; one-language texts stay.
+    assert len(gone) <= 10
+    lax = {r.source for r in keep_languages(both).filter("doc_id < 0").collect()}
+    assert "script" not in lax and "mixed" in lax

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,14 @@ BUCKETS = 1 << 16
 FIT_DOCS = 20_000
 SWITCH_PENALTY = 8.0
 STEP_CHARS = 500_000
+# Letters of another language count as such where that language explains them better by this much a
+# letter; less is chance.
+CLEAR_GAIN = 1.0
+# A text as likely as those learned: allowance for short ones in standard deviations of a trigram, and
+# how far below the median one may lie, as a multiple of the distance of the learned quantile.
+SHORT_ALLOWANCE = 15.0
+FLOOR_QUANTILE = 0.05
+FLOOR_REACH = 5.0
 
 _TABLE = 0x20000
 _starts, _scripts = (np.array(x) for x in zip(*SCRIPT_RANGES))
@@ -41,6 +50,12 @@ class LanguageModel:
     scores: np.ndarray
     uses: np.ndarray
 
+    @cached_property
+    def spread(self) -> np.ndarray:
+        """Standard deviation of the log probability of a trigram of each language."""
+        p = np.exp(self.scores.astype(np.float64))
+        return np.sqrt((p * (self.scores - (p * self.scores).sum(axis=0)) ** 2).sum(axis=0))
+
 
 @dataclass(frozen=True)
 class _Words:
@@ -91,6 +106,18 @@ def _steps(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield low, texts[low:]
 
 
+def _sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str, max_docs: int) -> DataFrame:
+    """``d, t, l``: id, text and language of about ``max_docs`` documents that may be learned."""
+    usable = docs.select(
+        col(id_column).alias("d"), col(text_column).alias("t"), col(lang_column).cast("string").alias("l")
+    ).filter(learnable(F.col("d")) & F.col("l").isNotNull())
+    n = usable.count()
+    share = min(1.0, max_docs / n) if n else 1.0
+    if share < 1:
+        usable = usable.filter(F.pmod(F.xxhash64(F.col("d").cast("string")), F.lit(1_000_000)) < int(share * 1e6))
+    return usable
+
+
 def fit_languages(
     docs: DataFrame,
     *,
@@ -105,14 +132,10 @@ def fit_languages(
     in tasks. The driver gets one row per language and bucket or script at most. With nothing to learn
     from, the model has no language and predicts none.
     """
-    usable = docs.select(
-        col(id_column).alias("d"), col(text_column).alias("t"), col(lang_column).cast("string").alias("l")
-    ).filter(learnable(F.col("d")) & F.col("l").isNotNull())
-    n = usable.count()
-    share = min(1.0, max_docs / n) if n else 1.0
-    if share < 1:
-        usable = usable.filter(F.pmod(F.xxhash64(F.col("d").cast("string")), F.lit(1_000_000)) < int(share * 1e6))
+    return _fit(_sample(docs, id_column, text_column, lang_column, max_docs))
+
 
+def _fit(usable: DataFrame) -> LanguageModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b.column(1).to_pylist()
@@ -196,6 +219,41 @@ def _viterbi(emission: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float)
     return label
 
 
+@dataclass(frozen=True)
+class _Evidence:
+    """Per text: number of the language with most letters, its share of all letters, its lead, and the
+    likelihood of its letters with the allowance for short texts."""
+
+    best: np.ndarray
+    share: np.ndarray
+    lead: np.ndarray
+    fit: np.ndarray
+
+
+def _evidence(words: _Words, labels: np.ndarray, n: int, model: LanguageModel) -> _Evidence:
+    """The lead is the share of letters in the language, or not clearly in another, less the share of all
+    others, 0 at least. Letters in a script that no learned language uses are no evidence for any."""
+    many = len(model.languages)
+    size = words.end - words.start
+    at = words.doc * many + labels
+    best = np.bincount(at, size, minlength=n * many).reshape(n, many).argmax(axis=1)
+    main = best[words.doc]
+    used = model.uses.any(axis=1)[words.script]
+    weights = np.bincount(at, size * used, minlength=n * many).reshape(n, many)
+    letters = np.maximum(np.bincount(words.doc, size, minlength=n), 1)
+    mine = theirs = np.zeros(len(size))
+    if len(size):
+        theirs = np.add.reduceat(model.scores[words.buckets, np.repeat(labels, size)], words.first, dtype=np.float64)
+        mine = np.add.reduceat(model.scores[words.buckets, np.repeat(main, size)], words.first, dtype=np.float64)
+    gain = np.bincount(at, (theirs - mine) * used, minlength=n * many).reshape(n, many)
+    foreign = np.where(gain >= CLEAR_GAIN * np.maximum(weights, 1), weights, 0)
+    own = weights[np.arange(n), best]
+    clear = (weights.sum(axis=1) - foreign.sum(axis=1)) / letters
+    mean = np.bincount(words.doc, mine * (used & (labels == main)), minlength=n) / np.maximum(own, 1)
+    fit = mean + SHORT_ALLOWANCE * model.spread[best] / np.sqrt(np.maximum(own, 1))
+    return _Evidence(best, own / letters, np.maximum(2 * clear - 1, 0), fit)
+
+
 SPANS = "doc_id bigint, spans array<struct<start:int,end:int,lang:string>>, lang_pred string, score double"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
@@ -203,25 +261,21 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang"
 def _label(texts: list[str], model: LanguageModel, penalty: float) -> list[tuple[list[dict], str, float]]:
     words = _words(texts)
     labels = _viterbi(_emissions(words, model), words.doc, len(texts), penalty)
+    evidence = _evidence(words, labels, len(texts), model)
     breaks = np.flatnonzero((np.diff(words.doc, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
     ends = np.append(breaks, len(labels))[1:] - 1
-    letters = np.add.reduceat(words.end - words.start, breaks) if len(breaks) else np.zeros(0, dtype=np.int64)
-    found: list[tuple[list[dict], np.ndarray]] = [([], np.zeros(len(model.languages))) for _ in texts]
-    for doc, lang, start, end, n in zip(
+    found: list[list[dict]] = [[] for _ in texts]
+    for doc, lang, start, end in zip(
         words.doc[breaks].tolist(),
         labels[breaks].tolist(),
         words.start[breaks].tolist(),
         words.end[ends].tolist(),
-        letters.tolist(),
     ):
-        found[doc][0].append({"start": start, "end": end, "lang": model.languages[lang]})
-        found[doc][1][lang] += n
-    out = []
-    for spans, weights in found:
-        best = int(weights.argmax()) if spans else 0
-        share = float(weights[best] / weights.sum()) if spans else 0.0
-        out.append((spans, model.languages[best] if spans else "und", share))
-    return out
+        found[doc].append({"start": start, "end": end, "lang": model.languages[lang]})
+    return [
+        (spans, model.languages[best], lead) if spans else (spans, "und", 0.0)
+        for spans, best, lead in zip(found, evidence.best.tolist(), evidence.lead.tolist())
+    ]
 
 
 def identify_languages(
@@ -235,8 +289,10 @@ def identify_languages(
     """Per document ``doc_id, spans, lang_pred, score``.
 
     Words are runs of letters. ``spans`` are stretches of words with one language, by character. The
-    predicted language has most letters, ``score`` is its share of them; equal shares go to the first
-    name. Text that is null or has no letter gives no span, ``und`` and 0, and so does every text if
+    predicted language has most letters; equal shares go to the first name. ``score`` is its lead: 1 in
+    one language alone, 0 in two by halves, 0.5 at three letters to one; letters of another language
+    count where that language explains them clearly better (``CLEAR_GAIN``), and letters in a script
+    that no learned language uses count against all. Text that is null or has no letter gives no span, ``und`` and 0, and so does every text if
     the model knows no language. Repeated rows and null ids give a row each; other columns are not
     looked at.
     """
@@ -272,19 +328,69 @@ def predict_languages(
     )
 
 
-def keep_languages(docs: DataFrame, *, min_share: float = 0.5, text_column: str = "text", **options) -> DataFrame:
-    """``docs`` whose text has a language, with ``min_share`` of its letters in the predicted one.
-    Columns and rows are otherwise as they were."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_languages(docs, text_column=text_column, **options))
+def _judge(texts: list[str], model: LanguageModel) -> _Evidence:
+    words = _words(texts)
+    labels = _viterbi(_emissions(words, model), words.doc, len(texts), SWITCH_PENALTY)
+    return _evidence(words, labels, len(texts), model)
+
+
+def fit_floors(usable: DataFrame, model: LanguageModel) -> np.ndarray:
+    """Per language the least likelihood of a text in it, from the texts that were learned. Texts of a
+    language that gave no sample are not held against one."""
+    floors = np.full(len(model.languages), -np.inf)
+    if not model.languages:
+        return floors
+    shared = usable.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, part in _steps([t or "" for t in b.column(0).to_pylist()]):
+                found = _judge(part, shared.value)
+                there = found.share > 0
+                yield batch({"lang": (found.best[there], pa.int32()), "fit": (found.fit[there], pa.float64())})
+
+    low, middle = FLOOR_QUANTILE, 0.5
+    rows = map_arrow(usable.select("t"), run, "lang int, fit double").groupBy("lang")
+    for row in rows.agg(F.percentile("fit", F.array(F.lit(low), F.lit(middle))).alias("q")).collect():
+        floors[row.lang] = row.q[1] - FLOOR_REACH * (row.q[1] - row.q[0])
+    return floors
+
+
+def keep_languages(
+    docs: DataFrame,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    lang_column: str = "lang",
+    max_docs: int = FIT_DOCS,
+    min_share: float = 0.5,
+    min_score: float = 0.0,
+    typical: bool = False,
+) -> DataFrame:
+    """``docs`` whose text has a learned language. Columns and rows are otherwise as they were.
+
+    ``min_share`` of all letters are in the predicted language, and its lead over all else, the score of
+    ``identify_languages``, is ``min_score`` or more; letters in a script that no learned language uses
+    are in none. With ``typical`` the letters of the language must also be about as likely in it as those of the
+    texts it was learned from, which a text in an unlearned language of a learned script is not.
+    """
+    usable = _sample(docs, id_column, text_column, lang_column, max_docs)
+    fitted = _fit(usable)
+    floors = fit_floors(usable, fitted) if typical else np.full(len(fitted.languages), -np.inf)
+    model = docs.sparkSession.sparkContext.broadcast((fitted, floors))
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned, floors = model.value
         for b in batches:
             keep: list[bool] = []
             for _, part in _steps([t or "" for t in b.column(at).to_pylist()]):
-                known = bool(model.value.languages)
-                found = _label(part, model.value, SWITCH_PENALTY) if known else [([], "und", 0.0)] * len(part)
-                keep += [lang != "und" and share >= min_share for _, lang, share in found]
+                if not learned.languages:
+                    keep += [False] * len(part)
+                    continue
+                x = _judge(part, learned)
+                good = (x.share > 0) & (x.share >= min_share) & (x.lead >= min_score) & (x.fit >= floors[x.best])
+                keep += good.tolist()
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
