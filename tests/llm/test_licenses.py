@@ -1,8 +1,9 @@
 import random
+import textwrap
 
 import pytest
 
-from tierflow.llm.licenses import TemplateIndex, license_report, scan_licenses
+from tierflow.llm.licenses import TEMPLATES, TemplateIndex, license_report, scan_licenses
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -55,3 +56,35 @@ def test_blocks_are_numbered(spark):
     frame = spark.createDataFrame([(1, "a\n\nb Released under MIT license")], "doc_id bigint, text string")
     block = scan_licenses(frame).first().blocks[0]
     assert (block.block, block.label, block.containment) == (2, "mit", 0.8)
+
+
+def test_wrapped_notices(spark):
+    """Every template, wrapped at several widths, behind comment signs and between other lines."""
+    rows, expected = [], []
+    for name, text in TEMPLATES.items():
+        for width in (25, 40, 79):
+            lines = textwrap.wrap(text, width)
+            body = "\n".join(["int main", "", *(f" * {line}" for line in lines), "", "return value"])
+            expected.append((len(rows), name, 2))
+            rows.append((len(rows), body))
+    far = TEMPLATES["mit-text"].split()
+    rows.append((-1, "\n".join(w + "\n" + "other words stand here between " * 3 for w in far)))
+    found = {r.doc_id: r.blocks for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for doc_id, name, line in expected:
+        assert (line, 1.0) in [(b.block, b.containment) for b in found[doc_id] if b.label == name]
+    assert found[-1] == []
+
+
+def test_runs_against_all_windows():
+    rng = random.Random(3)
+    templates = {str(i): " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for i in range(6)}
+    index = TemplateIndex(templates, {}, 0.8)
+    for _ in range(100):
+        words = [rng.choice("abcdefghxyz").encode() for _ in range(rng.randint(0, 40))]
+        expected = {}
+        for name, text in templates.items():
+            tokens, size = set(text.encode().split()), index.window[name]
+            best = max((len(tokens & set(words[i : i + size])) / len(tokens) for i in range(len(words))), default=0)
+            if best >= 0.8 - 1e-9:
+                expected[name] = best
+        assert {name: share for name, (_, share) in index.runs(words, {}).items()} == expected

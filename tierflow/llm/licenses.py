@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,6 +97,9 @@ class TemplateIndex:
             for place, rank in enumerate(sorted(ranks)[: len(ranks) - self.need[name] + 1]):
                 self.prefixes.setdefault(rank, []).append((name, place))
         self.openers = frozenset(order[rank] for rank in self.prefixes)
+        # Words of a run that holds a wrapped template: its own and a quarter of them, two at least.
+        lengths = {name: len(templates[name].encode().translate(FOLD).split()) for name in sets}
+        self.window = {name: n + max(2, n // 4) for name, n in lengths.items()}
 
     def match(self, words: list[bytes]) -> dict[str, float]:
         """Containment of each template that meets the threshold, for the words of one block."""
@@ -115,6 +120,33 @@ class TemplateIndex:
         return found
 
 
+    def runs(self, words: list[bytes], above: Mapping[str, float]) -> dict[str, tuple[int, float]]:
+        """First word and containment of the best run of consecutive words, as long as ``window``, for
+        each template that meets the threshold and is contained better than ``above`` says."""
+        hits = [(i, self.rank[w]) for i, w in enumerate(words) if w in self.rank]
+        held = {rank for _, rank in hits}
+        found: dict[str, tuple[int, float]] = {}
+        for name, ranks in self.sets.items():
+            most = above.get(name, 0.0)
+            if len(ranks & held) < self.need[name] or most >= 1:
+                continue
+            mine = [(i, rank) for i, rank in hits if rank in ranks]
+            inside: Counter[int] = Counter()
+            low = 0
+            for i, rank in mine:
+                inside[rank] += 1
+                while i - mine[low][0] >= self.window[name]:
+                    gone = mine[low][1]
+                    low += 1
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                if len(inside) >= self.need[name] and len(inside) / len(ranks) > most:
+                    most = len(inside) / len(ranks)
+                    found[name] = (mine[low][0], most)
+        return found
+
+
 def _phrase_places(words: list[bytes], phrases: list[tuple[bytes, str]]) -> tuple[list[int], set[str]]:
     line = b" " + b" ".join(words) + b" "
     places, labels = [], set()
@@ -148,8 +180,10 @@ def scan_licenses(
 
     Words are ``fold_words`` of the whole text. ``places`` are the word numbers where a phrase begins,
     in ascending order. ``blocks`` has an entry for each part of the text between separators (numbered
-    from 0) and each template of whose distinct words it holds ``threshold`` or more. Templates
-    without a word never match. Token frequencies are counted over all documents first; they decide
+    from 0) and each template of whose distinct words it holds ``threshold`` or more. A notice wrapped
+    over parts is found too: runs of consecutive words of the whole text, about as long as the
+    template, are blocks as well, and the best run of a template has an entry, by the part it begins
+    in, where it holds more of it than any single part. Templates without a word never match. Token frequencies are counted over all documents first; they decide
     the order of work, never the result. Null or empty text has no words and no match; repeated rows
     and null ids give a row each; other columns are not looked at.
     """
@@ -165,9 +199,21 @@ def scan_licenses(
                 at, base = _phrase_places(words, wanted)
                 matches = []
                 if not index.openers.isdisjoint(words):
-                    for n, part in enumerate(text.split(cut)):
-                        for name, share in sorted(index.match(part.translate(FOLD).split()).items()):
+                    parts = [part.translate(FOLD).split() for part in text.split(cut)]
+                    single: dict[str, float] = {}
+                    for n, part in enumerate(parts):
+                        for name, share in sorted(index.match(part).items()):
+                            matches.append({"block": n, "label": name, "containment": share})
+                            single[name] = max(share, single.get(name, 0.0))
+                    # A separator may hold letters, so the words are those of the parts.
+                    every = [w for part in parts for w in part]
+                    runs = index.runs(every, single) if len(parts) > 1 else {}
+                    if runs:
+                        ends = list(accumulate(map(len, parts)))
+                        for name, (first, share) in sorted(runs.items()):
+                            n = bisect_right(ends, first)
                             matches.append({"block": n, "label": name, "containment": share})
+                        matches.sort(key=lambda x: (x["block"], x["label"]))
                 counts.append(len(words))
                 places.append(sorted(at))
                 labels.append(sorted(base))
