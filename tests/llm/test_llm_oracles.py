@@ -12,4 +12,4 @@ def test_query(spark, small_dir, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n.split("_")[0][2:]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n.split("_")[0][2:]) for n in QUERIES} == set(range(1, 14))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,13 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Have the files of finished shuffles deleted. Spark does that when the driver's garbage is
+    collected, which may be long after; an operator of several written steps asks for it between them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

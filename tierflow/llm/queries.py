@@ -15,6 +15,7 @@ from tierflow.llm.ngram_join import near_duplicates
 from tierflow.llm.pieces import encode_pieces
 from tierflow.llm.quality_model import predict_quality
 from tierflow.llm.quality_rules import LEFT_SHARE, LINE_DOCS, LINE_SHARE, apply_quality_rules
+from tierflow.llm.spelling import DELETE_EVERY, FORM_RATIO, MIN_COUNT, MIN_LENGTH, spelling_variants
 from tierflow.llm.token_counts import count_tokens
 from tierflow.llm.token_files import token_files
 from tierflow.llm.url_filter import LISTED_HOSTS, RULES, TRACKING, host_of, judge_urls
@@ -252,3 +253,53 @@ labelled AS (
 SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS class_id, CAST(n_links AS BIGINT) AS n_links FROM labelled
 UNION ALL SELECT doc_id, doc_id, 0 FROM d WHERE len(w) = 0
 """
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"), delete_every=DELETE_EVERY)
+
+
+# CRC-32 is computed byte by byte from a table made by its rule. Near words are joined on what is left
+# when one code point is taken away.
+ORACLES["op11_spelling_variants"] = f"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, i AS c FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+found AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_LOWER.format("run")} AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= {MIN_LENGTH} GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+      string_split(id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+        ELSE [CAST(195 AS BIGINT), CAST(unicode(x) - 64 AS BIGINT)] END))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM found, tab),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % {DELETE_EVERY} = 0
+          THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(n) >= {MIN_COUNT}),
+less AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+longer AS (SELECT DISTINCT l.word AS a, w.word AS b FROM less l JOIN words w ON w.word = l.d),
+near AS (
+  SELECT a, b FROM longer UNION ALL SELECT b, a FROM longer
+  UNION ALL SELECT x.word, y.word FROM less x JOIN less y ON x.i = y.i AND x.d = y.d AND x.word <> y.word),
+best AS (
+  SELECT a, count(*) AS n_near, max(n) AS form_n, arg_min(b, (-n, b)) AS form FROM near JOIN words ON word = b GROUP BY a),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {FORM_RATIO} * n THEN form END AS form,
+    CASE WHEN form_n >= {FORM_RATIO} * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best ON a = word),
+walk AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.at WHERE forms.form IS NOT NULL),
+roots AS (
+  SELECT walk.word, walk.at AS root FROM walk JOIN forms ON forms.word = walk.at WHERE forms.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM forms JOIN roots USING (word)
+"""
