@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierflow.llm.ball_tree import TOP, ranked_search
 from tierflow.llm.common import read_table
 from tierflow.llm.decontaminate import contamination
 from tierflow.llm.language import predict_languages
@@ -303,3 +304,32 @@ roots AS (
 SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
 FROM forms JOIN roots USING (word)
 """
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+# Every document with a term of the item is scored.
+ORACLES["op12_ranked_search"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+sums AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d),
+damped AS (SELECT r, doc_id, 100 - 90 + ((90 * len(w) * n_docs) // total) AS m FROM d, sums WHERE len(w) > 0),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight FROM df, sums),
+i AS (
+  SELECT i, item_id, unnest(list_distinct({_WORDS.format("coalesce(text, '')")})) AS t
+  FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+scores AS (
+  SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+    CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM i JOIN tf USING (t) JOIN weights USING (t) JOIN damped USING (r) GROUP BY i, r),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {TOP}
+"""
