@@ -16,6 +16,8 @@ from tierflow.llm.ngram_join import near_duplicates
 from tierflow.llm.pieces import encode_pieces
 from tierflow.llm.quality_model import predict_quality
 from tierflow.llm.quality_rules import LEFT_SHARE, LINE_DOCS, LINE_SHARE, apply_quality_rules
+from tierflow.llm.repeats import WINDOW as REPEAT_WORDS
+from tierflow.llm.repeats import repeat_report
 from tierflow.llm.spelling import DELETE_EVERY, FORM_RATIO, MIN_COUNT, MIN_LENGTH, spelling_variants
 from tierflow.llm.token_counts import count_tokens
 from tierflow.llm.token_files import token_files
@@ -333,3 +335,29 @@ ranked AS (
   FROM scores WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {TOP}
 """
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(read_table(spark, sf_dir, "documents"))
+
+
+# Every window by its words, and the smallest document that it starts in.
+ORACLES["op13_substring_dedup"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+windows AS (
+  SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + {REPEAT_WORDS - 1}), ' ') AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {REPEAT_WORDS - 2})) AS i FROM d)),
+least AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY g),
+gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + {REPEAT_WORDS})) AS p
+  FROM windows JOIN least USING (g) WHERE least < doc_id OR (doc_id IS NULL AND least IS NOT NULL)),
+kept AS (
+  SELECT r, list(word ORDER BY p) AS words
+  FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(coalesce(words, [])) AS BIGINT) AS n_removed,
+  sha256(array_to_string(coalesce(words, []), ' ')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
