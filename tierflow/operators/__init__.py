@@ -19,6 +19,7 @@ from tierflow.operators.quality import (
 from tierflow.operators.silver import clean, standardize
 from tierflow.operators.sinks import write_files
 from tierflow.operators.tables import ensure_namespace, publish_table
+from tierflow.operators.windows import Over, ordered_window
 
 __all__ = [
     "ForeignKey",
@@ -27,6 +28,7 @@ __all__ = [
     "KeyLimits",
     "Matches",
     "NotNull",
+    "Over",
     "Unique",
     "broadcast_if_small",
     "check_quality",
@@ -40,6 +42,7 @@ __all__ = [
     "gold_aggregate",
     "mark_by_key",
     "mismatch",
+    "ordered_window",
     "preview",
     "publish_table",
     "register",
