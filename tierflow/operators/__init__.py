@@ -19,6 +19,7 @@ from tierflow.operators.quality import (
 from tierflow.operators.silver import clean, standardize
 from tierflow.operators.sinks import write_files
 from tierflow.operators.tables import ensure_namespace, publish_table
+from tierflow.operators.upsert import UpsertResult, upsert, upserted_rows
 from tierflow.operators.windows import Over, ordered_window
 
 __all__ = [
@@ -30,6 +31,7 @@ __all__ = [
     "NotNull",
     "Over",
     "Unique",
+    "UpsertResult",
     "broadcast_if_small",
     "check_quality",
     "clean",
@@ -51,5 +53,7 @@ __all__ = [
     "split_quality",
     "write_quality",
     "standardize",
+    "upsert",
+    "upserted_rows",
     "write_files",
 ]

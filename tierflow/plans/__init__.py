@@ -9,6 +9,7 @@ from tierflow.plans.history import (
     job_success_rate,
     list_jobs,
 )
+from tierflow.plans.incremental import gold_rows, load_periods, refresh_gold, silver_rows
 from tierflow.plans.ingest import ingest, land_bronze
 from tierflow.plans.layers import Step, run_layers
 from tierflow.plans.ledger import RunLedger
@@ -26,6 +27,7 @@ __all__ = [
     "RunLedger",
     "RunResult",
     "Step",
+    "gold_rows",
     "ingest",
     "ingest_status",
     "job_duration_stats",
@@ -37,9 +39,12 @@ __all__ = [
     "job_success_rate",
     "land_bronze",
     "list_jobs",
+    "load_periods",
+    "refresh_gold",
     "run_layer_transform",
     "run_layers",
     "run_transform",
+    "silver_rows",
     "split_script",
     "transform_sql",
 ]

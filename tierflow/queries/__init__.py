@@ -1,6 +1,17 @@
 """Runnable queries over the standard tables; importing the package fills the registry."""
 
-from tierflow.queries import expressions, history, layers, relational, sinks, transform, windows
+from tierflow.queries import changes, expressions, history, layers, relational, sinks, transform, windows
 from tierflow.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "expressions", "history", "layers", "relational", "sinks", "transform", "windows"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "changes",
+    "expressions",
+    "history",
+    "layers",
+    "relational",
+    "sinks",
+    "transform",
+    "windows",
+]
