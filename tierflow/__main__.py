@@ -15,6 +15,7 @@ import os
 import sys
 from collections.abc import Mapping
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 from tierflow.operators import preview
@@ -90,7 +91,8 @@ def run_job(spark: SparkSession, env: Mapping[str, str]) -> RunResult:
 def main() -> int:
     # Only what the environment names is passed on; otherwise the cluster's own settings stay in force.
     named = ("AWS_ACCESS_KEY_ID", "AWS_REGION", "S3_ENDPOINT")
-    store = object_store_conf(os.environ) if any(os.environ.get(n) for n in named) else {}
+    known = dict(SparkConf().getAll())
+    store = object_store_conf(os.environ, known) if any(os.environ.get(n) for n in named) else {}
     spark = build_session("tierflow transform", conf=store)
     try:
         for line in report(spark, run_job(spark, os.environ)):

@@ -17,19 +17,23 @@ from tierflow.operators.quality import (
     write_quality,
 )
 from tierflow.operators.silver import clean, standardize
-from tierflow.operators.sinks import write_files
+from tierflow.operators.sinks import run_rows, write_files, write_run
+from tierflow.operators.sketches import Distinct, Members, Quantiles, estimates, in_both, sketch_gold, unite
 from tierflow.operators.tables import ensure_namespace, publish_table
 from tierflow.operators.upsert import UpsertResult, upsert, upserted_rows
 from tierflow.operators.windows import Over, ordered_window
 
 __all__ = [
+    "Distinct",
     "ForeignKey",
     "InRange",
     "InSet",
     "KeyLimits",
     "Matches",
+    "Members",
     "NotNull",
     "Over",
+    "Quantiles",
     "Unique",
     "UpsertResult",
     "broadcast_if_small",
@@ -39,9 +43,11 @@ __all__ = [
     "dedup_exact",
     "dedup_latest",
     "ensure_namespace",
+    "estimates",
     "flag_quality",
     "flatten_root",
     "gold_aggregate",
+    "in_both",
     "mark_by_key",
     "mismatch",
     "ordered_window",
@@ -49,10 +55,14 @@ __all__ = [
     "publish_table",
     "register",
     "row_counts",
+    "run_rows",
     "schema_report",
+    "sketch_gold",
     "split_quality",
     "write_quality",
+    "write_run",
     "standardize",
+    "unite",
     "upsert",
     "upserted_rows",
     "write_files",

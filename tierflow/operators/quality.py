@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tierflow.functions.naming import free_name, quoted
 from tierflow.operators.joins import KeyLimits, all_set, key_sizes, mark_by_key
 from tierflow.operators.sinks import write_files
+from tierflow.session import scratch_path
 
 FAILED_RULES = "_failed_rules"
 
@@ -88,15 +89,69 @@ def _parent_keys(rule: ForeignKey) -> DataFrame:
     )
 
 
-def _judged(frame: DataFrame, rule: Unique | ForeignKey) -> tuple[DataFrame, list[str]]:
+def _columns_of(rule: Unique | ForeignKey) -> list[str]:
+    return list(rule.columns) if isinstance(rule, Unique) else [rule.column]
+
+
+def all_key_sizes(frame: DataFrame, rules: Sequence[Unique | ForeignKey]) -> tuple[DataFrame, list[list[str]]]:
+    """Rows per key for the keys of all rules, in one pass: ``_set``, all key columns (NULL where they are
+    not of the set) and ``_size``; and the columns of each set.
+
+    A rule whose columns are among those of another has no set of its own: its sizes are sums of the
+    other's. The rest are grouping sets of one aggregate, counted before the shuffle.
+    """
+    keys = [list(dict.fromkeys(_columns_of(r))) for r in rules]
+    largest = [k for k in keys if not any(set(k) < set(other) for other in keys)]
+    sets = list({frozenset(k): k for k in largest}.values())
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    # Named by place, so that no column's name can clash with a helper's.
+    rows = frame.select(*[quoted(c).alias(f"_k{i}") for i, c in enumerate(columns)])
+    names = [[f"_k{columns.index(c)}" for c in s] for s in sets]
+    size = F.count(F.lit(1)).alias("_size")
+    if len(sets) == 1:
+        counted = rows.groupBy(*names[0]).agg(size).withColumn("_set", F.lit(0))
+    else:
+        grouped = rows.groupingSets([[F.col(n) for n in s] for s in names], *rows.columns)
+        # One bit for each column that a set leaves out, the first column highest.
+        ids = [sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in s) for s in sets]
+        place = F.create_map(*[F.lit(x) for pair in ((i, n) for n, i in enumerate(ids)) for x in pair])
+        counted = grouped.agg(size, F.grouping_id().cast("int").alias("_gid"))
+        counted = counted.withColumn("_set", place[F.col("_gid")])
+    shown = [F.col(f"_k{i}").alias(f"_key{i}") for i in range(len(columns))]
+    return counted.select("_set", *shown, "_size"), [[*s] for s in sets]
+
+
+def _shared_sizes(frame: DataFrame, rules: Sequence[Rule]) -> dict[str, DataFrame]:
+    """Rows per key of each key rule, by its name, from one written pass over the rows."""
+    key_rules = [r for r in rules if isinstance(r, (Unique, ForeignKey))]
+    if len(key_rules) < 2:
+        return {}
+    counted, sets = all_key_sizes(frame, key_rules)
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    path = scratch_path(frame.sparkSession, "key-sizes")
+    counted.write.parquet(path)
+    written = frame.sparkSession.read.schema(counted.schema).parquet(path)
+    found = {}
+    for rule in key_rules:
+        mine = list(dict.fromkeys(_columns_of(rule)))
+        number = next(i for i, s in enumerate(sets) if set(mine) <= set(s))
+        kept = [F.col(f"_key{columns.index(c)}").alias(c) for c in mine]
+        rows = written.filter(F.col("_set") == number).select(*kept, "_size")
+        if len(mine) < len(sets[number]):
+            rows = rows.groupBy(*map(quoted, mine)).agg(F.sum("_size").alias("_size"))
+        found[rule.name] = rows
+    return found
+
+
+def _judged(
+    frame: DataFrame, rule: Unique | ForeignKey, sizes: DataFrame | None = None
+) -> tuple[DataFrame, list[str]]:
     """Every key of the rows once, as ``columns, _size, _bad``. A key with a NULL is never bad."""
+    columns = _columns_of(rule)
+    sizes = key_sizes(frame, columns) if sizes is None else sizes
     if isinstance(rule, Unique):
-        columns = list(rule.columns)
-        return key_sizes(frame, columns).withColumn(
-            "_bad", (F.col("_size") > 1) & all_set(columns)
-        ), columns
+        return sizes.withColumn("_bad", (F.col("_size") > 1) & all_set(columns)), columns
     column = quoted(rule.column)
-    sizes = key_sizes(frame, [rule.column])
     joined = sizes.join(_parent_keys(rule), column == F.col("_parent"), "left")
     orphaned = column.isNotNull() & F.col("_parent").isNull()
     return joined.select(column, "_size", orphaned.alias("_bad")), [rule.column]
@@ -118,7 +173,10 @@ def _require_names(rules: Sequence[Rule]) -> None:
 
 
 def check_quality(frame: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``rule, checked, failed``: all row rules in one pass, one shuffle per key rule."""
+    """``rule, checked, failed``: all row rules in one pass, all key rules in another.
+
+    With two key rules or more the sizes of their keys are written to the shared folder at once.
+    """
     _require_names(rules)
     row_rules = [r for r in rules if not isinstance(r, (Unique, ForeignKey))]
     parts = []
@@ -138,9 +196,10 @@ def check_quality(frame: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             ]
         )
         parts.append(totals.select(F.inline(entries)))
+    sizes = _shared_sizes(frame, rules)
     for rule in rules:
         if isinstance(rule, (Unique, ForeignKey)):
-            judged, _ = _judged(frame, rule)
+            judged, _ = _judged(frame, rule, sizes.get(rule.name))
             parts.append(_summary(rule, judged))
     return reduce(DataFrame.unionByName, parts)
 
@@ -150,10 +209,10 @@ def _checked(
 ) -> tuple[DataFrame, dict[str, Column]]:
     """The rows with one helper column per key rule, and for each rule whether a row breaks it."""
     _require_names(rules)
-    marked, broken = frame, {}
+    marked, broken, sizes = frame, {}, _shared_sizes(frame, rules)
     for number, rule in enumerate(rules):
         if isinstance(rule, (Unique, ForeignKey)):
-            judged, columns = _judged(frame, rule)
+            judged, columns = _judged(frame, rule, sizes.get(rule.name))
             mark = free_name(marked, f"_mark{number}")
             marked = mark_by_key(marked, judged, columns, mark, limits)
             broken[rule.name] = F.col(mark)

@@ -109,3 +109,33 @@ def write_files(
         writer = writer.partitionBy(*partition_by)
     writer.format(format).save(path)
     return written.get["rows"]
+
+
+# A partition column: readers see its folders in spite of the underscore.
+RUN = "_run"
+
+
+def write_run(frame: DataFrame, path: str, run_id: str) -> int:
+    """Write the rows of a run as a partition of their own below ``path``, in place of what the same run
+    has written there before; returns how many. Rows of other runs are not touched."""
+    if RUN in frame.columns:
+        raise ValueError(f"the rows must not have a column {RUN}")
+    spark = frame.sparkSession
+    if path_exists(spark, path):
+        place = spark._jvm.org.apache.hadoop.fs.Path(normalize_path(path))
+        names = [s.getPath().getName() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+        if any(not n.startswith((".", "_")) for n in names):
+            raise ValueError(f"refusing to write runs into {path}: it holds files that belong to none")
+    written = Observation()
+    rows = frame.withColumn(RUN, F.lit(run_id)).observe(written, F.count(F.lit(1)).alias("rows"))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(RUN).parquet(path)
+    return written.get["rows"]
+
+
+def run_rows(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """Rows below ``path`` with the ``_run`` they belong to as text, of one run or of all."""
+    if run_id is None:
+        found = spark.read.parquet(path)
+        return found.withColumn(RUN, F.col(RUN).cast("string"))
+    return spark.read.parquet(f"{path.rstrip('/')}/{RUN}={run_id}").withColumn(RUN, F.lit(run_id))

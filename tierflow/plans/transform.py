@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tierflow.functions.naming import layer_path, normalize_path, split_table_name, target_table
 from tierflow.operators.combine import SOURCE_VIEW, register
 from tierflow.operators.profile import row_counts
-from tierflow.operators.sinks import overlaps, path_exists, write_files
+from tierflow.operators.sinks import RUN, overlaps, path_exists, run_rows, write_files, write_run
 from tierflow.operators.tables import ensure_namespace, publish_table
 from tierflow.plans.history import latest_runs
 from tierflow.plans.ledger import RunLedger
@@ -187,6 +187,8 @@ def run_transform(
     name: str | None = None,
     schedule_type: str = "manual",
     interval_seconds: int | None = None,
+    by_run: bool = False,
+    table_partition_by: Sequence[str] = (),
 ) -> RunResult:
     """Transform, write files, then publish a table from the written files.
 
@@ -199,6 +201,13 @@ def run_transform(
     calling again with the same ``run_id`` does not append again, whatever became of the ledger. Only
     a crash between the append and its mark, two steps without work between them, can double it.
 
+    With ``by_run`` an append has no such gap: the rows of a run are a partition ``_run`` of their own in the
+    destination and in the table, and writing or publishing them again replaces that partition. Cut off
+    anywhere and called again with its ``run_id``, a run leaves each row once. The rows get that column; a
+    destination or table that was not laid out so is refused.
+
+    ``table_partition_by`` lays out a table that the publish creates.
+
     Sources that were left out are recorded as events of the run. ``resources`` are those of the
     session unless given; ``name``, ``schedule_type`` and ``interval_seconds`` describe the job that
     the run belongs to (see ``ingest_status``).
@@ -222,11 +231,13 @@ def run_transform(
         check_catalog(spark, split_table_name(target)[0])
     paths = _paths(sources)
     _refuse_overwrite(mode, destination, paths, statements)
+    if by_run and mode != "append":
+        raise ValueError("by_run is a way to append")
 
     last = _last_row(ledger, run_id) if ledger and run_id else None
     resumed = last is not None and last["state"] == "WRITTEN"
     run_id = run_id or new_run_id()
-    staged = target is not None and mode == "append"
+    staged = target is not None and mode == "append" and not by_run
     # Known from the run id alone, so that a resumed run finds it again.
     written_to = f"{workspace(spark)}/tierflow/runs/{run_id}" if staged else destination
     job = {"name": name or destination, "schedule_type": schedule_type, "interval_seconds": interval_seconds}
@@ -247,8 +258,10 @@ def run_transform(
             run.left_out(reports)
             if count_inputs:
                 rows_in = {r["source"]: r["row_count"] for r in row_counts(opened).collect()}
-            done = _appended_rows(spark, mark) if mode == "append" else None
-            if done is None:
+            done = _appended_rows(spark, mark) if mode == "append" and not by_run else None
+            if by_run:
+                rows = write_run(_run_statements(spark, statements, params), destination, run_id)
+            elif done is None:
                 result = _run_statements(spark, statements, params)
                 rows = write_files(
                     result, written_to, "overwrite" if staged else mode, files=files, reads=paths
@@ -265,7 +278,11 @@ def run_transform(
             catalog_name, namespace, _ = split_table_name(target)
             warning = ensure_namespace(spark, catalog_name, namespace)
             warnings += [warning] if warning else []
-            publish_table(spark.read.parquet(written_to), target, table_mode, path=table_path)
+            written, layout = spark.read.parquet(written_to), list(table_partition_by)
+            if by_run:
+                written = run_rows(spark, destination, run_id)
+                layout, table_mode = [RUN, *layout], "overwrite" if table_mode == "append" else table_mode
+            publish_table(written, target, table_mode, partition_by=layout, path=table_path)
             run.note("PUBLISHED")
     except Exception as error:
         run.fail(error)

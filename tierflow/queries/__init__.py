@@ -1,6 +1,6 @@
 """Runnable queries over the standard tables; importing the package fills the registry."""
 
-from tierflow.queries import changes, expressions, history, layers, relational, sinks, transform, windows
+from tierflow.queries import changes, expressions, history, landing, layers, relational, sinks, transform, windows
 from tierflow.queries.registry import ORACLES, QUERIES
 
 __all__ = [
@@ -9,6 +9,7 @@ __all__ = [
     "changes",
     "expressions",
     "history",
+    "landing",
     "layers",
     "relational",
     "sinks",

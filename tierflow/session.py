@@ -55,10 +55,12 @@ def build_session(
     return builder.getOrCreate()
 
 
-def object_store_conf(env: Mapping[str, str]) -> dict[str, str]:
-    """Builder-time S3A settings from an environment mapping.
+def object_store_conf(env: Mapping[str, str], known: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Builder-time S3A settings from an environment mapping, and from settings already ``known`` (those
+    of the submission) where the environment has none.
 
-    They must reach the builder: set on a running session the ``spark.hadoop.`` prefix is not
+    Keys come whole from one of the two, and path-style access is settled only where nothing is known
+    of it. They must reach the builder: set on a running session the ``spark.hadoop.`` prefix is not
     stripped, so the file system never sees them. Nothing here is ever logged.
     """
     # Hadoop S3A class names and setting keys, and the names of environment variables.
@@ -69,9 +71,13 @@ def object_store_conf(env: Mapping[str, str]) -> dict[str, str]:
         "spark.hadoop.fs.s3a.multipart.size": "67108864",
         "spark.hadoop.fs.s3a.connection.ssl.enabled": "true",
     }
+    known = known or {}
     key = env.get("AWS_ACCESS_KEY_ID")
     secret = env.get("AWS_SECRET_ACCESS_KEY") or env.get("AWS_SECRET_KEY")
     token = env.get("AWS_SESSION_TOKEN")
+    if not (key and secret):
+        store = "spark.hadoop.fs.s3a."
+        key, secret, token = (known.get(store + n) for n in ("access.key", "secret.key", "session.token"))
     # Without keys the provider is left to Hadoop's own default, which knows role-based access.
     provider = None
     if key and secret:
@@ -83,13 +89,15 @@ def object_store_conf(env: Mapping[str, str]) -> dict[str, str]:
             conf["spark.hadoop.fs.s3a.session.token"] = token
             provider = "org.apache.hadoop.fs.s3a.TemporaryAWSCredentialsProvider"
     if provider:
-        conf["spark.hadoop.fs.s3a.aws.credentials.provider"] = provider
+        name = "spark.hadoop.fs.s3a.aws.credentials.provider"
+        conf[name] = known.get(name, provider) if key == known.get("spark.hadoop.fs.s3a.access.key") else provider
     if env.get("AWS_REGION"):
         conf["spark.hadoop.fs.s3a.endpoint.region"] = env["AWS_REGION"]
     endpoint = env.get("S3_ENDPOINT")
     if endpoint:
         conf["spark.hadoop.fs.s3a.endpoint"] = endpoint
-    conf["spark.hadoop.fs.s3a.path.style.access"] = "true" if endpoint else "false"
+    style = "spark.hadoop.fs.s3a.path.style.access"
+    conf[style] = "true" if endpoint else known.get(style, "false")
     return conf
 
 

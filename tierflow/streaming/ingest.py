@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tierflow.functions.naming import quoted
+from tierflow.operators.changes import holds_files
 from tierflow.operators.sinks import LOSSLESS_JSON, path_exists
 
 PERIOD = "_period"
@@ -95,7 +96,8 @@ def merge_stream(
         period = F.coalesce(F.date_format(F.date_trunc(grain, quoted(ts)), "yyyy-MM-dd-HH"), F.lit("none"))
         rows = batch.withColumn(PERIOD, period).dropDuplicates([*keys, PERIOD]).persist()
         try:
-            if path_exists(batch.sparkSession, f"{path}/_SUCCESS"):
+            # Not the marker of a finished job, which object-store committers often leave out.
+            if holds_files(batch.sparkSession, path):
                 there = batch.sparkSession.read.schema(rows.schema).parquet(path)
                 # One short text per period of the batch.
                 touched = [r[0] for r in rows.select(PERIOD).distinct().collect()]
