@@ -46,11 +46,11 @@ def silver_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def gold_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three loads: lines up to 1995, later ones, and late ones of one month in both."""
+    """Three loads: lines up to 1997, later ones, and late ones of one month in both."""
     silver, gold = scratch_path(spark, "silver-loads"), scratch_path(spark, "gold-periods")
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_suppkey", "l_extendedprice", "l_shipdate")
     late = (F.month("l_shipdate") == 6) & (F.col("l_suppkey") % 5 == 0)
-    early = F.year("l_shipdate") <= 1995
+    early = F.year("l_shipdate") <= 1997
     measures = {
         "line_count": F.count(F.lit(1)),
         "suppliers": F.count_distinct("l_suppkey"),

@@ -135,8 +135,8 @@ def gold_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH a AS (SELECT DISTINCT l_partkey AS k, l_returnflag AS f FROM lineitem WHERE year(l_shipdate) <= 1994),
-    b AS (SELECT DISTINCT l_partkey AS k, l_returnflag AS f FROM lineitem WHERE year(l_shipdate) > 1994)
+    WITH a AS (SELECT DISTINCT l_partkey AS k, l_returnflag AS f FROM lineitem WHERE year(l_shipdate) <= 1997),
+    b AS (SELECT DISTINCT l_partkey AS k, l_returnflag AS f FROM lineitem WHERE year(l_shipdate) > 1997)
     SELECT a.f AS l_returnflag, true AS close FROM a JOIN b ON a.k = b.k AND a.f = b.f GROUP BY a.f
     """
 )
@@ -147,12 +147,12 @@ def gold_sketch_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "sketch-sets")
     sketch_gold(lines, ["l_returnflag"], sketches, "month", "l_shipdate").write.parquet(path)
     months = spark.read.parquet(path)
-    early, late = (unite(months.filter(c), ["l_returnflag"], sketches) for c in (F.year("period") <= 1994, F.year("period") > 1994))
+    early, late = (unite(months.filter(c), ["l_returnflag"], sketches) for c in (F.year("period") <= 1997, F.year("period") > 1997))
     both = early.withColumnRenamed("parts", "early").join(
         late.select(F.col("l_returnflag").alias("f"), F.col("parts").alias("late")), F.col("l_returnflag") == F.col("f")
     )
     guess = both.select("l_returnflag", in_both("early", "late").alias("guess"))
-    halves = lines.groupBy("l_returnflag", "l_partkey").agg(F.count_distinct(F.year("l_shipdate") <= 1994).alias("n"))
+    halves = lines.groupBy("l_returnflag", "l_partkey").agg(F.count_distinct(F.year("l_shipdate") <= 1997).alias("n"))
     exact = halves.groupBy(F.col("l_returnflag").alias("f")).agg(F.count_if(F.col("n") == 2).alias("exact"), F.count(F.lit(1)).alias("all"))
     joined = guess.join(exact, F.col("l_returnflag") == F.col("f")).filter("exact > 0")
     bound = sketches["parts"].error * F.sqrt(F.col("exact") * F.col("all")) + 1
