@@ -13,9 +13,8 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# A line is boilerplate of a host beyond this many different documents and this share of the host's.
-LINE_DOCS = 5
-LINE_SHARE = 0.001
+# A line is boilerplate of a host beyond this many different documents, however large the host is.
+LINE_DOCS = 20
 # Words that must be left of a document when boilerplate is taken away.
 LEFT_SHARE = 0.5
 BROADCAST_BYTES = 32 << 20
@@ -88,22 +87,16 @@ def host_lines(rows: DataFrame) -> DataFrame:
     )
 
 
-def boilerplate_lines(
-    rows: DataFrame, min_docs: int = LINE_DOCS, share: float = LINE_SHARE
-) -> tuple[DataFrame, int]:
-    """``host, line`` above the limits, written to the shared folder, and their number.
+def boilerplate_lines(rows: DataFrame, min_docs: int = LINE_DOCS) -> tuple[DataFrame, int]:
+    """``host, line`` above the limit, written to the shared folder, and their number.
 
-    Documents are told apart by their text, so exact copies count once. Both counts drop repetitions
-    before the shuffle and then count per key in tasks, so neither a crowded host nor a line that
-    most documents have meets in one task.
+    Documents are told apart by their text, so exact copies count once. Repetitions are dropped before
+    the shuffle and counts are then taken per key in tasks, so a line that most documents have does not
+    meet in one task.
     """
     pairs = host_lines(rows).select("host", "line", "text_hash").distinct()
     counts = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
-    sizes = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    # No line of a host with few documents can be above the limit, so small hosts need no entry.
-    sizes = sizes.withColumnRenamed("host", "its_host")
-    often = counts.filter(F.col("docs") > min_docs)
-    above = often.join(sizes, F.col("host") == F.col("its_host")).filter(F.col("docs") > share * F.col("size"))
+    above = counts.filter(F.col("docs") > min_docs)
     counted = Observation()
     listed = saved(above.select("host", "line").observe(counted, F.count(F.lit(1)).alias("n")), "boilerplate")
     return listed, counted.get["n"]
@@ -137,20 +130,19 @@ def apply_quality_rules(
     text_column: str = "text",
     host_column: str = "source",
     min_docs: int = LINE_DOCS,
-    share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
 ) -> DataFrame:
     """Per document the base counts, ``base_failed``, ``n_removed_words`` and ``kept``.
 
     A document is kept if the base rules pass and, once the boilerplate lines of its host are taken
     away, ``left_share`` of its words are left. A line is boilerplate when more than ``min_docs``
-    different documents of the host have it, and more than ``share`` of them. Null or empty text has
+    different documents of the host have it, in small and large hosts alike. Null or empty text has
     no words and fails the base rules. A null host is a host like any other. Documents with the same
     text count once for line frequencies, and each gets its row; so do repeated rows and null ids.
     Other columns are not looked at. An empty table gives no rows.
     """
     rows = _rows(docs, id_column, text_column, host_column)
-    listed, n_lines = boilerplate_lines(rows, min_docs, share)
+    listed, n_lines = boilerplate_lines(rows, min_docs)
     judged = _with_removed(base_counts(rows), removed_lines(rows, listed, n_lines))
     gone = F.aggregate(
         F.coalesce("removed", F.array().cast("array<struct<place:int,n:bigint>>")),
@@ -173,13 +165,12 @@ def remove_boilerplate(
     text_column: str = "text",
     host_column: str = "source",
     min_docs: int = LINE_DOCS,
-    share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
 ) -> DataFrame:
     """``doc_id, text``: the texts without the boilerplate lines of their host, depleted documents
     left out. Rules and odd cases as in ``apply_quality_rules``; null text comes back empty."""
     rows = _rows(docs, id_column, text_column, host_column)
-    listed, n_lines = boilerplate_lines(rows, min_docs, share)
+    listed, n_lines = boilerplate_lines(rows, min_docs)
     marked = _with_removed(rows, removed_lines(rows, listed, n_lines))
     places = F.transform("removed", lambda x: x["place"])
     left = F.array_join(
