@@ -18,14 +18,32 @@ LINE_DOCS = 20
 # Words that must be left of a document when boilerplate is taken away.
 LEFT_SHARE = 0.5
 BROADCAST_BYTES = 32 << 20
+# Up to this many different windows of a text are looked up one by one.
+FEW_WINDOWS = 24
 
 
 def _has_word(line: Column) -> Column:
-    return F.translate(line, BLANKS, "") != ""
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words of a text; the empty text has none."""
+    trimmed = F.trim(text, F.lit(BLANKS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+
+
+def _count_of(text: str, characters: str) -> Column:
+    """Occurrences of some ASCII characters; taking them out one by one is searching for bytes."""
+    rest = F.col(text)
+    for character in characters:
+        rest = F.replace(rest, F.lit(character), F.lit(""))
+    return F.octet_length(text) - F.octet_length(rest)
+
+
+def _lowered(line: Column) -> Column:
+    """A-Z lowered and nothing else: lowering ASCII lines as they are, others letter by letter."""
+    plain = F.octet_length(line) == F.char_length(line)
+    return F.when(plain, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
@@ -41,33 +59,46 @@ def _rows(docs: DataFrame, id_column: str, text_column: str, host_column: str) -
 def base_counts(rows: DataFrame) -> DataFrame:
     """``doc_id, text_hash`` with the counts of the base rules, each from the row's whole text.
 
-    Repeated words: three-word windows are hashed and sorted with their place; equal neighbours are
-    windows found twice or more, and their places, in order, tell how many words they cover. Sorting
+    Repeated words: three-word windows are hashed and the hashes sorted; equal neighbours are windows
+    found twice or more, and the places of these, in order, tell how many words they cover. Few different
+    ones are looked up in all windows; for many, the windows are sorted once more with their places. Sorting
     keeps the work of a long text at n log n without leaving the row.
     """
     split = rows.select(
         "doc_id",
         "text_hash",
-        F.char_length(F.translate("text", BLANKS, "")).cast("bigint").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        _count_of("text", SYMBOLS).cast("bigint").alias("n_symbols"),
         _words(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n"), _has_word).alias("lines"),
     )
-    plain = ["doc_id", "text_hash", "word_chars", "n_symbols"]
-    windows = F.transform(
-        F.slice("words", F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))),
-        lambda w, i: F.struct(F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")),
+    plain = ["doc_id", "text_hash", "n_symbols"]
+    last = F.greatest(F.size("words") - 2, F.lit(0))
+    hashes = F.transform(
+        F.slice("words", F.lit(1), last),
+        lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)),
     )
-    ordered = split.select(
+    hashed = split.select(
         *plain,
+        F.char_length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.size("words").cast("bigint").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        F.array_sort(windows).alias("windows"),
+        hashes.alias("hashes"),
     )
-    plain += ["n_words", "n_dup_lines"]
-    beside = lambda x, i: F.coalesce(F.get("windows", i)["h"] == x["h"], F.lit(False))
-    twice = F.filter("windows", lambda x, i: beside(x, i - 1) | beside(x, i + 1))
-    found = ordered.select(*plain, F.array_sort(F.transform(twice, lambda x: x["i"])).alias("places"))
+    plain += ["word_chars", "n_words", "n_dup_lines"]
+    ordered = hashed.select(*plain, "hashes", F.sort_array("hashes").alias("ordered"))
+    equal = F.array_distinct(F.filter("ordered", lambda h, i: F.coalesce(F.get("ordered", i - 1) == h, F.lit(False))))
+    marked = ordered.select(*plain, "hashes", equal.alias("equal"))
+    many = F.size("equal") > FEW_WINDOWS
+    pairs = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    paired = marked.select(*plain, "hashes", "equal", F.when(many, pairs).alias("pairs"))
+    beside = lambda x, i: F.coalesce(F.get("pairs", i)["h"] == x["h"], F.lit(False))
+    twice = F.filter("pairs", lambda x, i: beside(x, i - 1) | beside(x, i + 1))
+    far = F.sort_array(F.transform(twice, lambda x: x["i"]))
+    each = F.transform("hashes", lambda h, i: F.when(F.array_contains("equal", h), i))
+    near = F.array_compact(each)
+    none = F.array().cast("array<int>")
+    places = F.when(F.size("equal") == 0, none).when(many, far).otherwise(near)
+    found = paired.select(*plain, places.alias("places"))
     covered = F.transform(
         "places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("places", i + 1) - p, F.lit(3))).cast("bigint")
     )
@@ -79,9 +110,10 @@ def host_lines(rows: DataFrame) -> DataFrame:
     """``doc_id, text_hash, host, place, line, n``: each line with a word by its number, as the hash
     of its normal form (A-Z lowered, runs of blanks as one, trimmed), and its number of words."""
     lines = rows.select("doc_id", "text_hash", "host", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    spaced = F.trim(F.regexp_replace(F.translate("raw", UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
+    # Only what is not one blank already has to be replaced.
+    spaced = F.trim(F.regexp_replace(_lowered(F.col("raw")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
     normal = lines.select("doc_id", "text_hash", "host", "place", spaced.alias("normal")).filter("normal <> ''")
-    words = F.char_length("normal") - F.char_length(F.translate("normal", " ", "")) + 1
+    words = F.octet_length("normal") - F.octet_length(F.replace("normal", F.lit(" "), F.lit(""))) + 1
     return normal.select(
         "doc_id", "text_hash", "host", "place", F.xxhash64("normal").alias("line"), words.cast("bigint").alias("n")
     )
