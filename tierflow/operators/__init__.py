@@ -1,3 +1,4 @@
+from tierflow.operators.bands import overlap_join, point_join
 from tierflow.operators.combine import combine, mismatch, register
 from tierflow.operators.dedup import dedup_exact, dedup_latest
 from tierflow.operators.flatten import flatten_root
@@ -51,6 +52,8 @@ __all__ = [
     "mark_by_key",
     "mismatch",
     "ordered_window",
+    "overlap_join",
+    "point_join",
     "preview",
     "publish_table",
     "register",

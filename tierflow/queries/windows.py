@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.operators import Over, ordered_window
+from tierflow.operators import Over, ordered_window, overlap_join, point_join
 from tierflow.queries.registry import query, table
 
 # Columns that tell all lines apart.
@@ -67,3 +67,54 @@ def p_window_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.withColumn("kept", F.nullif("l_returnflag", F.lit("R")))
     found = ordered_window(kept, columns, ["l_shipdate"], partition_by=["l_linestatus"], ties=_LINE)
     return found.drop("kept", "l_quantity")
+
+
+# Validity ranges from the orders: from a second to some days, overlapping, within the events' month.
+_RANGES_SQL = """
+    SELECT o_orderkey, TIMESTAMP '2024-01-01' + (o_orderkey % 2592000) * INTERVAL 1 SECOND AS valid_from,
+           TIMESTAMP '2024-01-01' + (o_orderkey % 2592000 + 1 + (o_custkey * o_custkey) % 60 * (o_custkey % 300))
+               * INTERVAL 1 SECOND AS valid_to
+    FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 7 = 0
+"""
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("o_orderkey") % 2592000
+    length = 1 + (F.col("o_custkey") * F.col("o_custkey")) % 60 * (F.col("o_custkey") % 300)
+    moment = lambda s: F.timestamp_seconds(F.lit(1704067200) + s).cast("timestamp_ntz")
+    orders = table(spark, sf_dir, "orders").filter((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 7 == 0))
+    return orders.select("o_orderkey", moment(start).alias("valid_from"), moment(start + length).alias("valid_to"))
+
+
+@query(
+    f"""
+    WITH ranges AS ({_RANGES_SQL})
+    SELECT event_id, COUNT(*) AS n, MIN(o_orderkey) AS first_order, CAST(SUM(o_orderkey) AS BIGINT) AS keys
+    FROM events JOIN ranges ON valid_from <= ts AND ts < valid_to GROUP BY event_id
+    """
+)
+def p_join_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the ranges that hold them, counted by event."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    pairs = point_join(events, _ranges(spark, sf_dir), "ts", "valid_from", "valid_to", unit=60_000_000)
+    return pairs.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_order"), F.sum("o_orderkey").alias("keys")
+    )
+
+
+@query(
+    f"""
+    WITH ranges AS ({_RANGES_SQL}),
+    visits AS (SELECT user_id, MIN(ts) AS from_ts, MAX(ts) AS to_ts FROM events GROUP BY user_id, date_trunc('day', ts))
+    SELECT user_id, from_ts, COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS keys
+    FROM visits JOIN ranges ON valid_from < to_ts AND from_ts < valid_to WHERE from_ts < to_ts GROUP BY user_id, from_ts
+    """
+)
+def p_join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of users, from their first to their last event, with the ranges that overlap them."""
+    events = table(spark, sf_dir, "events")
+    visits = events.groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(
+        F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts")
+    ).drop("day")
+    pairs = overlap_join(visits, _ranges(spark, sf_dir), ("from_ts", "to_ts"), ("valid_from", "valid_to"), unit=60_000_000)
+    return pairs.groupBy("user_id", "from_ts").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
