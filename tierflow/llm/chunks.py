@@ -2,8 +2,8 @@
 results for its pieces.
 
 Encoding is by far the dearest step, and most pieces of a text have been met before. Every id comes
-from the tokenizers library; only repeated calls are saved. A cache is emptied when it is full, so
-its memory is bounded and results do not depend on it.
+from the tokenizers library; only repeated calls are saved. What is kept is bounded (see ``Kept``), and
+results do not depend on it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,42 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CACHE_ENTRIES = 800_000
+CACHE_BYTES = 256 << 20
+
+
+class Kept(dict):
+    """What has been encoded, by piece, in two generations. When the newer one is half of what may be
+    kept, it becomes the older one, which still answers: what is asked for again moves back, what is
+    not is forgotten with the next turn. So frequent pieces stay, and memory is bounded by entries and by
+    bytes."""
+
+    def __init__(self, entries: int = CACHE_ENTRIES, size: int = CACHE_BYTES):
+        super().__init__()
+        self.older: dict = {}
+        self.entries, self.bytes, self.used = entries // 2, size // 2, 0
+
+    def __missing__(self, piece):
+        value = self[piece] = self.older[piece]
+        return value
+
+    def knows(self, piece) -> bool:
+        return piece in self or piece in self.older
+
+    def unknown(self, pieces: set) -> set:
+        """Those of ``pieces`` that are not kept; the call counts them as kept from now on."""
+        missing = pieces.difference(self)
+        again = {p: self.older[p] for p in missing if p in self.older}
+        self.update(again)
+        # A piece, its value and its place in the table.
+        self.used += sum(map(len, missing)) * 3 + 200 * len(missing)
+        return missing.difference(again)
+
+    def turn(self) -> None:
+        if len(self) > self.entries or self.used > self.bytes:
+            self.older, self.used = dict(self), 0
+            self.clear()
+
+
 _encoders: dict[tuple, object] = {}
 
 
@@ -52,7 +88,7 @@ class WordEndEncoder:
         self.ends_word = np.zeros(self.library.get_vocab_size(), dtype=bool)
         for token, number in self.library.get_vocab().items():
             self.ends_word[number] = token.endswith(mark)
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = Kept()
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(list(texts), add_special_tokens=False)
@@ -84,9 +120,9 @@ class WordEndEncoder:
             elif body and len(body) < len(chunk) and text[-1].isalpha() and text[-1].lower().isalpha():
                 tail = chunk[len(body) :]
                 split[chunk] = body, tail
-                if body not in cache:
+                if not cache.knows(body):
                     (words if plain else others).add(body)
-                if tail not in cache:
+                if not cache.knows(tail):
                     others.add(tail)
             else:
                 others.add(chunk)
@@ -98,11 +134,10 @@ class WordEndEncoder:
 
     def encode(self, texts: Sequence[bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8), as the library's ``encode(text, add_special_tokens=False)``."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        chunks = [None if b"<|" in t else t.lower().split() for t in texts]
         cache = self.cache
-        self._learn(set().union(*(c for c in chunks if c)).difference(cache))
+        cache.turn()
+        chunks = [None if b"<|" in t else t.lower().split() for t in texts]
+        self._learn(cache.unknown(set().union(*(c for c in chunks if c))))
         get = cache.__getitem__
         return [
             np.frombuffer(self._whole([t.decode()])[0] if c is None else b"".join(map(get, c)), dtype="<u4")

@@ -12,12 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tierflow.llm.chunks import encoder
+from tierflow.llm.chunks import CACHE_BYTES, Kept, encoder
 from tierflow.llm.common import batch, col, map_arrow
 
 MARK = "▁"
 STEP_DOCS = 128
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 700_000
 
 # Field numbers, kinds and defaults of the public model format.
 UNIGRAM, BPE = 1, 2
@@ -163,25 +163,25 @@ class PieceEncoder:
         plain = self.model.kind == BPE and not self.model.character_map and not self.model.trim_blanks
         lines = not any("\n" in p for p in self.pairs)
         self.cuts = plain and apart and lines and self.model.dummy_prefix
-        self.cache: dict[str, bytes] = {}
+        self.cache = Kept(CACHE_ENTRIES, CACHE_BYTES)
         single = Tokenizer.from_str(self.library.to_str())
         single.decoder = decoders.Sequence(_back())
         known = len(self.model.pieces)
         self.texts = single.decode_batch([[i] for i in range(known)], skip_special_tokens=False)
-        self.high = np.array([kind == BYTE and int(piece[3:5], 16) > 127 for piece, _, kind in self.model.pieces])
+        self.high = {i for i, (piece, _, kind) in enumerate(self.model.pieces) if kind == BYTE and int(piece[3:5], 16) > 127}
 
     def _batch(self, tokenizer, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _learn_marked(self, words: list[str]) -> None:
-        """Words that begin with the mark, many in one call: as a cut before a mark changes nothing,
-        each word's ids begin with the next piece that has one."""
-        for low in range(0, len(words), 500):
-            some = words[low : low + 500]
-            ids = np.array(self.raw.encode("".join(some), add_special_tokens=False).ids, "<u4")
-            firsts = np.flatnonzero(self.begins[ids])
+        """Words that begin with the mark, many in one text: as a cut before a mark changes nothing,
+        each word's ids begin with the next piece that has one. The texts are one batch, which the
+        library's threads share."""
+        runs = [words[low : low + 500] for low in range(0, len(words), 500)]
+        for some, data in zip(runs, self._batch(self.raw, ["".join(r) for r in runs])):
+            firsts = np.flatnonzero(self.begins[np.frombuffer(data, "<u4")])
             if len(firsts) == len(some):
-                data, cuts = ids.tobytes(), [*(4 * firsts).tolist(), 4 * len(ids)]
+                cuts = [*(4 * firsts).tolist(), len(data)]
                 self.cache.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
             else:
                 self.cache.update(zip(some, self._batch(self.raw, some)))
@@ -192,7 +192,7 @@ class PieceEncoder:
             body = word.rstrip(self.TAIL)
             if body and len(body) < len(word) and body[-1] + word[len(body)] not in self.pairs:
                 split[word] = body, word[len(body) :]
-                whole.update(x for x in split[word] if x not in cache)
+                whole.update(x for x in split[word] if not cache.knows(x))
             else:
                 whole.add(word)
         self._learn_marked([w for w in whole if w[:1] == MARK])
@@ -210,11 +210,10 @@ class PieceEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text, without begin and end pieces; an empty text has none."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        words = [self._words(t) for t in texts]
         cache = self.cache
-        self._learn(set().union(*(w for w in words if w)).difference(cache))
+        cache.turn()
+        words = [self._words(t) for t in texts]
+        self._learn(cache.unknown(set().union(*(w for w in words if w))))
         rest = iter(self._batch(self.library, [t for t, w in zip(texts, words) if w is None and t]))
         get = cache.__getitem__
         raw = [b"".join(map(get, w)) if w else next(rest) if t else b"" for t, w in zip(texts, words)]
@@ -224,11 +223,10 @@ class PieceEncoder:
         """Text of each list of ids. The decoder treats pieces one by one, except that it puts bytes
         beyond ASCII together; lists with such bytes go to it whole, the others are put together from
         what it has given for each piece."""
-        rows = [np.asarray(row, dtype="<u4") for row in ids]
-        whole = [bool(self.high[row].any()) for row in rows]
-        rest = iter(self.library.decode_batch([r.tolist() for r, w in zip(rows, whole) if w], skip_special_tokens=False))
+        whole = [not self.high.isdisjoint(row) for row in ids]
+        rest = iter(self.library.decode_batch([list(r) for r, w in zip(ids, whole) if w], skip_special_tokens=False))
         get = self.texts.__getitem__
-        texts = [next(rest) if w else "".join(map(get, r.tolist())) for r, w in zip(rows, whole)]
+        texts = [next(rest) if w else "".join(map(get, r)) for r, w in zip(ids, whole)]
         blank = self.model.dummy_prefix
         return [t[1:] if blank and not w and t[:1] == " " else t for t, w in zip(texts, whole)]
 
@@ -239,6 +237,12 @@ def _reference(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def _normal(reference, texts: list[str], model: PieceModel) -> list[str]:
+    """Texts as the SentencePiece library normalises them, without the marks."""
+    plain = [t.replace(MARK, " ") for t in reference.normalize(texts)]
+    return [t[1:] if model.dummy_prefix and t[:1] == " " else t for t in plain]
+
+
 PIECES = "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, parity boolean, round_trip boolean"
 
 
@@ -256,8 +260,8 @@ def encode_pieces(
 
     Texts are encoded in batches by ``threads`` threads of the tokenizers library. With ``verify``,
     ``parity`` says whether the SentencePiece library gives the same ids for the whole text, and
-    ``round_trip`` whether decoding the ids gives the text back as the model has normalised it
-    (``decode`` of the SentencePiece library's ids); else both are null. A null text counts as empty
+    ``round_trip`` whether decoding the ids gives the text back as that library normalises it; else
+    both are null. A null text counts as empty
     and has no ids. ``ids`` is null without ``keep_ids``. Repeated rows and null ids give a row each;
     other columns are not looked at. ``model_path`` must be readable on every executor.
     """
@@ -272,9 +276,9 @@ def encode_pieces(
                 found = pieces.encode(texts)
                 same = back = [None] * len(texts)
                 if verify:
-                    expected = reference.encode(texts, num_threads=1)
-                    same = [f.tolist() == e for f, e in zip(found, expected)]
-                    back = [t == r for t, r in zip(pieces.decode(found), reference.decode(expected, num_threads=1))]
+                    lists = [f.tolist() for f in found]
+                    same = [f == e for f, e in zip(lists, reference.encode(texts, num_threads=1))]
+                    back = [t == r for t, r in zip(pieces.decode(lists), _normal(reference, texts, pieces.model))]
                 yield batch(
                     {
                         "doc_id": (part.column(0), pa.int64()),

@@ -24,23 +24,35 @@ _HEAD = struct.Struct("<4sQIIII")
 _FIELDS = np.array((1, *COUNTS), dtype=np.int64)  # by selector
 
 
-def _selectors(values: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """For each position the selector that packs most values from there on; ``room`` is the number of
-    values left in the position's block. Packing stops early only at the end of a block."""
-    chosen = np.zeros(len(values), dtype=np.int64)
-    for selector in range(len(COUNTS), 0, -1):
+# Widths in rising order, as limits: a value needs the first width whose limit is above it.
+_LIMITS = np.array([1 << (60 // count) for count in COUNTS], dtype=np.uint64)
+_SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+
+
+def _selectors(values: np.ndarray, block: int) -> np.ndarray:
+    """For each position the selector that packs most values from there on, 0 where none does. Packing
+    stops early only at the end of a block."""
+    n = len(values)
+    blocks = -(-n // block)
+    # By place in the block, with room behind that every width fits: the width that each value needs.
+    need = np.zeros((blocks, block + max(COUNTS)), dtype=np.uint8)
+    own = _SMALL[values] if n and values.max() < len(_SMALL) else np.searchsorted(_LIMITS, values, side="right")
+    padded = np.zeros(blocks * block, dtype=np.uint8)
+    padded[:n] = own
+    need[:, :block] = padded.reshape(blocks, block)
+    chosen = np.where(need[:, :block] < len(COUNTS), len(COUNTS), 0).astype(np.uint8)
+    widest, reach = need, 1  # the widest need of so many values from each place on
+    for selector in range(len(COUNTS) - 1, 0, -1):
         count = COUNTS[selector - 1]
-        at = np.flatnonzero(values < np.uint64(1 << (60 // count)))
-        if len(at) == len(values):
-            chosen[:] = selector
-            continue
-        # All of the next values fit if the place as many fitting values ahead is as far away.
-        need = np.minimum(count, room[at])
-        ahead = np.arange(len(at)) + need - 1
-        inside = ahead < len(at)
-        good = at[inside][at[ahead[inside]] - at[inside] == need[inside] - 1]
-        chosen[good] = selector
-    return chosen
+        while reach < count:
+            step = min(reach, count - reach)
+            widest = np.maximum(widest[:, : widest.shape[1] - step], widest[:, step:])
+            reach += step
+        fits = widest[:, :block] < selector
+        if not fits.any():
+            break  # more values of a smaller width do not fit either
+        chosen[fits] = selector
+    return chosen.reshape(-1)[:n].astype(np.int64)
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
@@ -49,7 +61,7 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     n = len(values)
     at = np.arange(n)
     room = np.minimum(block - at % block, n - at)
-    selector = _selectors(values, room)
+    selector = _selectors(values, block)
     steps = np.minimum(_FIELDS[selector], room).tolist()
     starts, i = [], 0
     while i < n:
@@ -63,12 +75,13 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     padded = np.append(values, np.zeros(max(COUNTS), dtype=np.uint64))
     for s, count in enumerate(COUNTS, start=1):
         rows = np.flatnonzero(selector == s)
-        width = 60 // count
-        for j in range(count if len(rows) else 0):
-            field = padded[first[rows] + j]
-            if j:
-                field = np.where(j < room[first[rows]], field, np.uint64(0))
-            words[rows] |= field << np.uint64(width * j)
+        if not len(rows):
+            continue
+        # A word's fields side by side; those behind the end of its block stay empty.
+        step = np.arange(count)
+        fields = padded[first[rows][:, None] + step] << (step * (60 // count)).astype(np.uint64)
+        fields[step >= room[first[rows]][:, None]] = 0
+        words[rows] |= np.bitwise_or.reduce(fields, axis=1)
     offsets = np.append(np.searchsorted(first, np.arange(0, n, block)), len(first)).astype("<u4")
     head = _HEAD.pack(b"S8B1", n, block, len(offsets) - 1, len(words), len(escapes))
     return head + offsets.tobytes() + words.astype("<u8").tobytes() + escapes.astype("<u8").tobytes()

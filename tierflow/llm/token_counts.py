@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.llm.chunks import CACHE_ENTRIES, encoder
+from tierflow.llm.chunks import CACHE_BYTES, CACHE_ENTRIES, Kept, encoder
 from tierflow.llm.common import batch, col, map_arrow
 
 STEP_DOCS = 128
@@ -38,7 +38,7 @@ class SpanEncoder:
         if self.library.normalizer is not None or "ByteLevel" not in str(self.library.pre_tokenizer):
             raise ValueError("this tokenizer is not a byte-level BPE without normaliser")
         # By part: its length in characters, its number of tokens and their spans.
-        self.cache: dict[str, tuple[int, int, bytes]] = {}
+        self.cache = Kept(CACHE_ENTRIES // 2, CACHE_BYTES)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch(texts, add_special_tokens=False)
@@ -74,7 +74,7 @@ class SpanEncoder:
             if len(pieces) > 1:
                 split[part] = pieces
             for piece in pieces:
-                if piece not in self.cache:
+                if not self.cache.knows(piece):
                     (words if piece[:1] == " " and piece[1:].isalpha() else others).add(piece)
         self._learn_words(list(words))
         rest = list(others)
@@ -97,11 +97,10 @@ class SpanEncoder:
     def spans(self, texts: Sequence[str]) -> list[np.ndarray]:
         """First and end character of each token of each text. Tokens that share the bytes of one
         character all have that character's span."""
-        if len(self.cache) > CACHE_ENTRIES // 2:
-            self.cache.clear()
+        self.cache.turn()
         cut = [None if "  " in t or t[-1:] == " " else t.split(" ") for t in texts]
         parts = [p and [p[0], *[" " + w for w in p[1:]]] for p in cut]
-        self._learn(set().union(*(p for p in parts if p)).difference(self.cache))
+        self._learn(self.cache.unknown(set().union(*(p for p in parts if p))))
         get = self.cache.__getitem__
         raw = [self._whole([t])[0] if p is None else self._joined(list(map(get, p)))[2] for t, p in zip(texts, parts)]
         return [x if isinstance(x, np.ndarray) else np.frombuffer(x, "<i4").reshape(-1, 2) for x in raw]

@@ -18,6 +18,9 @@ from tierflow.session import scratch_path
 
 SHARD_IDS = 1 << 18
 STEP_DOCS = 256
+# Input of a range at most, going by the plan's estimate, which is only believed up to a petabyte.
+RANGE_BYTES = 256 << 20
+MAX_BYTES = 1 << 50
 
 SHARDS = "part int, first bigint, n_ids bigint, doc_ids array<bigint>, lengths array<int>, payload binary"
 
@@ -80,7 +83,8 @@ def write_token_files(
     """Encode whole texts with the tokenizers library, add ``end_id`` to each and write the ids to
     ``path`` in ascending order of the document id.
 
-    Documents are dealt out by ranges of their id, so file number and place inside the file give the
+    Documents are dealt out by ranges of their id, as many as shuffle partitions or as the size of the
+    input asks for, so file number and place inside the file give the
     order. Each file (Parquet, for Spark's task commit) holds shards of about ``shard_ids`` ids: a
     Simple-8b byte string with per-block offsets, its documents' ids and lengths, and how many ids
     of the file precede it. A retried task writes the same file again.
@@ -90,7 +94,8 @@ def write_token_files(
     not looked at.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-min(size, MAX_BYTES) // RANGE_BYTES))
     rows = docs.select(col(id_column).cast("bigint").alias("d"), F.coalesce(col(text_column), F.lit("")).alias("t"))
     # The hash spreads a crowded id over several ranges; inside a range, equal rows are neighbours.
     rows = rows.withColumn("h", F.xxhash64("t"))
