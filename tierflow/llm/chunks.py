@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from itertools import filterfalse
 
 import numpy as np
 
@@ -40,7 +41,8 @@ class Kept(dict):
 
     def unknown(self, pieces: set) -> set:
         """Those of ``pieces`` that are not kept; the call counts them as kept from now on."""
-        missing = pieces.difference(self)
+        # Not a set's difference, which would go through all that is kept.
+        missing = set(filterfalse(self.__contains__, pieces))
         again = {p: self.older[p] for p in missing if p in self.older}
         self.update(again)
         # A piece, its value and its place in the table.
