@@ -1,9 +1,11 @@
 from tierflow.operators.bands import overlap_join, point_join
 from tierflow.operators.combine import combine, mismatch, register
 from tierflow.operators.dedup import dedup_exact, dedup_latest
+from tierflow.operators.drift import Conflict, Drift, conformed, drift, merged_schema, scan_drifting, widened
 from tierflow.operators.flatten import flatten_root
 from tierflow.operators.gold import gold_aggregate
 from tierflow.operators.joins import KeyLimits, broadcast_if_small, mark_by_key
+from tierflow.operators.layout import space_filling_key, write_clustered
 from tierflow.operators.profile import preview, row_counts, schema_report
 from tierflow.operators.quality import (
     ForeignKey,
@@ -25,7 +27,9 @@ from tierflow.operators.upsert import UpsertResult, upsert, upserted_rows
 from tierflow.operators.windows import Over, ordered_window
 
 __all__ = [
+    "Conflict",
     "Distinct",
+    "Drift",
     "ForeignKey",
     "InRange",
     "InSet",
@@ -41,8 +45,10 @@ __all__ = [
     "check_quality",
     "clean",
     "combine",
+    "conformed",
     "dedup_exact",
     "dedup_latest",
+    "drift",
     "ensure_namespace",
     "estimates",
     "flag_quality",
@@ -50,6 +56,7 @@ __all__ = [
     "gold_aggregate",
     "in_both",
     "mark_by_key",
+    "merged_schema",
     "mismatch",
     "ordered_window",
     "overlap_join",
@@ -59,8 +66,10 @@ __all__ = [
     "register",
     "row_counts",
     "run_rows",
+    "scan_drifting",
     "schema_report",
     "sketch_gold",
+    "space_filling_key",
     "split_quality",
     "write_quality",
     "write_run",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 from functools import reduce
@@ -19,6 +20,8 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+from tierflow.operators.changes import notes_in, read_note, remove_folder, write_note
+
 
 def _schema(**columns: DataType) -> StructType:
     return StructType([StructField(name, kind) for name, kind in columns.items()])
@@ -66,7 +69,7 @@ class RunLedger:
 
     Every run writes only into folders of its own, so runs that finish at the same time cannot
     disturb each other's commit, and readers can prune by day. A state change is an event in itself;
-    the ``events`` folder holds only what is not one.
+    the ``events`` folder holds only what is not one. ``compact`` packs the many small files into few.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -122,7 +125,60 @@ class RunLedger:
         folder = f"{self.root}/{table}/day={day}/run={run_id}"
         reduce(DataFrame.union, frames).coalesce(1).write.mode("append").parquet(folder)
 
+    def compact(self, target_bytes: int = 128 << 20, keep_seconds: int = 3600) -> dict[str, int]:
+        """Pack the small files of both tables into files of about ``target_bytes``; returns how many files
+        each table is read from afterwards.
+
+        Packed files lie where no listing sees them. One note, renamed into place, says which file
+        stands for which others, so a reader sees all of a pack or none of it. Files that have been replaced
+        are deleted by a later call, ``keep_seconds`` after, so that readers that had listed them find them.
+        One call at a time; runs may go on writing meanwhile.
+        """
+        return {table: self._compact(table, schema, target_bytes, keep_seconds) for table, schema in _TABLES.items()}
+
+    def _compact(self, table: str, schema: StructType, target_bytes: int, keep_seconds: int) -> int:
+        now, root = datetime.now(timezone.utc).timestamp(), f"{self.root}/{table}"
+        for name, pack in self._packs(table).items():
+            if pack["replaces"] and now - pack["at"] >= keep_seconds:
+                for file in pack["replaces"]:
+                    remove_folder(self.spark, file)
+                write_note(self.spark, f"{root}/{PACKS}/{name}", {**pack, "replaces": []})
+        files = self._files(table)
+        small = {f: n for f, n in files.items() if n < target_bytes // 2}
+        for group in pack_first_fit(small, target_bytes):
+            if len(group) < 2:
+                continue
+            name = uuid.uuid4().hex
+            data = f"{root}/{PACKED}/{name}"
+            self.spark.read.schema(schema).parquet(*group).coalesce(1).write.parquet(data)
+            # A pack of packs takes over what they replace, and they go with it.
+            inner = {n: p for n, p in self._packs(table).items() if any(f.startswith(f"{p['folder']}/") for f in group)}
+            replaced = [*group, *(f for p in inner.values() for f in p["replaces"])]
+            note = {"folder": data, "replaces": replaced, "at": now, "packs": list(inner)}
+            write_note(self.spark, f"{root}/{PACKS}/{name}", note)
+        return len(self._files(table))
+
+    def _packs(self, table: str) -> dict[str, dict]:
+        root = f"{self.root}/{table}/{PACKS}"
+        found = {name: read_note(self.spark, f"{root}/{name}") for name in notes_in(self.spark, root)}
+        inside = {n for pack in found.values() for n in pack["packs"]}
+        return {name: pack for name, pack in found.items() if name not in inside}
+
+    def _files(self, table: str) -> dict[str, int]:
+        """Files that hold the table's rows, with their sizes. The notes are read before the folder is
+        listed: a pack that appears in between is not seen, and its files still are."""
+        packs = self._packs(table)
+        gone = {f for pack in packs.values() for f in pack["replaces"]}
+        found = data_files(self.spark, f"{self.root}/{table}")
+        for pack in packs.values():
+            found |= data_files(self.spark, pack["folder"])
+        return {f: n for f, n in found.items() if f not in gone}
+
     def _read(self, table: str, schema: StructType, run_id: str | None) -> DataFrame:
+        if notes_in(self.spark, f"{self.root}/{table}/{PACKS}"):
+            files = list(self._files(table))
+            frame = self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+            return frame.filter(F.col("run_id") == run_id) if run_id else frame
         folder = f"{self.root}/{table}"
         if run_id:
             folder += f"/day=*/run={run_id}"
@@ -133,3 +189,42 @@ class RunLedger:
                 raise
             return self.spark.createDataFrame([], schema)
         return frame.select(*schema.fieldNames())
+
+
+_TABLES = {"runs": RUNS_SCHEMA, "events": EVENTS_SCHEMA}
+# Hidden from readers of the folders by their underscores.
+PACKS = "_packs"
+PACKED = "_packed"
+
+
+def pack_first_fit(sizes: Mapping[str, int], target: int) -> list[list[str]]:
+    """Groups of files of ``target`` bytes together at most, the largest files first, each into the first
+    group that has room. A file of more than that is a group of its own."""
+    groups: list[list[str]] = []
+    room: list[int] = []
+    for file in sorted(sizes, key=lambda f: (-sizes[f], f)):
+        at = next((i for i, left in enumerate(room) if sizes[file] <= left), None)
+        if at is None:
+            groups.append([])
+            room.append(target)
+            at = len(groups) - 1
+        groups[at].append(file)
+        room[at] -= sizes[file]
+    return groups
+
+
+def data_files(spark: SparkSession, path: str) -> dict[str, int]:
+    """Data files below a folder that readers would see, with their sizes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return {}
+    top = files.makeQualified(place).toString()
+    found, walk = {}, files.listFiles(place, True)
+    while walk.hasNext():
+        status = walk.next()
+        name = status.getPath().toString()
+        parts = name[len(top) :].strip("/").split("/")
+        if not any(p.startswith(".") or (p.startswith("_") and "=" not in p) for p in parts):
+            found[name] = status.getLen()
+    return found
