@@ -11,7 +11,7 @@ from tierflow.llm.ball_tree import TOP, ranked_search
 from tierflow.llm.common import read_table
 from tierflow.llm.decontaminate import contamination
 from tierflow.llm.language import predict_languages
-from tierflow.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, license_report
+from tierflow.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, license_report, run_length
 from tierflow.llm.ngram_join import near_duplicates
 from tierflow.llm.pieces import encode_pieces
 from tierflow.llm.quality_model import predict_quality
@@ -89,13 +89,18 @@ _WORDS = (
     "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
-# Plain containment of every template in every line, without an index.
+def _template_row(t) -> str:
+    words = lambda some: "[" + ", ".join(f"'{w}'" for w in some) + "]::VARCHAR[]"
+    return f"('{t.label}', '{t.text}', {words(t.needs)}, {words(t.without)}, {run_length(t.text)})"
+
+
+# Plain containment of every template in every run that begins with one of its words, without an index.
 ORACLES["op5_license_scans"] = f"""
 WITH phrases AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{v}')" for p, v in PHRASES.items())}) AS t(phrase, label)),
 templates AS (
-  SELECT label, list_distinct({_WORDS.format("body")}) AS t
-  FROM (VALUES {", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())}) AS t(label, body)),
-d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, coalesce(text, '') AS text FROM documents),
+  SELECT row_number() OVER () AS t_no, label, list_distinct({_WORDS.format("body")}) AS t, needs, without, reach
+  FROM (VALUES {", ".join(map(_template_row, TEMPLATES))}) AS t(label, body, needs, without, reach)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 places AS (
   SELECT doc_id, i, p.label
   FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d) s, phrases p
@@ -105,12 +110,18 @@ base AS (
   SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word,
     list_sort(list_distinct(list(label))) AS labels
   FROM places GROUP BY doc_id),
-lines AS (
-  SELECT doc_id, list_distinct({_WORDS.format("line")}) AS s
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+possible AS (
+  SELECT r, doc_id, w, t_no FROM d, templates WHERE len(list_intersect(t, w)) >= {THRESHOLD} * len(t) - 1e-9),
+starts AS (SELECT r, doc_id, w, t_no, unnest(range(1, len(w) + 1)) AS i FROM possible),
+runs AS (
+  SELECT doc_id, label, t, needs, without, list_slice(w, i, i + reach - 1) AS s
+  FROM starts JOIN templates USING (t_no) WHERE list_contains(t, w[i])),
+cut AS (
+  SELECT *, list_min(list_filter(list_transform(without, lambda x: list_position(s, x)), lambda p: p > 0)) AS e FROM runs),
+own AS (SELECT doc_id, label, t, needs, CASE WHEN e IS NULL THEN s ELSE list_slice(s, 1, e - 1) END AS s FROM cut),
 matches AS (
   SELECT doc_id, label, len(list_intersect(t, s)) / len(t) AS containment
-  FROM lines, templates WHERE len(list_intersect(t, s)) >= {THRESHOLD} * len(t) - 1e-9 AND len(s) > 0),
+  FROM own WHERE len(list_intersect(t, s)) >= {THRESHOLD} * len(t) - 1e-9 AND len(list_intersect(needs, s)) = len(needs)),
 method AS (SELECT doc_id, max(containment) AS best, list_distinct(list(label)) AS labels FROM matches GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base,
   CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
