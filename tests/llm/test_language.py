@@ -6,7 +6,9 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
+from tierflow.llm import language
 from tierflow.llm.language import (
+    LanguageModel,
     _viterbi,
     fit_languages,
     identify_languages,
@@ -104,3 +106,12 @@ def test_mixed_and_unlearned_texts_go(spark, medium_dir):
     assert len(gone) <= 10
     lax = {r.source for r in keep_languages(both).filter("doc_id < 0").collect()}
     assert "script" not in lax and "mixed" in lax
+
+
+def test_signs_beyond_the_table_are_no_letters(spark):
+    model = LanguageModel(("a", "b"), np.zeros((language.BUCKETS, 2), np.float32), np.ones((language.SCRIPTS, 2), bool))
+    flag = "\U0001F3F4\U000E0067\U000E0062\U000E007F"
+    rows = [(1, flag), (2, "\U000F0001"), (3, "\U000E0101 12"), (4, "\U00020000 12")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.lang_pred for r in identify_languages(frame, model).collect()}
+    assert [found[i] for i in (1, 2, 3)] == ["und"] * 3 and found[4] != "und"

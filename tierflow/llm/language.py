@@ -76,7 +76,11 @@ def _words(texts: list[str]) -> _Words:
     low = [x if len(x) == len(t) else t for t, x in ((t, t.lower()) for t in texts)]
     code = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     inside = np.minimum(code, _TABLE - 1)
-    letter = np.where(code < _TABLE, _LETTER[inside], True)
+    letter = _LETTER[inside]
+    high = np.flatnonzero(code >= _TABLE)
+    if len(high):
+        kinds, which = np.unique(code[high], return_inverse=True)
+        letter[high] = np.array([chr(c).isalpha() for c in kinds.tolist()])[which]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8))).reshape(-1, 2)
     lengths = np.array([len(t) for t in low], dtype=np.int64)
     offsets = np.cumsum(lengths + 1) - lengths - 1
@@ -114,7 +118,8 @@ def _sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str,
     n = usable.count()
     share = min(1.0, max_docs / n) if n else 1.0
     if share < 1:
-        usable = usable.filter(F.pmod(F.xxhash64(F.col("d").cast("string")), F.lit(1_000_000)) < int(share * 1e6))
+        # The whole range of the hash, so that the share may be as small as it has to be.
+        usable = usable.filter(F.xxhash64(F.col("d").cast("string")) < int(share * 2**64) - 2**63)
     return usable
 
 
