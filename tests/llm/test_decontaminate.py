@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from tierflow.llm.common import fold_words
-from tierflow.llm.decontaminate import WordAutomaton, contamination, remove_matches
+from tierflow.llm.decontaminate import WordAutomaton, _scan_rows, contamination, remove_matches
 
 
 def brute(text, items, window):
@@ -53,6 +54,43 @@ def test_against_brute_force(spark, seed, max_words):
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
+def test_groups_cut_the_same_texts(spark, medium_dir):
+    docs = spark.read.parquet(f"{medium_dir}/documents.parquet")
+    tests = spark.read.parquet(f"{medium_dir}/benchmark.parquet")
+    odd = spark.createDataFrame([(-1, None, "x"), (None, "", "x"), (None, None, None)], "doc_id long, text string, source string")
+    docs = docs.select("doc_id", "text", docs.source.alias("items"), docs.lang.alias("its_key"))
+    docs = docs.unionAll(docs.limit(20)).unionAll(odd.select("doc_id", "text", "source", "source"))
+    one, many = (sorted(map(tuple, contamination(docs, tests, max_words=n).collect()), key=str) for n in (200_000, 300))
+    assert one == many and sum(r[-1] for r in one) > 10
+    one, many = (sorted(map(tuple, remove_matches(docs, tests, max_words=n).collect()), key=str) for n in (200_000, 300))
+    assert one == many and len(one) > 900
+
+
+def test_automata_are_built_once_a_piece(monkeypatch):
+    built = []
+    made = WordAutomaton.__init__
+    monkeypatch.setattr(WordAutomaton, "__init__", lambda self, *a, **k: (built.append(1), made(self, *a, **k))[1])
+    rows = []
+    for group, piece in [(0, 0), (0, 1), (3, 0)]:
+        rows += [(group, piece, False, f"{group}-{i}", None, f"a b{i} c{group} d") for i in range(5)]
+        rows += [(group, piece, True, None, f"{group}{piece}{i}".encode(), f"x A B{i % 5} C3 d") for i in range(50)]
+    names = ["group", "piece", "is_text", "name", "key", "text"]
+    whole = pa.table({n: list(c) for n, c in zip(names, zip(*rows))})
+    found = pa.Table.from_batches(list(_scan_rows(whole.to_batches(max_chunksize=7), 4)))
+    assert len(built) == 3 and found.num_rows == 150
+    for key, spans, items in zip(*(found[c].to_pylist() for c in found.column_names)):
+        hit = key.startswith(b"3")
+        assert spans == ([{"first": 1, "end": 5}] if hit else [])
+        assert items == ([f"3-{int(key[2:]) % 5}"] if hit else [])
+
+
+def test_long_items_are_cut_with_overlap(spark):
+    words = [f"w{i}" for i in range(1000)]
+    tests = spark.createDataFrame([("long", " ".join(words))], "item_id string, text string")
+    frame = spark.createDataFrame([(i, " ".join(words[i : i + 10])) for i in range(991)], "doc_id long, text string")
+    assert {(r.n_hit, r.n_items) for r in contamination(frame, tests, max_words=100).collect()} == {(10, 1)}
+
+
 def test_removal(spark):
     item = "one two three four five six seven eight nine ten"
     rows = [

@@ -9,12 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tierflow.llm.common import FOLD, batch, col, map_arrow, texts_of
+from tierflow.functions.naming import free_name
+from tierflow.llm.common import FOLD, batch, col, fold_words, map_arrow, saved, texts_of
+from tierflow.llm.ngram_join import ngram_sets
 
 WINDOW = 10
 AUTOMATON_WORDS = 200_000
-ITEM_BYTES = 256 << 20
+# Items up to this size, and one automaton's words, are sent to every task; more are searched by groups.
+SHARED_BYTES = 16 << 20
+FILTER_BITS = 1 << 27
+PIECE_TEXTS = 20_000
 
 
 class WordAutomaton:
@@ -151,30 +157,26 @@ class WordAutomaton:
                 spans.append((first, place + 1))
 
 
-def build_automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW,
-                   max_words: int = AUTOMATON_WORDS) -> list[list[tuple[str | None, bytes]]]:
-    """The items in groups of about ``max_words`` words, one automaton each.
+def item_pieces(
+    benchmark: DataFrame, item_id: str, text: str, window: int = WINDOW, max_words: int = AUTOMATON_WORDS
+) -> DataFrame:
+    """``name, words, n``: distinct items with words, written once. An item of many words is cut into pieces that
+    share ``window - 1`` words, so each run of ``window`` words lies whole in a piece and no piece fills a group."""
+    most = max(4 * window, max_words // 8)
 
-    Test items are the small side by nature: they are gathered to the driver and sent to every task,
-    up to ``ITEM_BYTES`` in all; more is an error, to be met by several runs over parts of the items.
-    However many there are, a task holds one automaton at a time.
-    """
-    rows = benchmark.select(col(item_id).cast("string"), col(text)).toLocalIterator()
-    groups: list[list[tuple[str | None, bytes]]] = [[]]
-    size = total = 0
-    for name, body in rows:
-        total += len(body or "")
-        if total > ITEM_BYTES:
-            raise ValueError(f"the benchmark has more than {ITEM_BYTES} characters; search it in parts")
-        words = (body or "").encode().translate(FOLD).split()
-        if not words:
-            continue
-        if size and size + len(words) > max_words:
-            groups.append([])
-            size = 0
-        groups[-1].append((name, b" ".join(words)))
-        size += len(words)
-    return groups
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, pieces, sizes = [], [], []
+            for name, body in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
+                words = fold_words(body)
+                for low in range(0, max(len(words) - window + 1, min(len(words), 1)), most - window + 1):
+                    names.append(name)
+                    pieces.append(b" ".join(words[low : low + most]).decode())
+                    sizes.append(len(words[low : low + most]))
+            yield batch({"name": (names, pa.string()), "words": (pieces, pa.string()), "n": (sizes, pa.int64())})
+
+    rows = map_arrow(benchmark.select(col(item_id).cast("string"), col(text)), run, "name string, words string, n bigint")
+    return saved(rows.distinct(), "benchmark-items")
 
 
 _built: dict[bytes, WordAutomaton] = {}
@@ -199,37 +201,190 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return done
 
 
-def _scan_batch(texts: list[bytes], groups, window: int) -> list[tuple[int, list[tuple[int, int]], set]]:
-    """Per text its number of words, hit spans and items. With several groups each batch is searched
-    group by group, so one automaton is in memory at a time."""
-    found: list[tuple[int, list, set]] = [(0, [], set())] * len(texts)
-    for group in groups:
-        automaton = _automaton(group, window)
-        for i, text in enumerate(texts):
-            words = text.translate(FOLD).split()
-            spans, items = automaton.scan(words)
-            found[i] = len(words), _merged(found[i][1] + spans), found[i][2] | items
-    return found
+def _scan_batch(texts: list[bytes], group, window: int) -> list[tuple[list[tuple[int, int]], set]]:
+    """Per text its hit spans and items."""
+    automaton = _automaton(group, window)
+    return [automaton.scan(fold_words(text)) for text in texts]
 
 
-MATCHES = "doc_id bigint, n_words bigint, spans array<struct<first:bigint,end:bigint>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+SPANS = "array<struct<first:bigint,end:bigint>>"
+MATCHES = f"doc_id bigint, n_words bigint, spans {SPANS}, items array<string>"
+
+
+def _found_columns(found: list[tuple[list[tuple[int, int]], set]]) -> list[pa.Array]:
+    spans = pa.array([[{"first": f, "end": e} for f, e in s] for s, _ in found], _SPANS)
+    return [spans, pa.array([sorted(x for x in i if x is not None) for _, i in found], pa.list_(pa.string()))]
+
+
+def _hits(texts: DataFrame, bits: np.ndarray, lengths: list[int], window: int) -> DataFrame:
+    """``key, hash`` of runs of words that pass the filter, from ``key, text``; ``lengths`` are those of short items."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, hashes = [], []
+            for key, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
+                runs = np.unique(np.concatenate([ngram_sets([text], n)[0] for n in (window, *lengths)]))
+                passed = runs[_passes(runs, shared.value)].view(np.int64).tolist()
+                keys += [key] * len(passed)
+                hashes += passed
+            yield batch({"key": (keys, pa.binary()), "hash": (hashes, pa.int64())})
 
+    return map_arrow(texts, run, "key binary, hash bigint")
+
+
+def _places(hashes: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(n_bits - 1)
+    return hashes & mask, (hashes >> np.uint64(32)) & mask
+
+
+def _passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    a, b = _places(hashes, len(bits) * 64)
+    bit = lambda at: (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+    return (bit(a) & bit(b)).astype(bool)
+
+
+def _filter_bits(runs: DataFrame) -> np.ndarray:
+    """Bloom filter of ``runs.hash`` with about 16 bits a run and at most ``FILTER_BITS`` (16 MB): beyond that
+    more runs pass to the exact join, no other result follows. Words of the filter are combined in tasks."""
+    n_bits = max(64, min(FILTER_BITS, 1 << (16 * max(1, runs.count())).bit_length()))
 
-def _matcher(shared, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = _scan_batch(texts_of(b.column(1)), shared.value, window)
-            yield batch(
-                {
-                    "doc_id": (b.column(0), pa.int64()),
-                    "n_words": ([n for n, _, _ in found], pa.int64()),
-                    "spans": ([[{"first": f, "end": e} for f, e in s] for _, s, _ in found], _SPANS),
-                    "items": ([sorted(x for x in i if x is not None) for _, _, i in found], pa.list_(pa.string())),
-                }
-            )
+            at = np.concatenate(_places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), n_bits))
+            values = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+            yield batch({"at": ((at >> np.uint64(6)).astype(np.int64), pa.int64()), "bits": (values, pa.int64())})
 
-    return run
+    table = map_arrow(runs.select("hash"), run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    got = table.toArrow()
+    bits = np.zeros(n_bits // 64, dtype=np.uint64)
+    bits[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _item_runs(items: DataFrame, window: int) -> DataFrame:
+    """``hash, group`` of every run of ``window`` words of an item, or of all words of a shorter one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
+                runs = ngram_sets([text], window)[0].view(np.int64)
+                yield batch({"hash": (runs, pa.int64()), "group": ([group] * len(runs), pa.int32())})
+
+    rows = map_arrow(items.select("group", "words"), run, "hash bigint, `group` int")
+    return saved(rows.distinct(), "benchmark-runs")
+
+
+def _scan_rows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``group, piece, is_text, name, key, text``, the items of a group and piece before its texts, to
+    ``key, spans, items``. One automaton is held at a time and built once for all texts of the piece."""
+    at, items, automaton = None, [], None
+    for b in batches:
+        keys, found = [], []
+        groups, pieces, is_text, names, marks = (b.column(i).to_pylist() for i in range(5))
+        for *here, text_row, name, key, text in zip(groups, pieces, is_text, names, marks, texts_of(b.column(5))):
+            if here != at:
+                at, items, automaton = here, [], None
+            if not text_row:
+                items.append((name, text.split()))
+                continue
+            automaton = automaton or WordAutomaton(items, window)
+            keys.append(key)
+            found.append(automaton.scan(fold_words(text)))
+        columns = [pa.array(keys, pa.binary()), *_found_columns(found)]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "spans", "items"])
+
+
+def _scan_groups(dealt: DataFrame, window: int) -> DataFrame:
+    run = lambda batches: _scan_rows(batches, window)
+    return map_arrow(dealt, run, f"key binary, spans {SPANS}, items array<string>")
+
+
+def _merge_groups(found: DataFrame) -> DataFrame:
+    """One row per text: its spans of all groups joined where they touch, its items once."""
+    rows = found.groupBy("key").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [_merged([(s["first"], s["end"]) for s in row]) for row in b.column(1).to_pylist()]
+            columns = _found_columns(list(zip(spans, map(set, b.column(2).to_pylist()))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["its_key", "spans", "items"])
+
+    return saved(map_arrow(rows, run, f"its_key binary, spans {SPANS}, items array<string>"), "benchmark-matches")
+
+
+def _by_groups(docs: DataFrame, text_column: str, items: DataFrame, n_groups: int, window: int) -> DataFrame:
+    """``its_key, spans, items`` of the texts that hold a run of an item; the key is a hash of the text.
+
+    Items go to groups by hash. Runs of words are hashed on both sides; those of the texts pass a filter of
+    bounded size and are joined with the items' runs, which gives the groups each text must be searched for.
+    Only these texts are sent on, to the automata of those groups; a group with many texts is dealt in pieces.
+    """
+    group = F.pmod(F.xxhash64("name", "words"), F.lit(n_groups)).cast("int")
+    items = saved(items.withColumn("group", group), "benchmark-groups")
+    runs = _item_runs(items, window)
+    lengths = sorted(r.n for r in items.filter(F.col("n") < window).select("n").distinct().collect())
+    text = col(text_column)
+    texts = docs.filter(text.isNotNull()).select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
+    hits = _hits(texts, _filter_bits(runs), lengths, window)
+    # Copies of one text, and a passage that very many share, are one row each before they meet the runs.
+    hits = saved(hits.distinct(), "benchmark-hits")
+    wanted = saved(hits.join(runs, "hash").select("key", "group").distinct(), "benchmark-candidates")
+    sizes = wanted.groupBy(F.col("group").alias("g")).agg(F.ceil(F.count(F.lit(1)) / PIECE_TEXTS).cast("int").alias("pieces"))
+    sizes = saved(sizes, "benchmark-pieces")
+    keys = wanted.select(F.col("key").alias("k")).distinct()
+    needed = saved(texts.join(keys, F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"]), "benchmark-texts")
+    named = wanted.join(sizes, F.col("group") == F.col("g")).select(
+        "group", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int").alias("piece"), F.col("key").alias("k")
+    )
+    none = F.lit(None)
+    searched = named.join(needed, F.col("k") == F.col("key")).select(
+        "group", "piece", F.lit(True).alias("is_text"), none.cast("string").alias("name"), "key", "text"
+    )
+    searching = items.join(sizes, F.col("group") == F.col("g")).select(
+        "group", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(False).alias("is_text"),
+        "name", none.cast("binary").alias("key"), F.col("words").alias("text"),
+    )
+    dealt = searched.unionAll(searching).repartition("group", "piece").sortWithinPartitions("group", "piece", "is_text")
+    return _merge_groups(_scan_groups(dealt, window))
+
+
+def _located(
+    docs: DataFrame, benchmark: DataFrame, text_column: str, item_column: str, item_text: str, window: int, max_words: int
+) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, hit spans and items, and the names of these.
+
+    Items of at most ``max_words`` words and ``SHARED_BYTES`` together are one automaton, sent to every task.
+    More are searched by groups (``_by_groups``), where nothing but a filter of bounded size is sent to all.
+    """
+    items = item_pieces(benchmark, item_column, item_text, window, max_words)
+    size = F.octet_length("words") + F.octet_length(F.coalesce("name", F.lit("")))
+    zero = F.lit(0)
+    total = items.agg(F.coalesce(F.sum("n"), zero).alias("n"), F.coalesce(F.sum(size), zero).alias("size")).first()
+    spans, names = free_name(docs, "spans"), free_name(docs, "items")
+    if total.n <= max_words and total.size <= SHARED_BYTES:
+        group = sorted(((r.name, r.words.encode()) for r in items.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+        shared = docs.sparkSession.sparkContext.broadcast(group)
+        at = docs.columns.index(text_column)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = _scan_batch(texts_of(b.column(at)), shared.value, window)
+                yield pa.RecordBatch.from_arrays([*b.columns, *_found_columns(found)], names=[*b.schema.names, spans, names])
+
+        schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{spans}` {SPANS}, `{names}` array<string>").fields])
+        return map_arrow(docs, run, schema), spans, names
+    found = _by_groups(docs, text_column, items, -(-2 * total.n // max_words), window)
+    its_key = free_name(docs, "its_key")
+    found = found.select(F.col("its_key").alias(its_key), F.col("spans").alias(spans), F.col("items").alias(names))
+    key = F.unhex(F.md5(col(text_column).cast("binary")))
+    joined = docs.join(found, key == col(its_key), "left").drop(its_key)
+    empty = lambda name, kind: F.coalesce(col(name), F.array().cast(kind)).alias(name)
+    kept = [col(c) for c in docs.columns]
+    return joined.select(*kept, empty(spans, SPANS), empty(names, "array<string>")), spans, names
 
 
 def benchmark_matches(
@@ -249,12 +404,20 @@ def benchmark_matches(
     an item with fewer words as a whole. ``spans`` are the hit word ranges (``end`` not included),
     apart and in order; ``items`` the distinct items, sorted as strings. Null or empty text has no
     words, hence no span. A null item id is matched but not named. An item that occurs twice in the
-    table is one item; one without words matches nothing. An empty benchmark gives no spans. One row
-    per document row, repeated rows and null ids included; other columns are not looked at.
+    table is one item; one without words matches nothing. An empty benchmark gives no spans, an empty
+    table of documents no rows. One row per document row, repeated rows and null ids included; other
+    columns are not looked at. A text is searched whole, by one task for each group it shares a run with.
     """
-    groups = build_automata(benchmark, item_column, item_text, window, max_words)
     rows = docs.select(col(id_column).cast("bigint").alias("doc_id"), col(text_column).alias("text"))
-    return map_arrow(rows, _matcher(docs.sparkSession.sparkContext.broadcast(groups), window), MATCHES)
+    located, _, _ = _located(rows, benchmark, "text", item_column, item_text, window, max_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_words = pa.array([len(fold_words(t)) for t in texts_of(b.column(1))], pa.int64())
+            names = ["doc_id", "n_words", "spans", "items"]
+            yield pa.RecordBatch.from_arrays([b.column(0), n_words, b.column(2), b.column(3)], names=names)
+
+    return map_arrow(located, run, MATCHES)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -300,21 +463,21 @@ def remove_matches(
     Every span of ``window`` or more matching words is cut out of the text, from its first to its
     last word, and ``size_column`` (if the table has it) is set to the new length. A document goes
     when more than ``max_coverage`` of its words are hit. Documents without a match, null and empty
-    texts among them, stay as they are.
+    texts among them, stay as they are; repeated rows are all treated alike, and columns of any name pass
+    through. An empty table gives no rows.
     """
-    groups = build_automata(benchmark, item_column, item_text, window, max_words)
-    shared = docs.sparkSession.sparkContext.broadcast(groups)
-    at = docs.columns.index(text_column)
+    located, _, _ = _located(docs, benchmark, text_column, item_column, item_text, window, max_words)
+    at, width = docs.columns.index(text_column), len(docs.columns)
     size_at = docs.columns.index(size_column) if size_column in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = texts_of(b.column(at))
-            found = _scan_batch(texts, shared.value, window)
-            share = [sum(e - f for f, e in s) / n if n else 0.0 for n, s, _ in found]
-            keep = [x <= max_coverage for x in share]
-            changed = {i: _without(texts[i], s).decode() for i, (_, s, _) in enumerate(found) if s and keep[i]}
-            columns = list(b.columns)
+            found = [[(s["first"], s["end"]) for s in row] for row in b.column(width).to_pylist()]
+            hit = [sum(e - f for f, e in spans) for spans in found]
+            keep = [not n or n / len(fold_words(t)) <= max_coverage for n, t in zip(hit, texts)]
+            changed = {i: _without(texts[i], s).decode() for i, s in enumerate(found) if s and keep[i]}
+            columns = list(b.columns[:width])
             if changed:
                 old = columns[at].to_pylist()
                 columns[at] = pa.array([changed.get(i, x) for i, x in enumerate(old)], columns[at].type)
@@ -322,6 +485,6 @@ def remove_matches(
                     sizes = columns[size_at].to_pylist()
                     new = [len(changed[i]) if i in changed else x for i, x in enumerate(sizes)]
                     columns[size_at] = pa.array(new, columns[size_at].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(located, run, docs.schema)
