@@ -5,7 +5,7 @@ import pytest
 
 from tierflow.llm.common import fold_words
 from tierflow.llm.components import connected_components
-from tierflow.llm.ngram_join import choose_bands, keep_one_of_each, near_duplicates, ngram_join
+from tierflow.llm.ngram_join import choose_bands, keep_one_of_each, near_duplicates, ngram_groups, ngram_join
 
 
 def grams(text):
@@ -92,6 +92,30 @@ def test_one_stays(spark):
     assert kept.columns == frame.columns
 
 
+@pytest.mark.parametrize("seed,block", [(5, 256), (6, 8), (7, 2)])
+def test_groups_are_those_of_all_links(spark, seed, block):
+    """One to three turns and the rest pair by pair give the groups that all links give, chains and
+    neighbouring families in one bucket included."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    rows = make(seed)
+    for step in range(30):  # a chain: neighbours are similar, its ends are not
+        rows.append((2000 + step, " ".join(base[step * 4 : step * 4 + 120])))
+    for family in range(3):  # families that share most words, yet not 0.8 of their n-grams
+        words = [w if i % 30 else f"f{family}{i}" for i, w in enumerate(base)]
+        for i in range(25):
+            words[rng.randrange(200)] = f"x{i}"
+            rows.append((3000 + 100 * family + i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected, _ = brute(rows)
+    rows_found, groups = ngram_groups(frame, block_texts=block)
+    joined = ngram_join(frame, block_texts=block)
+    assert {tuple(map(bytes, r)) for r in groups.collect()} == {tuple(map(bytes, r)) for r in joined.groups.collect()}
+    kept = {r.doc_id for r in keep_one_of_each(frame, block_texts=block).collect()}
+    wanted = {c for (_, t), (_, c, _) in zip(rows, expected) if grams(t)} | {i for i, t in rows if not grams(t)}
+    assert kept == wanted and rows_found.count() == len(rows)
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_duplicates(frame).count() == 0

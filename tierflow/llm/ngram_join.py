@@ -24,6 +24,9 @@ STEP_BYTES = 500_000
 # A bucket is cut into blocks of about this many texts or n-grams; pairs of blocks are dealt out.
 BLOCK_TEXTS = 256
 BLOCK_NGRAMS = 4_000_000
+# How often the texts of a large bucket are compared with one of them, and how many of them a task takes.
+STAR_TURNS = 3
+STAR_TEXTS = 5_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -175,10 +178,13 @@ class _Block:
     sides: list[int]
     earlier: list[np.ndarray]
     grams: list[np.ndarray]
+    groups: list[bytes]
 
     def links(self, threshold: float, crossed: bool) -> Iterator[tuple[int, int, float]]:
         """Pairs at the threshold, each once: between sides if ``crossed``, else among all. A pair that
-        also meets in an earlier bucket is left to that one."""
+        also meets in an earlier bucket is left to that one. With ``groups``, only pairs that join two
+        groups: a pair whose texts are known to be connected is not looked at."""
+        labels = np.unique(np.array(self.groups, dtype=object), return_inverse=True)[1] if self.groups else None
         sizes = np.array([len(g) for g in self.grams])
         _, ids = np.unique(np.concatenate(self.grams), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
@@ -194,6 +200,8 @@ class _Block:
             if crossed and sides[i] != sides.min():
                 continue
             j = np.flatnonzero(sides != sides[i]) if crossed else np.arange(i + 1, len(self.marks))
+            if labels is not None:
+                j = j[labels[j] != labels[i]]
             j = j[np.minimum(sizes[j], sizes[i]) >= threshold * np.maximum(sizes[j], sizes[i])]
             if not len(j):
                 continue
@@ -204,7 +212,12 @@ class _Block:
             present[own], met[own_met] = 0, 0
             share = common / (sizes[j] + sizes[i] - common)
             for k in np.flatnonzero((share >= threshold) & (again == 0)).tolist():
-                yield i, int(j[k]), float(share[k])
+                at = int(j[k])
+                if labels is not None:
+                    if labels[at] == labels[i]:
+                        continue
+                    labels[labels == labels[at]] = labels[i]
+                yield i, at, float(share[k])
 
 
 LINKS = "mark binary, root binary, n_links bigint, partners array<binary>, similarities array<double>"
@@ -245,24 +258,27 @@ def _block_links(block: _Block, threshold: float, crossed: bool) -> pa.RecordBat
 
 
 def _verify(dealt: DataFrame, threshold: float) -> DataFrame:
-    """Rows ``bucket, i, j, side, mark, buckets, grams``, neighbours by bucket and block pair, to links.
-    A task holds one block pair at a time."""
+    """Rows ``bucket, i, j, side, mark, buckets, grams`` and perhaps ``group``, neighbours by bucket and
+    block pair, to links. A task holds one block pair at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block = None, _Block([], [], [], [])
+        key, block = None, _Block([], [], [], [], [])
         for b in batches:
             keys = list(zip(*(b.column(c).to_pylist() for c in range(3))))
             rest = [b.column(c).to_pylist() for c in range(3, 7)]
-            for at, side, mark, buckets, grams in zip(keys, *rest):
+            groups = b.column(7).to_pylist() if b.num_columns > 7 else None
+            for row, (at, side, mark, buckets, grams) in enumerate(zip(keys, *rest)):
                 if at != key:
                     if key and (found := _block_links(block, threshold, key[1] != key[2])):
                         yield found
-                    key, block = at, _Block([], [], [], [])
+                    key, block = at, _Block([], [], [], [], [])
                 own = np.array(buckets, dtype=np.int64)
                 block.marks.append(mark)
                 block.sides.append(side)
                 block.earlier.append(own[own < at[0]])
                 block.grams.append(np.frombuffer(grams, dtype=np.uint64))
+                if groups:
+                    block.groups.append(groups[row])
         if key and (found := _block_links(block, threshold, key[1] != key[2])):
             yield found
 
@@ -313,6 +329,14 @@ def ngram_join(
     over tasks; a task emits a row per text with its links, not a row per pair. The texts themselves
     are read twice; only those in a bucket reach the second shuffle's other side.
     """
+    rows, sets, _ = _prepared(docs, id_column, text_column, size, threshold, recall)
+    return NgramJoin(rows, *_linked(sets, threshold, block_texts, block_ngrams))
+
+
+def _prepared(
+    docs: DataFrame, id_column: str, text_column: str, size: int, threshold: float, recall: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, text_key, mark`` of all rows; n-gram sets of the texts that share a bucket; ``mark, bucket``."""
     bands, rows_per_band = choose_bands(threshold, recall)
     keyed = _keyed(docs, id_column, text_column)
     rows = _signatures(keyed, size, bands, rows_per_band)
@@ -328,7 +352,7 @@ def ngram_join(
     # Repeated rows of one document would join twice.
     sets = _sets(keyed.join(chosen, same).select("mark", "buckets", "text"), size)
     sets = sets.dropDuplicates(["mark"]) if _has_repeats(rows) else sets
-    return NgramJoin(rows.drop("bands"), *_linked(sets, threshold, block_texts, block_ngrams))
+    return rows.drop("bands"), sets, found
 
 
 def _has_repeats(rows: DataFrame) -> bool:
@@ -358,6 +382,136 @@ def _linked(sets: DataFrame, threshold: float, block_texts: int, block_ngrams: i
     return links, connected_components(links.filter("root <> mark").select("mark", "root"))
 
 
+def _grouped(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``members`` (with ``mark``) with ``group``: the smallest text known to be connected, or the text itself."""
+    if groups is None:
+        return members.withColumn("group", F.col("mark"))
+    known = members.join(groups, F.col("mark") == F.col("node"), "left")
+    return known.withColumn("group", F.coalesce("component", "mark")).drop("node", "component")
+
+
+def _open_buckets(members: DataFrame, least: int = 1) -> DataFrame:
+    """Buckets of more than ``least`` texts in two groups or more, from ``bucket, mark, group, n``:
+    ``open, main`` (the group with most texts) and texts and n-grams in all and in the main group."""
+    groups = members.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("size"))
+    buckets = groups.groupBy(F.col("bucket").alias("open")).agg(
+        F.max(F.struct("texts", "group", "size")).alias("m"),
+        F.sum("texts").alias("texts"),
+        F.sum("size").alias("size"),
+        F.count(F.lit(1)).alias("groups"),
+    )
+    buckets = buckets.filter((F.col("groups") > 1) & (F.col("texts") > least))
+    return saved(
+        buckets.select(
+            "open", F.col("m.group").alias("main"), "texts", "size", F.col("m.texts").alias("main_texts"), F.col("m.size").alias("main_size")
+        ),
+        "open-buckets",
+    )
+
+
+def _star_links(members: DataFrame, sets: DataFrame, buckets: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """``mark, root``: links of the texts of each bucket with one text of it, chosen by a hash outside the
+    main group. The work grows with the number of texts; a text that very many are compared with goes to
+    several tasks."""
+    inside = members.join(buckets.select("open", "main"), F.col("bucket") == F.col("open")).drop("open")
+    order = F.xxhash64(F.lit(turn), "mark")
+    leaders = inside.filter("group <> main").groupBy(F.col("bucket").alias("led")).agg(
+        F.min(F.struct(order.alias("o"), "mark", "group")).alias("x")
+    )
+    leaders = saved(leaders.select("led", F.col("x.mark").alias("leader"), F.col("x.group").alias("its_group")), "leaders")
+    pairs = inside.join(leaders, F.col("bucket") == F.col("led")).filter("group <> its_group")
+    pairs = saved(pairs.select("leader", "mark").distinct(), "star-pairs")
+    pieces = F.ceil(F.count(F.lit(1)) / STAR_TEXTS).cast("int")
+    sizes = saved(pairs.groupBy(F.col("leader").alias("whose")).agg(pieces.alias("pieces")), "star-pieces")
+    grams = sets.select(F.col("mark").alias("m"), "grams")
+    piece = F.pmod(F.xxhash64("mark"), F.col("pieces")).cast("int").alias("piece")
+    dealt = pairs.join(sizes, F.col("leader") == F.col("whose")).select("leader", piece, "mark")
+    followers = dealt.join(grams, F.col("mark") == F.col("m")).select("leader", "piece", F.lit(True).alias("follows"), "mark", "grams")
+    heads = sizes.join(grams, F.col("whose") == F.col("m")).select(
+        F.col("whose").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
+        F.lit(False).alias("follows"), F.col("m").alias("mark"), "grams",
+    )
+    near = followers.unionAll(heads).repartition("leader", "piece").sortWithinPartitions("leader", "piece", "follows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, dtype=np.uint64)
+        for b in batches:
+            found = []
+            leaders, follows, marks, grams = (b.column(i).to_pylist() for i in (0, 2, 3, 4))
+            for leader, follows_it, mark, blob in zip(leaders, follows, marks, grams):
+                its = np.frombuffer(blob, dtype=np.uint64)
+                if not follows_it:
+                    own = its
+                elif min(len(own), len(its)) >= threshold * max(len(own), len(its)):
+                    at = np.minimum(np.searchsorted(own, its), len(own) - 1)
+                    common = int((own[at] == its).sum())
+                    if common / (len(its) + len(own) - common) >= threshold:
+                        found.append((mark, leader))
+            yield batch({"mark": ([m for m, _ in found], pa.binary()), "root": ([r for _, r in found], pa.binary())})
+
+    return saved(map_arrow(near, run, "mark binary, root binary"), "star-links")
+
+
+def _remaining_links(sets: DataFrame, groups: DataFrame | None, threshold: float, block_texts: int, block_ngrams: int) -> DataFrame:
+    """``mark, root``: links between groups. The main group of a large bucket is not compared with itself, so
+    its texts are sent only to blocks of the others."""
+    members = _grouped(sets.select(F.explode("buckets").alias("bucket"), "mark", "n"), groups)
+    buckets = _open_buckets(members)
+    cut = lambda texts, size: F.least(F.greatest(F.ceil(texts / block_texts), F.ceil(size / block_ngrams)), texts).cast("int")
+    main = cut(F.col("main_texts"), F.col("main_size"))
+    rest = cut(F.col("texts") - F.col("main_texts"), F.col("size") - F.col("main_size"))
+    one = cut(F.col("texts"), F.col("size")) == 1
+    buckets = saved(
+        buckets.select("open", "main", F.when(one, 0).otherwise(main).alias("front"), F.when(one, 1).otherwise(rest).alias("back")),
+        "open-blocks",
+    )
+    placed = _grouped(sets, groups).select(F.explode("buckets").alias("bucket"), "mark", "buckets", "grams", "group")
+    placed = placed.join(buckets, F.col("bucket") == F.col("open"))
+    in_main = (F.col("group") == F.col("main")) & (F.col("front") > 0)
+    side = F.when(in_main, F.pmod(F.xxhash64("mark"), F.col("front"))).otherwise(F.col("front") + F.pmod(F.xxhash64("mark"), F.col("back")))
+    others = F.sequence(F.when(in_main, F.col("front")).otherwise(0), F.col("front") + F.col("back") - 1)
+    placed = placed.select("bucket", side.cast("int").alias("side"), "mark", "buckets", "grams", "group", F.explode(others).alias("other"))
+    dealt = placed.select(
+        "bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "mark", "buckets", "grams", "group"
+    )
+    near = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "mark")
+    return saved(_verify(near, threshold).filter("root <> mark").select("mark", "root"), "links")
+
+
+def ngram_groups(
+    docs: DataFrame,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    size: int = NGRAM,
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
+    block_texts: int = BLOCK_TEXTS,
+    block_ngrams: int = BLOCK_NGRAMS,
+) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``groups`` of ``ngram_join`` without its links: the same groups with less work.
+
+    The texts of each bucket of more than ``block_texts`` are first compared with one text of it, up to
+    ``STAR_TURNS`` times with another one. Texts connected by then are in one group and not compared with
+    each other; all other pairs of a bucket are, so no connection is lost. Copies of one text with small
+    changes cost in proportion to their number. Texts that share a bucket and lie in different groups still
+    meet pair by pair.
+    """
+    rows, sets, members = _prepared(docs, id_column, text_column, size, threshold, recall)
+    groups, edges = None, None
+    members = members.withColumn("n", F.lit(1))
+    for turn in range(STAR_TURNS):
+        grouped = _grouped(members, groups)
+        buckets = _open_buckets(grouped, block_texts)
+        if buckets.isEmpty():
+            break
+        found = _star_links(grouped, sets, buckets, threshold, turn)
+        edges = found if edges is None else edges.unionAll(found)
+        groups = connected_components(edges)
+    found = _remaining_links(sets, groups, threshold, block_texts, block_ngrams)
+    return rows, connected_components(found if edges is None else edges.unionAll(found))
+
+
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Per document row ``doc_id, class_id, n_links``.
 
@@ -394,16 +548,17 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest id (then text hash); columns
-    as they were. Documents without words all stay. Of identical rows one stays."""
-    joined = ngram_join(docs, id_column=id_column, text_column=text_column, **options)
-    rows = joined.rows.filter("mark IS NOT NULL")
+    as they were. Documents without words (null and empty texts too) all stay. Of identical rows one stays.
+    Rows with a null id count as larger than any other. An empty table gives no rows."""
+    every, groups = ngram_groups(docs, id_column=id_column, text_column=text_column, **options)
+    rows = every.filter("mark IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     texts = rows.groupBy("mark").agg(first.alias("first"))
-    grouped = texts.join(joined.groups, F.col("mark") == F.col("node"), "left")
+    grouped = texts.join(groups, F.col("mark") == F.col("node"), "left")
     kept = grouped.groupBy(F.coalesce("component", "mark").alias("g")).agg(F.min("first").alias("first"))
     its_doc, its_key = free_name(docs, "its_doc"), free_name(docs, "its_key")
     kept = saved(kept.select(F.col("first.doc_id").alias(its_doc), F.col("first.text_key").alias(its_key)), "kept")
-    without = joined.rows.filter("mark IS NULL").select(F.col("doc_id").alias(its_doc), F.col("text_key").alias(its_key))
+    without = every.filter("mark IS NULL").select(F.col("doc_id").alias(its_doc), F.col("text_key").alias(its_key))
     stays = kept.unionAll(without.distinct())
     key = F.xxhash64(F.coalesce(col(text_column), F.lit("")))
     same = (key == F.col(its_key)) & col(id_column).cast("bigint").eqNullSafe(F.col(its_doc))
