@@ -117,7 +117,8 @@ def fit_quality(
     )
     n = rated.count()
     share = min(1.0, max_labelled / n) if n else 1.0
-    chosen = rated.filter(F.pmod(F.xxhash64("d"), F.lit(1_000_000)) < int(share * 1e6)) if share < 1 else rated
+    # The whole range of the hash, so that the share may be as small as it has to be.
+    chosen = rated.filter(F.xxhash64("d") < int(share * 2**64) - 2**63) if share < 1 else rated
     # Bounded: two numbers for each of the ``max_labelled`` labels.
     texts = docs.select(col(id_column).alias("d"), col(text_column).alias("t")).join(F.broadcast(chosen), "d")
 
@@ -157,7 +158,7 @@ def score_quality(
 ) -> DataFrame:
     """Per document ``doc_id, score`` (0 to 1; 0.7 or more is above the learned quantile), from its
     whole text alone. Null text scores as empty text. Repeated rows and null ids give a row each;
-    other columns are not looked at."""
+    other columns are not looked at. An empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +183,8 @@ def predict_quality(
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, text_column: str = "text", **options) -> DataFrame:
-    """``docs`` with a score of 0.7 or more; columns and rows are otherwise as they were."""
+    """``docs`` with a score of 0.7 or more; columns and rows are otherwise as they were. A null text is judged as an
+    empty one; repeated rows and texts on the cut are all kept or all dropped. An empty table gives no rows."""
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, text_column=text_column, **options))
     at = docs.columns.index(text_column)
 
