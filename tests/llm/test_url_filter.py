@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tierflow.llm.url_filter import RULES, bloom_blocks, canonical_url, judge_urls
+from tierflow.llm.url_filter import RULES, bloom_blocks, canonical_url, judge_urls, junk_urls
 
 
 def parts(url):
@@ -68,3 +68,20 @@ def test_empty_tables(spark):
 
 def test_filter_size_is_bounded():
     assert [bloom_blocks(n) for n in (0, 1, 10**12)] == [2, 2, 1 << 17]
+
+
+def test_list_from_html(spark):
+    """Other spellings of a listed page, and pages it links to, are caught; the same host alone is not."""
+    rows = [
+        (1, "http://A.net/p/?utm_source=x", '<p>### <a href="/q/?b=1&a=2">y</a> <a href="/gone">z</a>'),
+        (2, "https://a.net/p#top", "<p>clean"),
+        (3, "ftp://a.net/q?a=2&b=1", None),
+        (4, "http://a.net/r", '<a href="/p">'),
+        (5, "http://b.net/p", "## **"),
+        (6, None, "###"),
+        (7, None, None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert sorted(r.url for r in junk_urls(pages).collect()) == ["http://A.net/p/?utm_source=x", "http://a.net/gone", "http://a.net/q/?b=1&a=2"]
+    found = judge_urls(pages, junk_urls(pages)).collect()
+    assert sorted(r.page_id for r in found if r.listed) == [1, 2, 3] and len(found) == 7

@@ -21,7 +21,7 @@ from tierflow.llm.repeats import repeat_report
 from tierflow.llm.spelling import DELETE_EVERY, FORM_RATIO, MIN_COUNT, MIN_LENGTH, spelling_variants
 from tierflow.llm.token_counts import count_tokens
 from tierflow.llm.token_files import token_files
-from tierflow.llm.url_filter import LISTED_HOSTS, RULES, TRACKING, host_of, judge_urls
+from tierflow.llm.url_filter import JUNK, LINKS, RULES, TRACKING, judge_urls, junk_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,15 +145,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list is made of the pages' own URLs on hosts with a listed word."""
+    """The list is made from the html of pages: those with junk symbols and what they link to."""
     pages = read_table(spark, sf_dir, "pages")
-    return judge_urls(pages, pages.filter(host_of(F.col("url")).rlike(LISTED_HOSTS)))
+    return judge_urls(pages, junk_urls(pages))
 
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 ORACLES["op6_url_filters"] = rf"""
 WITH p AS (
-  SELECT page_id, url, row_number() OVER () AS n,
+  SELECT page_id, url, html, row_number() OVER () AS n,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)\??([^#]*)', 1),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)\??([^#]*)', 2) AS path,
@@ -164,7 +164,18 @@ c AS (
     array_to_string(list_sort(list_filter(string_split(query, '&'),
       lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}'))), '&')) END AS canonical
   FROM p),
-listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{LISTED_HOSTS}')),
+links AS (
+  SELECT host, unnest(regexp_extract_all(html, '{LINKS}', 1)) AS link FROM c
+  WHERE url IS NOT NULL AND regexp_matches(html, '{JUNK}')),
+parts AS (
+  SELECT host, regexp_extract(link, '([^?#]*)\??([^#]*)', 1) AS path, regexp_extract(link, '([^?#]*)\??([^#]*)', 2) AS query
+  FROM links),
+listed AS (
+  SELECT canonical FROM c WHERE canonical IS NOT NULL AND regexp_matches(html, '{JUNK}')
+  UNION
+  SELECT concat(host, regexp_replace(path, '/+$', ''), '?',
+    array_to_string(list_sort(list_filter(string_split(query, '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}'))), '&')) FROM parts),
 fits AS (
   SELECT n, rule, verdict
   FROM (SELECT n, r.host || r.path AS rule, verdict,

@@ -19,8 +19,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-# Words in a host that put a page's URL on the list of the registered query.
-LISTED_HOSTS = "casino|bets|poker|adult|porn|xxx|spam"
+# Runs of symbols in its html that put a page on the list of the registered query, and its links.
+JUNK = "[#*%]{3}"
+LINKS = '<a href="(/[^"]*)"'
 # Query parameters that do not change what a URL shows.
 TRACKING = "^(utm_[a-z]*|ref|fbclid|gclid)(=|$)"
 
@@ -85,6 +86,17 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
     return masked.groupBy("block").agg(*(F.bit_or(f"m{i}").alias(f"w{i}") for i in range(WORDS)))
 
 
+def junk_urls(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """``url`` of pages whose html holds a run of junk symbols, and of what these link to on their own host.
+    A link need not be a page that the table holds. Null html holds neither; null urls are left out."""
+    junk = pages.filter(col(html_column).rlike(JUNK) & col(url_column).isNotNull())
+    links = F.transform(
+        F.array_distinct(F.regexp_extract_all(col(html_column), F.lit(LINKS), F.lit(1))),
+        lambda x: F.concat(F.lit("http://"), host_of(col(url_column)), x),
+    )
+    return junk.select(F.explode(F.concat(F.array(col(url_column)), links)).alias("url"))
+
+
 def listed_urls(urls: DataFrame, url_column: str = "url") -> DataFrame:
     """Distinct canonical URLs, written once: the filter and the exact join both read them."""
     listed = urls.select(canonical_url(col(url_column)).alias("listed_url"))
@@ -108,7 +120,8 @@ def judge_urls(
     (72 bytes a block, at most 9.4 MB with the default); only its possible hits are shuffled to the
     exact join, where a crowded URL can be split because the list is a written table. Null and
     malformed URLs have an empty host and path, fit no rule and are never listed. Repeated rows and
-    null ids give a row each; an empty list blocks nothing; other columns are not looked at.
+    null ids give a row each; an empty list blocks nothing, an empty table of pages gives no rows; other
+    columns are not looked at.
     """
     listed = listed_urls(blocked, blocked_column)
     blocks = bloom_blocks(listed.count(), max_blocks)
