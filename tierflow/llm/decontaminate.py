@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -352,10 +352,21 @@ def _by_groups(docs: DataFrame, text_column: str, items: DataFrame, n_groups: in
     return _merge_groups(_scan_groups(dealt, window))
 
 
-def _located(
-    docs: DataFrame, benchmark: DataFrame, text_column: str, item_column: str, item_text: str, window: int, max_words: int
-) -> tuple[DataFrame, str, str]:
-    """``docs`` with two more columns, hit spans and items, and the names of these.
+Found = list[tuple[list[tuple[int, int]], set]]
+
+
+def _with_matches(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_column: str,
+    item_column: str,
+    item_text: str,
+    window: int,
+    max_words: int,
+    finish: Callable[[pa.RecordBatch, Found], pa.RecordBatch],
+    schema: str | StructType,
+) -> DataFrame:
+    """``finish`` over batches of ``docs`` with the hit spans and items of each row, in one pass of Python.
 
     Items of at most ``max_words`` words and ``SHARED_BYTES`` together are one automaton, sent to every task.
     More are searched by groups (``_by_groups``), where nothing but a filter of bounded size is sent to all.
@@ -364,27 +375,29 @@ def _located(
     size = F.octet_length("words") + F.octet_length(F.coalesce("name", F.lit("")))
     zero = F.lit(0)
     total = items.agg(F.coalesce(F.sum("n"), zero).alias("n"), F.coalesce(F.sum(size), zero).alias("size")).first()
-    spans, names = free_name(docs, "spans"), free_name(docs, "items")
+    at, width = docs.columns.index(text_column), len(docs.columns)
     if total.n <= max_words and total.size <= SHARED_BYTES:
         group = sorted(((r.name, r.words.encode()) for r in items.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
         shared = docs.sparkSession.sparkContext.broadcast(group)
-        at = docs.columns.index(text_column)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = _scan_batch(texts_of(b.column(at)), shared.value, window)
-                yield pa.RecordBatch.from_arrays([*b.columns, *_found_columns(found)], names=[*b.schema.names, spans, names])
+                yield finish(b, _scan_batch(texts_of(b.column(at)), shared.value, window))
 
-        schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{spans}` {SPANS}, `{names}` array<string>").fields])
-        return map_arrow(docs, run, schema), spans, names
+        return map_arrow(docs, scan, schema)
     found = _by_groups(docs, text_column, items, -(-2 * total.n // max_words), window)
-    its_key = free_name(docs, "its_key")
+    its_key, spans, names = (free_name(docs, n) for n in ("its_key", "spans", "items"))
     found = found.select(F.col("its_key").alias(its_key), F.col("spans").alias(spans), F.col("items").alias(names))
     key = F.unhex(F.md5(col(text_column).cast("binary")))
-    joined = docs.join(found, key == col(its_key), "left").drop(its_key)
-    empty = lambda name, kind: F.coalesce(col(name), F.array().cast(kind)).alias(name)
-    kept = [col(c) for c in docs.columns]
-    return joined.select(*kept, empty(spans, SPANS), empty(names, "array<string>")), spans, names
+    joined = docs.join(found, key == col(its_key), "left").select(*(col(c) for c in [*docs.columns, spans, names]))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column(width).to_pylist(), b.column(width + 1).to_pylist())
+            matches = [([(x["first"], x["end"]) for x in s or []], set(i or [])) for s, i in rows]
+            yield finish(pa.RecordBatch.from_arrays(b.columns[:width], names=b.schema.names[:width]), matches)
+
+    return map_arrow(joined, take, schema)
 
 
 def benchmark_matches(
@@ -409,15 +422,13 @@ def benchmark_matches(
     columns are not looked at. A text is searched whole, by one task for each group it shares a run with.
     """
     rows = docs.select(col(id_column).cast("bigint").alias("doc_id"), col(text_column).alias("text"))
-    located, _, _ = _located(rows, benchmark, "text", item_column, item_text, window, max_words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words = pa.array([len(fold_words(t)) for t in texts_of(b.column(1))], pa.int64())
-            names = ["doc_id", "n_words", "spans", "items"]
-            yield pa.RecordBatch.from_arrays([b.column(0), n_words, b.column(2), b.column(3)], names=names)
+    def finish(b: pa.RecordBatch, found: Found) -> pa.RecordBatch:
+        n_words = pa.array([len(fold_words(t)) for t in texts_of(b.column(1))], pa.int64())
+        columns = [b.column(0), n_words, *_found_columns(found)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "spans", "items"])
 
-    return map_arrow(located, run, MATCHES)
+    return _with_matches(rows, benchmark, "text", item_column, item_text, window, max_words, finish, MATCHES)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -466,25 +477,23 @@ def remove_matches(
     texts among them, stay as they are; repeated rows are all treated alike, and columns of any name pass
     through. An empty table gives no rows.
     """
-    located, _, _ = _located(docs, benchmark, text_column, item_column, item_text, window, max_words)
-    at, width = docs.columns.index(text_column), len(docs.columns)
+    at = docs.columns.index(text_column)
     size_at = docs.columns.index(size_column) if size_column in docs.columns else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = texts_of(b.column(at))
-            found = [[(s["first"], s["end"]) for s in row] for row in b.column(width).to_pylist()]
-            hit = [sum(e - f for f, e in spans) for spans in found]
-            keep = [not n or n / len(fold_words(t)) <= max_coverage for n, t in zip(hit, texts)]
-            changed = {i: _without(texts[i], s).decode() for i, s in enumerate(found) if s and keep[i]}
-            columns = list(b.columns[:width])
-            if changed:
-                old = columns[at].to_pylist()
-                columns[at] = pa.array([changed.get(i, x) for i, x in enumerate(old)], columns[at].type)
-                if size_at is not None:
-                    sizes = columns[size_at].to_pylist()
-                    new = [len(changed[i]) if i in changed else x for i, x in enumerate(sizes)]
-                    columns[size_at] = pa.array(new, columns[size_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(located, run, docs.schema)
+    def finish(b: pa.RecordBatch, matches: Found) -> pa.RecordBatch:
+        texts = texts_of(b.column(at))
+        found = [spans for spans, _ in matches]
+        hit = [sum(e - f for f, e in spans) for spans in found]
+        keep = [not n or n / len(fold_words(t)) <= max_coverage for n, t in zip(hit, texts)]
+        changed = {i: _without(texts[i], s).decode() for i, s in enumerate(found) if s and keep[i]}
+        columns = list(b.columns)
+        if changed:
+            old = columns[at].to_pylist()
+            columns[at] = pa.array([changed.get(i, x) for i, x in enumerate(old)], columns[at].type)
+            if size_at is not None:
+                sizes = columns[size_at].to_pylist()
+                new = [len(changed[i]) if i in changed else x for i, x in enumerate(sizes)]
+                columns[size_at] = pa.array(new, columns[size_at].type)
+        return pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return _with_matches(docs, benchmark, text_column, item_column, item_text, window, max_words, finish, docs.schema)

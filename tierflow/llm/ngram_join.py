@@ -24,6 +24,8 @@ STEP_BYTES = 500_000
 # A bucket is cut into blocks of about this many texts or n-grams; pairs of blocks are dealt out.
 BLOCK_TEXTS = 256
 BLOCK_NGRAMS = 4_000_000
+# Blocks of groups are smaller: texts known to be connected do not meet again.
+GROUP_NGRAMS = 1_000_000
 # How often the texts of a large bucket are compared with one of them, and how many of them a task takes.
 STAR_TURNS = 3
 STAR_TEXTS = 5_000
@@ -487,7 +489,7 @@ def ngram_groups(
     threshold: float = THRESHOLD,
     recall: float = RECALL,
     block_texts: int = BLOCK_TEXTS,
-    block_ngrams: int = BLOCK_NGRAMS,
+    block_ngrams: int = GROUP_NGRAMS,
 ) -> tuple[DataFrame, DataFrame]:
     """``rows`` and ``groups`` of ``ngram_join`` without its links: the same groups with less work.
 
