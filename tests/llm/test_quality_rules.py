@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from tierflow.llm.queries import QUERIES
 from tierflow.llm.quality_rules import apply_quality_rules, remove_boilerplate
 
 
@@ -86,3 +87,24 @@ def test_large_and_small_hosts_are_judged_alike(spark):
     found = apply_quality_rules(spark.createDataFrame(rows, "doc_id int, text string, source string"))
     removed = Counter((r.n_removed_words, r.kept) for r in found.filter("n_words > 30").collect())
     assert removed == {(40, False): 42}
+
+
+def test_fewer_documents_are_enough_where_they_are_a_share_of_the_host(spark):
+    """Lines of 5, 6 and 21 documents in hosts of 30 and of 6,000, and of 7 in the larger."""
+    rows = []
+    for host, size in (("large", 6000), ("small", 30)):
+        for i in range(size):
+            own = " ".join(f"{host}{i}w{j}" for j in range(60))
+            more = "".join(f"\nseen in {'x ' * n}" for n in (5, 6, 7, 21) if i < n)
+            rows.append((len(rows), own + more, host))
+    frame = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    few = apply_quality_rules(frame, few_docs=5).filter("doc_id in (0, 6, 6000, 6005)")
+    assert {r.doc_id: r.n_removed_words for r in few.collect()} == {0: 9 + 23, 6: 9 + 23, 6000: 8 + 9 + 23, 6005: 8 + 9 + 23}
+    assert {r.n_removed_words for r in apply_quality_rules(frame).filter("doc_id in (0, 6000)").collect()} == {23}
+
+
+def test_registered_query_has_both_limits(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) + "\nsix have it" * (i < 6), "host") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op1_quality_rules"](spark, str(tmp_path))
+    assert found.filter("n_removed_words = 3").count() == 6

@@ -15,6 +15,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # A line is boilerplate of a host beyond this many different documents, however large the host is.
 LINE_DOCS = 20
+# Where asked for, fewer documents are enough in hosts of which they are more than this share.
+FEW_LINE_DOCS = 5
+LINE_SHARE = 0.001
 # Words that must be left of a document when boilerplate is taken away.
 LEFT_SHARE = 0.5
 BROADCAST_BYTES = 32 << 20
@@ -119,16 +122,31 @@ def host_lines(rows: DataFrame) -> DataFrame:
     )
 
 
-def boilerplate_lines(rows: DataFrame, min_docs: int = LINE_DOCS) -> tuple[DataFrame, int]:
+def _line_counts(rows: DataFrame, min_docs: int, few_docs: int | None, share: float) -> DataFrame:
+    """``host, line, docs, limit``: different documents of each line, and beyond how many it is boilerplate.
+    Only hosts where the share asks for more than ``few_docs`` have an entry of sizes."""
+    pairs = host_lines(rows).select("host", "line", "text_hash").distinct()
+    counts = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
+    if few_docs is None:
+        return counts.withColumn("limit", F.lit(float(min_docs)))
+    sizes = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    large = sizes.filter(F.lit(share) * F.col("size") > few_docs).withColumnRenamed("host", "its_host")
+    often = counts.filter(F.col("docs") > min(few_docs, min_docs))
+    placed = often.join(large, F.col("host") == F.col("its_host"), "left").drop("its_host")
+    by_share = F.greatest(F.lit(float(few_docs)), F.coalesce(F.lit(share) * F.col("size"), F.lit(0.0)))
+    return placed.withColumn("limit", F.least(F.lit(float(min_docs)), by_share))
+
+
+def boilerplate_lines(
+    rows: DataFrame, min_docs: int = LINE_DOCS, few_docs: int | None = None, share: float = LINE_SHARE
+) -> tuple[DataFrame, int]:
     """``host, line`` above the limit, written to the shared folder, and their number.
 
     Documents are told apart by their text, so exact copies count once. Repetitions are dropped before
     the shuffle and counts are then taken per key in tasks, so a line that most documents have does not
     meet in one task.
     """
-    pairs = host_lines(rows).select("host", "line", "text_hash").distinct()
-    counts = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
-    above = counts.filter(F.col("docs") > min_docs)
+    above = _line_counts(rows, min_docs, few_docs, share).filter(F.col("docs") > F.col("limit"))
     counted = Observation()
     listed = saved(above.select("host", "line").observe(counted, F.count(F.lit(1)).alias("n")), "boilerplate")
     return listed, counted.get["n"]
@@ -162,19 +180,22 @@ def apply_quality_rules(
     text_column: str = "text",
     host_column: str = "source",
     min_docs: int = LINE_DOCS,
+    few_docs: int | None = None,
+    share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
 ) -> DataFrame:
     """Per document the base counts, ``base_failed``, ``n_removed_words`` and ``kept``.
 
     A document is kept if the base rules pass and, once the boilerplate lines of its host are taken
     away, ``left_share`` of its words are left. A line is boilerplate when more than ``min_docs``
-    different documents of the host have it, in small and large hosts alike. Null or empty text has
-    no words and fails the base rules. A null host is a host like any other. Documents with the same
+    different documents of the host have it, in small and large hosts alike. With ``few_docs`` a line is
+    boilerplate too when more than ``few_docs`` different documents, and more than ``share`` of the
+    host's, have it. Null or empty text has no words and fails the base rules. A null host is a host like any other. Documents with the same
     text count once for line frequencies, and each gets its row; so do repeated rows and null ids.
     Other columns are not looked at. An empty table gives no rows.
     """
     rows = _rows(docs, id_column, text_column, host_column)
-    listed, n_lines = boilerplate_lines(rows, min_docs)
+    listed, n_lines = boilerplate_lines(rows, min_docs, few_docs, share)
     judged = _with_removed(base_counts(rows), removed_lines(rows, listed, n_lines))
     gone = F.aggregate(
         F.coalesce("removed", F.array().cast("array<struct<place:int,n:bigint>>")),
@@ -197,12 +218,14 @@ def remove_boilerplate(
     text_column: str = "text",
     host_column: str = "source",
     min_docs: int = LINE_DOCS,
+    few_docs: int | None = None,
+    share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
 ) -> DataFrame:
     """``doc_id, text``: the texts without the boilerplate lines of their host, depleted documents
     left out. Rules and odd cases as in ``apply_quality_rules``; null text comes back empty."""
     rows = _rows(docs, id_column, text_column, host_column)
-    listed, n_lines = boilerplate_lines(rows, min_docs)
+    listed, n_lines = boilerplate_lines(rows, min_docs, few_docs, share)
     marked = _with_removed(rows, removed_lines(rows, listed, n_lines))
     places = F.transform("removed", lambda x: x["place"])
     left = F.array_join(
