@@ -4,9 +4,11 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tierflow.llm import language
+from tierflow.llm.common import learnable
 from tierflow.llm.language import (
     LanguageModel,
     _viterbi,
@@ -115,3 +117,40 @@ def test_signs_beyond_the_table_are_no_letters(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {r.doc_id: r.lang_pred for r in identify_languages(frame, model).collect()}
     assert [found[i] for i in (1, 2, 3)] == ["und"] * 3 and found[4] != "und"
+
+
+def test_all_texts_that_may_be_learned_are_counted(spark):
+    """40,000 texts and 12 of another language whose ids come last by hash: any bound leaves these out."""
+    ids = spark.range(10**6, 10**6 + 20_000)
+    late = ids.filter(learnable(F.col("id")) & (F.xxhash64(F.col("id").cast("string")) > int(0.95 * 2**63))).limit(12)
+    rng = random.Random(4)
+
+    def text(parts):
+        return " ".join("".join(rng.choice(parts.split()) for _ in range(3)) for _ in range(12))
+
+    rows = [(r.id, text("xe zu qo wy"), "bb") for r in late.collect()]
+    assert len(rows) == 12
+    rows += [(i, text("ka lo mi ta"), "aa") for i in range(40_000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for typical in (True, False):
+        kept = keep_languages(frame, min_score=0.5, typical=typical)
+        assert kept.columns == frame.columns and kept.filter("lang = 'bb'").count() == 12
+        assert kept.filter("lang = 'aa'").count() > 39_900
+    found = {r.lang_pred for r in identify_languages(frame.filter("lang = 'bb'"), fit_languages(frame, max_docs=None)).collect()}
+    assert found == {"bb"}
+
+
+def test_limits_are_quantiles_of_all_texts(spark):
+    rng = np.random.default_rng(3)
+    fits = rng.normal(-6, 1, 5001)
+    frame = spark.createDataFrame([(i % 2, float(x)) for i, x in enumerate(fits)], "lang int, fit double")
+    for row in language._floors(frame).collect():
+        low, middle = np.quantile(fits[row.lang :: 2], [language.FLOOR_QUANTILE, 0.5])
+        assert row.floor == pytest.approx(middle - language.FLOOR_REACH * (middle - low), abs=0.02)
+
+
+def test_more_languages_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(language, "TASK_LANGUAGES", 2)
+    rows = [(i, "abc def " * (i % 5 + 1), f"l{i % 5}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1)
+    assert fit_languages(frame, max_docs=None).languages == ("l0", "l1", "l2", "l3", "l4")

@@ -8,7 +8,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.llm.common import batch, col, learnable, map_arrow
@@ -26,6 +26,8 @@ BUCKETS = 1 << 16
 FIT_DOCS = 20_000
 SWITCH_PENALTY = 8.0
 STEP_CHARS = 500_000
+# Languages whose counts a task holds at once.
+TASK_LANGUAGES = 64
 # Letters of another language count as such where that language explains them better by this much a
 # letter; less is chance.
 CLEAR_GAIN = 1.0
@@ -110,11 +112,20 @@ def _steps(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield low, texts[low:]
 
 
-def _sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str, max_docs: int) -> DataFrame:
-    """``d, t, l``: id, text and language of about ``max_docs`` documents that may be learned."""
-    usable = docs.select(
+def _usable(id_column: str, lang_column: str) -> Column:
+    """Whether a document may be learned and has a language."""
+    return learnable(col(id_column)) & col(lang_column).isNotNull()
+
+
+def _learned_from(
+    docs: DataFrame, id_column: str, text_column: str, lang_column: str, max_docs: int | None
+) -> DataFrame:
+    """``d, t, l``: id, text and language of all documents that may be learned, or of about ``max_docs``."""
+    usable = docs.filter(_usable(id_column, lang_column)).select(
         col(id_column).alias("d"), col(text_column).alias("t"), col(lang_column).cast("string").alias("l")
-    ).filter(learnable(F.col("d")) & F.col("l").isNotNull())
+    )
+    if max_docs is None:
+        return usable
     n = usable.count()
     share = min(1.0, max_docs / n) if n else 1.0
     if share < 1:
@@ -129,39 +140,47 @@ def fit_languages(
     id_column: str = "doc_id",
     text_column: str = "text",
     lang_column: str = "lang",
-    max_docs: int = FIT_DOCS,
+    max_docs: int | None = FIT_DOCS,
 ) -> LanguageModel:
     """Trigram and script counts of documents that may be learned (``learnable``) and have a language.
 
-    About ``max_docs`` of them, chosen by a hash of the id, are read; the counts are made and added up
-    in tasks. The driver gets one row per language and bucket or script at most. With nothing to learn
+    About ``max_docs`` of them, chosen by a hash of the id, are read, or all without that limit; the counts
+    are made and added up in tasks. The driver gets one row per language and bucket or script at most. With nothing to learn
     from, the model has no language and predicts none.
     """
-    return _fit(_sample(docs, id_column, text_column, lang_column, max_docs))
+    return _fit(_learned_from(docs, id_column, text_column, lang_column, max_docs))
 
 
 def _fit(usable: DataFrame) -> LanguageModel:
+    def rows_of(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, its in counts.items():
+            there = np.flatnonzero(its)
+            there = there if len(there) else np.array([0])
+            yield batch(
+                {
+                    "lang": ([lang] * len(there), pa.string()),
+                    "feature": (there, pa.int32()),
+                    "n": (its[there], pa.int64()),
+                }
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
         for b in batches:
-            langs = b.column(1).to_pylist()
             by: dict[str, list[str]] = {}
-            for lang, text in zip(langs, b.column(0).to_pylist()):
+            for lang, text in zip(b.column(1).to_pylist(), b.column(0).to_pylist()):
                 by.setdefault(lang, []).append(text or "")
             for lang, texts in by.items():
-                counts = np.zeros(BUCKETS + SCRIPTS, dtype=np.int64)
+                if lang not in counts:
+                    if len(counts) == TASK_LANGUAGES:
+                        yield from rows_of(counts)
+                        counts = {}
+                    counts[lang] = np.zeros(BUCKETS + SCRIPTS, dtype=np.int64)
                 for _, part in _steps(texts):
                     words = _words(part)
-                    counts[:BUCKETS] += np.bincount(words.buckets, minlength=BUCKETS)
-                    counts[BUCKETS:] += np.bincount(words.script, minlength=SCRIPTS)
-                there = np.flatnonzero(counts)
-                there = there if len(there) else np.array([0])
-                yield batch(
-                    {
-                        "lang": ([lang] * len(there), pa.string()),
-                        "feature": (there, pa.int32()),
-                        "n": (counts[there], pa.int64()),
-                    }
-                )
+                    counts[lang][:BUCKETS] += np.bincount(words.buckets, minlength=BUCKETS)
+                    counts[lang][BUCKETS:] += np.bincount(words.script, minlength=SCRIPTS)
+        yield from rows_of(counts)
 
     rows = map_arrow(usable.select("t", "l"), run, "lang string, feature int, n bigint")
     table = rows.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
@@ -339,6 +358,16 @@ def _judge(texts: list[str], model: LanguageModel) -> _Evidence:
     return _evidence(words, labels, len(texts), model)
 
 
+def _floors(judged: DataFrame) -> DataFrame:
+    """``lang, floor`` from ``lang, fit`` of all texts that were learned: the least likelihood of a text in each
+    language. Likelihoods are counted by thousandths first, so that no task holds a row per text."""
+    low, middle = FLOOR_QUANTILE, 0.5
+    counts = judged.groupBy("lang", F.round("fit", 3).alias("fit")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("lang").agg(F.percentile("fit", F.array(F.lit(low), F.lit(middle)), F.col("n")).alias("q"))
+    lowest, median = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    return found.select("lang", (median - FLOOR_REACH * (median - lowest)).alias("floor"))
+
+
 def fit_floors(usable: DataFrame, model: LanguageModel) -> np.ndarray:
     """Per language the least likelihood of a text in it, from the texts that were learned. Texts of a
     language that gave no sample are not held against one."""
@@ -354,10 +383,8 @@ def fit_floors(usable: DataFrame, model: LanguageModel) -> np.ndarray:
                 there = found.share > 0
                 yield batch({"lang": (found.best[there], pa.int32()), "fit": (found.fit[there], pa.float64())})
 
-    low, middle = FLOOR_QUANTILE, 0.5
-    rows = map_arrow(usable.select("t"), run, "lang int, fit double").groupBy("lang")
-    for row in rows.agg(F.percentile("fit", F.array(F.lit(low), F.lit(middle))).alias("q")).collect():
-        floors[row.lang] = row.q[1] - FLOOR_REACH * (row.q[1] - row.q[0])
+    for row in _floors(map_arrow(usable.select("t"), run, "lang int, fit double")).collect():
+        floors[row.lang] = row.floor
     return floors
 
 
@@ -367,7 +394,7 @@ def keep_languages(
     id_column: str = "doc_id",
     text_column: str = "text",
     lang_column: str = "lang",
-    max_docs: int = FIT_DOCS,
+    max_docs: int | None = None,
     min_share: float = 0.5,
     min_score: float = 0.0,
     typical: bool = False,
@@ -377,9 +404,13 @@ def keep_languages(
     ``min_share`` of all letters are in the predicted language, and its lead over all else, the score of
     ``identify_languages``, is ``min_score`` or more; letters in a script that no learned language uses
     are in none. With ``typical`` the letters of the language must also be about as likely in it as those of the
-    texts it was learned from, which a text in an unlearned language of a learned script is not.
+    texts it was learned from, which a text in an unlearned language of a learned script is not; a language that
+    none of these texts is in has no such limit.
+
+    Counts and limits come from all documents that may be learned and have a language, or with ``max_docs``
+    from about so many.
     """
-    usable = _sample(docs, id_column, text_column, lang_column, max_docs)
+    usable = _learned_from(docs, id_column, text_column, lang_column, max_docs)
     fitted = _fit(usable)
     floors = fit_floors(usable, fitted) if typical else np.full(len(fitted.languages), -np.inf)
     model = docs.sparkSession.sparkContext.broadcast((fitted, floors))
