@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from tierflow.llm import ngram_join as module
 from tierflow.llm.common import fold_words
 from tierflow.llm.components import connected_components
 from tierflow.llm.ngram_join import choose_bands, keep_one_of_each, near_duplicates, ngram_groups, ngram_join
@@ -116,6 +117,23 @@ def test_groups_are_those_of_all_links(spark, seed, block):
     assert kept == wanted and rows_found.count() == len(rows)
 
 
+def test_groups_are_looked_up_once_a_text(spark, monkeypatch):
+    """A text in many buckets joins its group once, however many near-copies there are."""
+    seen, plain = [], module._grouped
+
+    def spy(texts, groups):
+        if groups is not None:
+            seen.append((texts.count(), texts.select("mark").distinct().count()))
+        return plain(texts, groups)
+
+    monkeypatch.setattr(module, "_grouped", spy)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(40)]
+    kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), block_texts=4)
+    assert [r.doc_id for r in kept.collect()] == [0]
+    assert seen and all(n == marks for n, marks in seen)
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_duplicates(frame).count() == 0

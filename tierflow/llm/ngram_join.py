@@ -384,14 +384,22 @@ def _linked(sets: DataFrame, threshold: float, block_texts: int, block_ngrams: i
     return links, connected_components(links.filter("root <> mark").select("mark", "root"))
 
 
-def _grouped(members: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """``members`` (with ``mark``) with ``group``: the smallest text known to be connected, or the text itself."""
+def _grouped(texts: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``texts`` (a row per ``mark``) with ``group``: the smallest text known to be connected, or the text itself."""
     if groups is None:
-        return members.withColumn("group", F.col("mark"))
-    known = members.join(groups, F.col("mark") == F.col("node"), "left")
+        return texts.withColumn("group", F.col("mark"))
+    known = texts.join(groups, F.col("mark") == F.col("node"), "left")
     return known.withColumn("group", F.coalesce("component", "mark")).drop("node", "component")
 
 
+def _members(sets: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``bucket, mark, group, n``. Groups are looked up once for each text, not for each of its buckets and each
+    use, so what they give is written."""
+    known = _grouped(sets.select("mark", "buckets", "n"), groups)
+    members = known.select(F.explode("buckets").alias("bucket"), "mark", "group", "n")
+    return members if groups is None else saved(members, "group-members")
+
+
 def _open_buckets(members: DataFrame, least: int = 1) -> DataFrame:
     """Buckets of more than ``least`` texts in two groups or more, from ``bucket, mark, group, n``:
     ``open, main`` (the group with most texts) and texts and n-grams in all and in the main group."""
@@ -454,10 +462,11 @@ def _star_links(members: DataFrame, sets: DataFrame, buckets: DataFrame, thresho
     return saved(map_arrow(near, run, "mark binary, root binary"), "star-links")
 
 
-def _remaining_links(sets: DataFrame, groups: DataFrame | None, threshold: float, block_texts: int, block_ngrams: int) -> DataFrame:
+def _remaining_links(
+    sets: DataFrame, members: DataFrame, groups: DataFrame | None, threshold: float, block_texts: int, block_ngrams: int
+) -> DataFrame:
     """``mark, root``: links between groups. The main group of a large bucket is not compared with itself, so
     its texts are sent only to blocks of the others."""
-    members = _grouped(sets.select(F.explode("buckets").alias("bucket"), "mark", "n"), groups)
     buckets = _open_buckets(members)
     cut = lambda texts, size: F.least(F.greatest(F.ceil(texts / block_texts), F.ceil(size / block_ngrams)), texts).cast("int")
     main = cut(F.col("main_texts"), F.col("main_size"))
@@ -501,16 +510,17 @@ def ngram_groups(
     """
     rows, sets, members = _prepared(docs, id_column, text_column, size, threshold, recall)
     groups, edges = None, None
-    members = members.withColumn("n", F.lit(1))
+    members = members.select("bucket", "mark", F.col("mark").alias("group"), F.lit(1).alias("n"))
     for turn in range(STAR_TURNS):
-        grouped = _grouped(members, groups)
-        buckets = _open_buckets(grouped, block_texts)
+        buckets = _open_buckets(members, block_texts)
         if buckets.isEmpty():
             break
-        found = _star_links(grouped, sets, buckets, threshold, turn)
+        found = _star_links(members, sets, buckets, threshold, turn)
         edges = found if edges is None else edges.unionAll(found)
         groups = connected_components(edges)
-    found = _remaining_links(sets, groups, threshold, block_texts, block_ngrams)
+        members = _members(sets, groups)
+    members = _members(sets, None) if groups is None else members
+    found = _remaining_links(sets, members, groups, threshold, block_texts, block_ngrams)
     return rows, connected_components(found if edges is None else edges.unionAll(found))
 
 
