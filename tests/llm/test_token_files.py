@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tierflow.llm import simple8b
-from tierflow.llm.chunks import WordEndEncoder
+from tierflow.llm.chunks import Kept, WordEndEncoder
 from tierflow.llm.queries import tokenizer_file
 from tierflow.llm.token_files import token_files
 
@@ -63,3 +63,26 @@ def test_files_against_plain_loop(spark):
 
 def test_empty_table(spark):
     assert token_files(spark.createDataFrame([], "doc_id bigint, text string"), PATH).count() == 0
+
+
+def test_a_word_is_looked_up_once_a_batch(monkeypatch):
+    asked = []
+    kept = Kept.get, Kept.__getitem__
+    monkeypatch.setattr(Kept, "get", lambda self, *a: asked.append(a[0]) or kept[0](self, *a), raising=False)
+    monkeypatch.setattr(Kept, "__getitem__", lambda self, a: asked.append(a) or kept[1](self, a), raising=False)
+    texts = [b"some Words often, " * 2000, b"", b"words again"]
+    library = Tokenizer.from_file(PATH)
+    expected = [library.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in WordEndEncoder(PATH).encode(texts)] == expected
+    assert len(asked) < 50
+
+
+def test_new_words_of_plain_letters_equal_the_library():
+    rng = random.Random(5)
+    words = {"".join(rng.choice("etaoinshrdluvzq") for _ in range(rng.randint(1, 30))) for _ in range(2000)}
+    words = [w.encode() for w in sorted(words)]
+    pieces = WordEndEncoder(PATH)
+    assert pieces.letters is not pieces.library
+    expected = [e.ids for e in pieces.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+    pieces._learn(set(words))
+    assert [np.frombuffer(pieces.cache[w], "<u4").tolist() for w in words] == expected
