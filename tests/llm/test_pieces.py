@@ -1,8 +1,10 @@
+import random
 import struct
 
 import pytest
 import sentencepiece
 
+from tierflow.llm.chunks import Kept
 from tierflow.llm.pieces import BPE, BYTE, CONTROL, NORMAL, UNIGRAM, UNKNOWN, PieceEncoder, decode_pieces, encode_pieces
 from tierflow.llm.queries import tokenizer_file
 
@@ -70,3 +72,31 @@ def test_parity_and_round_trip(spark):
     odd = spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, ids array<int>")
     assert {tuple(r) for r in decode_pieces(odd, PATH).collect()} == {(1, None), (2, "")}
     assert encode_pieces(frame.filter("false"), PATH).count() == 0
+
+
+def test_a_part_is_looked_up_once_a_batch(monkeypatch):
+    asked = []
+    kept = Kept.get, Kept.__getitem__
+    monkeypatch.setattr(Kept, "get", lambda self, *a: asked.append(a[0]) or kept[0](self, *a), raising=False)
+    monkeypatch.setattr(Kept, "__getitem__", lambda self, a: asked.append(a) or kept[1](self, a), raising=False)
+    texts = [" ".join(["some Words, often\nmet"] * 2000), "", "met again"]
+    reference = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert [x.tolist() for x in PieceEncoder(PATH, 1).encode(texts)] == reference.encode(texts)
+    assert len(asked) < 60
+
+
+@pytest.mark.parametrize("turns", [False, True])
+def test_random_texts_equal_the_reference(turns):
+    rng = random.Random(6)
+    parts = ["a", "B", "The", "ing", "é", "ß", "Σ", " ", " ", " ", "\n", "\t", "\xa0", "\0", "́", "'s", ".", ",", "!!", "—", "_", "12", "漢", "😀", "▁", "<s>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += [t.strip(" ").replace("▁", "").replace("  ", " ") for t in texts]
+    reference = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    pieces = PieceEncoder(PATH, 1)
+    if turns:
+        pieces.cache = Kept(500, 100_000)
+    for low in range(0, len(texts), 100):
+        some = texts[low : low + 100]
+        found = pieces.encode(some)
+        assert [x.tolist() for x in found] == reference.encode(some)
+        assert pieces.decode(found) == reference.decode(reference.encode(some))

@@ -5,14 +5,14 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tierflow.llm.chunks import CACHE_BYTES, Kept, encoder
+from tierflow.llm.chunks import CACHE_BYTES, Kept, encoder, joined_ids
 from tierflow.llm.common import batch, col, map_arrow
 
 MARK = "▁"
@@ -136,16 +136,17 @@ def build_tokenizer(model: PieceModel):
 
 
 class PieceEncoder:
-    """Encodes texts with a model file; a BPE model's words are encoded once and kept.
+    """Encodes texts with a model file; the parts of a BPE model's texts are encoded once and kept.
 
     Merging can only join two symbols if some piece holds the last character of the one next to the
     first of the other. Where no piece has two neighbours, a text can be cut between them without
-    changing its ids. White space marks begin words and, in such a model, follow nothing but marks;
-    line ends and punctuation often cannot join either. Texts where that does not hold (leading,
-    doubled or trailing blanks, the mark itself) are encoded whole.
+    changing its ids. White space marks begin parts and, in such a model, follow nothing but marks;
+    line ends and punctuation often cannot join either. Characters are told by their last and first
+    bytes, which may only miss a cut. Texts where that does not hold (leading, doubled or trailing
+    blanks, the mark itself) are encoded whole.
     """
 
-    TAIL = ".,!?;:#*$%&|-_()/\"+="
+    RUN = 500
 
     def __init__(self, path: str, threads: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -157,76 +158,95 @@ class PieceEncoder:
         self.library = build_tokenizer(self.model)
         self.raw = Tokenizer.from_str(self.library.to_str())
         self.raw.normalizer = normalizers.Sequence([])
-        self.pairs = {p[i : i + 2] for p, _, _ in self.model.pieces for i in range(len(p) - 1)}
+        pairs = {p[i : i + 2] for p, _, _ in self.model.pieces for i in range(len(p) - 1)}
         self.begins = np.array([p[0] == MARK for p, _, _ in self.model.pieces])
-        apart = not any(p[1] == MARK and p[0] != MARK for p in self.pairs)
+        apart = not any(p[1] == MARK and p[0] != MARK for p in pairs)
         plain = self.model.kind == BPE and not self.model.character_map and not self.model.trim_blanks
-        lines = not any("\n" in p for p in self.pairs)
-        self.cuts = plain and apart and lines and self.model.dummy_prefix
+        lines = not any("\n" in p for p in pairs)
+        known = self.model.byte_fallback or any(p == MARK for p, _, _ in self.model.pieces)
+        self.parted = plain and apart and lines and known and self.model.dummy_prefix
+        self.cuts = self._cuts(pairs)
+        line = self.raw.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 and line[0] != self.model.unknown else None
         self.cache = Kept(CACHE_ENTRIES, CACHE_BYTES)
         single = Tokenizer.from_str(self.library.to_str())
         single.decoder = decoders.Sequence(_back())
         known = len(self.model.pieces)
-        self.texts = single.decode_batch([[i] for i in range(known)], skip_special_tokens=False)
-        self.high = {i for i, (piece, _, kind) in enumerate(self.model.pieces) if kind == BYTE and int(piece[3:5], 16) > 127}
+        texts = single.decode_batch([[i] for i in range(known)], skip_special_tokens=False)
+        self.texts = pa.array(texts, pa.large_string()).view(pa.large_binary())
+        self.high = np.array([kind == BYTE and int(piece[3:5], 16) > 127 for piece, _, kind in self.model.pieces])
+
+    def _cuts(self, pairs: set[str]) -> np.ndarray:
+        """Whether a text, its marks written as blanks, may be cut between two bytes."""
+        cuts = np.ones((256, 256), dtype=bool)
+        cuts[:, 0x80:0xC0] = False  # inside a character
+        for one, two in pairs:
+            cuts[one.replace(MARK, " ").encode()[-1], two.replace(MARK, " ").encode()[0]] = False
+        if not self.model.byte_fallback:
+            # Unknown characters that follow each other become one piece.
+            known = np.zeros(256, dtype=bool)
+            known[[ord(p.replace(MARK, " ")) for p, _, _ in self.model.pieces if p == MARK or len(p) == 1 and p < "\x80"]] = True
+            cuts &= known[:, None] | known
+        # A mark stands before each word and, as a blank, before each text.
+        cuts[:, 0x20] = True
+        return cuts
 
     def _batch(self, tokenizer, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _learn_marked(self, words: list[str]) -> None:
-        """Words that begin with the mark, many in one text: as a cut before a mark changes nothing,
-        each word's ids begin with the next piece that has one. The texts are one batch, which the
-        library's threads share."""
-        runs = [words[low : low + 500] for low in range(0, len(words), 500)]
-        for some, data in zip(runs, self._batch(self.raw, ["".join(r) for r in runs])):
-            firsts = np.flatnonzero(self.begins[np.frombuffer(data, "<u4")])
-            if len(firsts) == len(some):
-                cuts = [*(4 * firsts).tolist(), len(data)]
-                self.cache.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+    def _learn_runs(self, parts: list[bytes], between: str, firsts: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Parts are joined, many in one text, and told apart by ``firsts``: where in the ids of a run
+        the parts begin. The texts are one batch, which the library's threads share."""
+        texts = [p.decode().replace(" ", MARK) for p in parts]
+        runs = range(0, len(parts), self.RUN)
+        found = self._batch(self.raw, [between.join(texts[low : low + self.RUN]) for low in runs])
+        for low, data in zip(runs, found):
+            some = parts[low : low + self.RUN]
+            at = firsts(np.frombuffer(data, "<u4"))
+            if len(at) == len(some):
+                starts = (4 * at).tolist()
+                ends = [a - 4 * len(between) for a in starts[1:]] + [len(data)]
+                self.cache.update((p, data[a:b]) for p, a, b in zip(some, starts, ends))
             else:
-                self.cache.update(zip(some, self._batch(self.raw, some)))
-
-    def _learn(self, missing: set[str]) -> None:
-        cache, split, whole = self.cache, {}, set()
-        for word in missing:
-            body = word.rstrip(self.TAIL)
-            if body and len(body) < len(word) and body[-1] + word[len(body)] not in self.pairs:
-                split[word] = body, word[len(body) :]
-                whole.update(x for x in split[word] if not cache.knows(x))
-            else:
-                whole.add(word)
-        self._learn_marked([w for w in whole if w[:1] == MARK])
-        order = [w for w in whole if w[:1] != MARK]
-        cache.update(zip(order, self._batch(self.raw, order)))
-        for word, (body, tail) in split.items():
-            cache[word] = cache[body] + cache[tail]
-
-    def _words(self, text: str) -> list[str] | None:
-        """Cuttable parts of a text, None where it has to stay whole."""
-        if not self.cuts or not text or "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-            return None
-        marked = (MARK + text).replace(" ", "\0" + MARK) if "\0" not in text else None
-        return marked and marked.replace("\n", "\0\n\0").split("\0")
+                self.cache.update(zip(some, self._batch(self.raw, texts[low : low + self.RUN])))
+
+    def _learn(self, missing: set[bytes]) -> None:
+        """As a cut before a mark or around a line end changes nothing, the ids of a part with a mark
+        begin with the next piece that has one, those of other parts behind the next line end."""
+        marked, others, alone = [], [], []
+        rest = alone if self.line is None else others
+        for part in missing:
+            (marked if part[:1] == b" " else alone if part == b"\n" else rest).append(part)
+        self._learn_runs(marked, "", lambda ids: np.flatnonzero(self.begins[ids]))
+        self._learn_runs(others, "\n", lambda ids: np.append(0, np.flatnonzero(ids == self.line) + 1))
+        self.cache.update(zip(alone, self._batch(self.raw, [p.decode() for p in alone])))
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text has to stay whole."""
+        return not self.parted or "  " in text or MARK in text or text[:1] == " " or text[-1:] == " "
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text, without begin and end pieces; an empty text has none."""
-        cache = self.cache
-        cache.turn()
-        words = [self._words(t) for t in texts]
-        self._learn(cache.unknown(set().union(*(w for w in words if w))))
-        rest = iter(self._batch(self.library, [t for t, w in zip(texts, words) if w is None and t]))
-        get = cache.__getitem__
-        raw = [b"".join(map(get, w)) if w else next(rest) if t else b"" for t, w in zip(texts, words)]
-        return [np.frombuffer(x, "<u4") for x in raw]
+        self.cache.turn()
+        whole = [self._whole(t) for t in texts]
+        # The blank stands for the mark before the first word.
+        cuttable = [b" " + t.encode() if t and not w else b"" for t, w in zip(texts, whole)]
+        found = joined_ids(cuttable, self.cuts, self.cache, self._learn)
+        rest = iter(self._batch(self.library, [t for t, w in zip(texts, whole) if t and w]))
+        return [np.frombuffer(next(rest), "<u4") if t and w else f for t, w, f in zip(texts, whole, found)]
 
     def decode(self, ids: Sequence[Sequence[int]]) -> list[str]:
         """Text of each list of ids. The decoder treats pieces one by one, except that it puts bytes
         beyond ASCII together; lists with such bytes go to it whole, the others are put together from
         what it has given for each piece."""
-        whole = [not self.high.isdisjoint(row) for row in ids]
-        rest = iter(self.library.decode_batch([list(r) for r, w in zip(ids, whole) if w], skip_special_tokens=False))
-        get = self.texts.__getitem__
-        texts = [next(rest) if w else "".join(map(get, r)) for r, w in zip(ids, whole)]
+        flat = np.concatenate([np.empty(0, np.int64), *(np.asarray(row, np.int64) for row in ids)])
+        borders = np.cumsum([0, *map(len, ids)])
+        whole = (np.diff(np.concatenate(([0], np.cumsum(self.high[flat])))[borders]) > 0).tolist()
+        rest = iter(self.library.decode_batch([list(map(int, r)) for r, w in zip(ids, whole) if w], skip_special_tokens=False))
+        _, ends, data = self.texts.take(pa.array(flat)).buffers()
+        at = np.frombuffer(ends, np.int64, len(flat) + 1)[borders].tolist() if len(flat) else [0] * len(borders)
+        data = memoryview(data or b"")
+        texts = [next(rest) if w else str(data[a:b], "utf-8") for w, a, b in zip(whole, at, at[1:])]
         blank = self.model.dummy_prefix
         return [t[1:] if blank and not w and t[:1] == " " else t for t, w in zip(texts, whole)]
 
@@ -276,13 +296,17 @@ def encode_pieces(
                 found = pieces.encode(texts)
                 same = back = [None] * len(texts)
                 if verify:
-                    lists = [f.tolist() for f in found]
-                    same = [f == e for f, e in zip(lists, reference.encode(texts, num_threads=1))]
-                    back = [t == r for t, r in zip(pieces.decode(lists), _normal(reference, texts, pieces.model))]
+                    same = [f.tolist() == e for f, e in zip(found, reference.encode(texts, num_threads=1))]
+                    back = [t == r for t, r in zip(pieces.decode(found), _normal(reference, texts, pieces.model))]
+                lists = pa.nulls(len(texts), pa.list_(pa.int32()))
+                if keep_ids:
+                    # Numpy's arrays laid end to end, which Arrow takes over as they are.
+                    borders = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(borders, np.concatenate(found).astype(np.int32))
                 yield batch(
                     {
                         "doc_id": (part.column(0), pa.int64()),
-                        "ids": ([f if keep_ids else None for f in found], pa.list_(pa.int32())),
+                        "ids": (lists, pa.list_(pa.int32())),
                         "n_tokens": ([len(f) for f in found], pa.int64()),
                         "ids_crc32": ([zlib.crc32(f.tobytes()) for f in found], pa.int64()),
                         "parity": (same, pa.bool_()),
