@@ -86,3 +86,13 @@ def test_new_words_of_plain_letters_equal_the_library():
     expected = [e.ids for e in pieces.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
     pieces._learn(set(words))
     assert [np.frombuffer(pieces.cache[w], "<u4").tolist() for w in words] == expected
+
+
+def test_cuts_between_letters_digits_and_punctuation():
+    rng = random.Random(7)
+    parts = [*"abyz019.,!?;:#*$%&|-_()/\"+='", "'s", "'re", "é", "́", " ", "\n", "Z"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    pieces = WordEndEncoder(PATH)
+    assert pieces.cuts[ord("a"), ord(",")] and not pieces.cuts[ord("a"), ord("'")]
+    expected = [e.ids for e in pieces.library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in pieces.encode([t.encode() for t in texts])] == expected
