@@ -1,9 +1,11 @@
+import json
 import random
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from tierflow.llm.chunks import Kept
 from tierflow.llm.queries import tokenizer_file
 from tierflow.llm.token_counts import SpanEncoder, attribute, count_tokens, line_sections
 
@@ -91,3 +93,85 @@ def test_counts(spark):
     assert count_tokens(frame.filter("false"), PATH).count() == 0
     with pytest.raises(ValueError):
         count_tokens(frame, PATH, rule="other")
+
+
+def test_a_part_is_looked_up_once_a_batch(monkeypatch):
+    asked = []
+    kept = Kept.get, Kept.__getitem__
+    monkeypatch.setattr(Kept, "get", lambda self, *a: asked.append(a[0]) or kept[0](self, *a), raising=False)
+    monkeypatch.setattr(Kept, "__getitem__", lambda self, a: asked.append(a) or kept[1](self, a), raising=False)
+    texts = ["some Words öften,\n" * 2000, "", "words again, öften. Some"]
+    found = SpanEncoder(PATH).spans(texts)
+    assert [[tuple(s) for s in x.tolist()] for x in found] == [plain(t) for t in texts]
+    assert len(asked) < 50
+
+
+PARTS = [
+    " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x0c", "\x00", "\x85", "\xa0", "\u2028", "\u3000", "a", "the", "Hello", "é", "ö.", "漢字",
+    "e\u0301", "42", "²", "'", "'s", "'ll", "’s", "!!", "...", "…", "_", "<|endoftext|>", "😀", "🇩🇪", "%%%", "\x7f",
+]
+
+
+def across_blanks(parts):
+    """Merges of white space with what precedes it."""
+    model = parts["model"]
+    as_pair = isinstance(model["merges"][0], list)
+    for one, two in ["ĊĠ", "ĉĠ", "©Ġ", "ĉĊ", "!Ġ"]:
+        model["vocab"].setdefault(one + two, max(model["vocab"].values()) + 2)
+        model["merges"].insert(0, [one, two] if as_pair else f"{one} {two}")
+
+
+OTHERS = {
+    "as it is": lambda parts: None,
+    "merges across blanks": across_blanks,
+    "prefix": lambda parts: parts["pre_tokenizer"].update(add_prefix_space=True),
+    "no pattern": lambda parts: parts["pre_tokenizer"].update(use_regex=False),
+}
+
+
+@pytest.mark.parametrize("kind", OTHERS)
+def test_cuts_change_nothing(kind, tmp_path):
+    with open(PATH) as file:
+        parts = json.load(file)
+    OTHERS[kind](parts)
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(parts))
+    library = Tokenizer.from_file(str(path))
+    library.encode_special_tokens = True
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 30))) for _ in range(2000)] + [a + b for a in PARTS for b in PARTS]
+    tokens = SpanEncoder(str(path))
+    for _ in range(2):
+        found = [x for low in range(0, len(texts), 100) for x in tokens.spans(texts[low : low + 100])]
+        assert [[tuple(s) for s in x.tolist()] for x in found] == [e.offsets for e in library.encode_batch(texts, add_special_tokens=False)]
+        tokens.cache = Kept(50, 10_000)
+
+
+@pytest.mark.parametrize("rule", ["first", "most", "split"])
+@pytest.mark.parametrize("fields", [("text",), ("lang", "text"), ("text", "lang")])
+def test_counts_of_each_document_of_a_batch(spark, rule, fields):
+    rng = random.Random(1)
+    some = [["".join(rng.choices(PARTS, k=rng.randint(0, 12))) for _ in range(2)] for _ in range(60)]
+    rows = [(i, *texts) for i, texts in enumerate(some)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").coalesce(1)
+
+    def with_gaps(text, n):
+        starts = list(range(1, len(text) + 9, 5))  # the last ones end behind the text
+        return starts, [s + 3 for s in starts]
+
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    found = count_tokens(frame, PATH, fields=fields, separator="é-", rule=rule, sections_of=with_gaps).collect()
+    for row in found:
+        values = [dict(zip(("lang", "text"), some[row.doc_id]))[f] for f in fields]
+        starts = [sum(len(v) + 2 for v in values[:i]) for i in range(len(values))]
+        ends = [s + len(v) for s, v in zip(starts, values)]
+        spans = library.encode("é-".join(values), add_special_tokens=False).offsets
+        counts, crossing, outside = brute(spans, starts, ends, rule)
+        assert (row.n_tokens, row.n_crossing) == (len(spans), crossing)
+        assert [row.fields[f] for f in fields] == pytest.approx(counts) and row.outside == pytest.approx(outside)
+        from_, to = with_gaps(values[-1], 500)
+        inner = brute(spans, [starts[-1] + s for s in from_], [starts[-1] + s for s in to], rule)[0]
+        assert [(s.start, s.end) for s in row.sections] == list(zip(from_, to))
+        assert [s.tokens for s in row.sections] == pytest.approx(inner)
+    assert len(found) == len(rows)
